@@ -1,9 +1,10 @@
 """Queries of this package for the driver, and their DuckDB SQL where SQL can express them."""
 
-from tamarind.llm import simhash
+from tamarind.llm import packing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
