@@ -1,10 +1,13 @@
 """Queries of this package for the driver, and their DuckDB SQL where SQL can express them."""
 
-from tamarind.llm import packing, simhash
+from tamarind.llm import lines, packing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op7_line_dedup": lines.op7_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": lines.OP7_SQL,
+}
