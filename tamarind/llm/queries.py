@@ -1,11 +1,12 @@
 """Queries of this package for the driver, and their DuckDB SQL where SQL can express them."""
 
-from tamarind.llm import lines, packing, simhash
+from tamarind.llm import lines, packing, pfor, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op8_token_blocks": pfor.op8_token_blocks,
 }
 
 ORACLES: dict[str, str] = {
