@@ -67,15 +67,16 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 50_000
         yield pa.Table.from_batches(held)
 
 
-def dense_index(df: DataFrame, keys: list[str], order: list[str], out: str, n: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, keys: list[str], order: list[str], out: str, n: int | None = None, near: list[str] | None = None) -> DataFrame:
     """Add ``out``: each row's gapless position, from 0, among the rows of its ``keys``.
 
     A hot key is no task of its own: rows are dealt to buckets by a hash of ``order``,
-    numbered inside a bucket, and moved up by the sizes of the earlier buckets.
+    numbered inside a bucket, and moved up by the sizes of the earlier buckets. Rows that
+    are equal in ``near`` share a bucket, where it is given, and so get adjacent positions.
     ``df`` must be stable (staged). Rows that are equal in ``order`` may swap places.
     """
     buckets = max(1, -(-(df.count() if n is None else n) // ROWS_PER_BUCKET))
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*(near or order)), F.lit(buckets)).cast("int"))
     at = [*keys, "_b"]
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = (
