@@ -10,18 +10,25 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
 
-#: Words whose ids a worker keeps; beyond it starts afresh. About 100 MB.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps; beyond it starts afresh. About 200 MB.
+CACHE_WORDS = 1_000_000
 #: Longer words are encoded, not kept.
 CACHE_CHARS = 64
 #: White space apart from space and line feed, by Python's and the library's notion of it.
 RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Words of Latin letters that stay letters, one for one, under NFC and lower case: one unit each.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch
+#: What may follow such a word as a unit of its own. An apostrophe may join letters to it.
+MARKS = string.punctuation.replace("'", "")
+#: Plain words that are encoded as one text.
+TOGETHER = 200
 
 
 class WordEncoder:
@@ -40,6 +47,7 @@ class WordEncoder:
         self.leading = leading
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         if not self.leading:
@@ -51,6 +59,48 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _plain_ids(self, words: list[str], prefix: str) -> list[bytes]:
+        """ids of plain words, many in one call: the library says which unit an id belongs to."""
+        if self.leading and not prefix:  # joined, all but one would get a space
+            return self._ids(words)
+        out: list[bytes] = []
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            found = self.tokenizer.encode(prefix + " ".join(part), add_special_tokens=False)
+            unit = np.array(found.word_ids, np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+            if len(cuts) != len(part) + 1:
+                out += self._ids([prefix + w for w in part])
+                continue
+            raw = np.array(found.ids, "<u4").tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _encoded(self, words: list[str], prefix: str) -> dict[str, bytes]:
+        """ids of different words; a plain word and the marks behind it are encoded apart."""
+        whole, split, plain = [], [], set()
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if not PLAIN(stem):
+                whole.append(w)
+                continue
+            plain.add(stem)
+            if len(stem) != len(w):
+                split.append((w, stem, w[len(stem) :]))
+        made = dict(zip(whole, self._ids([prefix + w for w in whole]), strict=True))
+        for w in plain:
+            if (ids := self.rest.get(w) if prefix or not self.leading else None) is not None:
+                made[w] = ids
+        new = [w for w in plain if w not in made]
+        made.update(zip(new, self._plain_ids(new, prefix), strict=True))
+        for w, stem, marks in split:
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                self.marks[marks] = self._ids([marks])[0]
+            made[w] = made[stem] + self.marks[marks]
+        return made
+
     def _known(self, words: list[list[str]], cache: dict[str, bytes], prefix: str) -> dict[str, bytes]:
         """Learn the words that ``cache`` lacks; those that are too long to keep are returned."""
         new: set[str] = set()
@@ -60,7 +110,7 @@ class WordEncoder:
             cache.clear()
             new = set().union(*words)
         short = [w for w in new if len(w) <= CACHE_CHARS]
-        cache.update(zip(short, self._ids([prefix + w for w in short]), strict=True))
+        cache.update(self._encoded(short, prefix))
         long = [w for w in new if len(w) > CACHE_CHARS]
         return dict(zip(long, self._ids([prefix + w for w in long]), strict=True))
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from tamarind.llm import packing, tokens
 
-ODD = ["", " ", "  a  b\n c", "a b", " a", "a ", "x\ty z w", "it's I'll  don't", "a\n\nb \n c", "<|endoftext|> <|startoftext|>x", "é é ́a b\x1cc \x1d d", "q" * 200 + " " + "q" * 200 + " z", "Σας ΟΔΟΣ İx", "123 45,6 ###!! ###"]
+ODD = ["", " ", "  a  b\n c", "a b", " a", "a ", "x\ty z w", "it's I'll  don't", "a\n\nb \n c", "<|endoftext|> <|startoftext|>x", "é é ́a b\x1cc \x1d d", "q" * 200 + " " + "q" * 200 + " z", "Σας ΟΔΟΣ İx", "123 45,6 ###!! ###", "über, Über. ÇA!! naïve### I\u0307, \u0130, \u0130x! x\u0301, ǆ; it's, don''t. a_b_ \u212b, ſs."]
 
 
 @pytest.mark.parametrize(("name", "leading"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
