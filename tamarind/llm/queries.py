@@ -1,6 +1,6 @@
 """Queries of this package for the driver, and their DuckDB SQL where SQL can express them."""
 
-from tamarind.llm import lines, media, mil, packing, pfor, sharding, simhash, url_filter
+from tamarind.llm import ann, lines, media, mil, packing, pfor, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_token_blocks": pfor.op8_token_blocks,
     "op9_quality_attention": mil.op9_quality_attention,
+    "op10_ivf_pq": ann.op10_ivf_pq,
 }
 
 ORACLES: dict[str, str] = {
