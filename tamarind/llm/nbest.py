@@ -99,7 +99,7 @@ class Pieces:
         beside = {(kind(a), kind(b)) for p in pieces for a, b in zip(p, p[1:], strict=False)}
         of = {k: f"[{v}]" for k, v in KINDS.items()} | {"other": f"[^{''.join(KINDS.values())}]"}
         uncut = [f"(?<={of[a]})(?={of[b]})" for a in of for b in of if (a, b) in beside]
-        return re.compile(f"(?!^)(?!{'|'.join(uncut)})" if uncut else "(?!^)")
+        return re.compile(f"(?!^|\\Z)(?!{'|'.join(uncut)})" if uncut else r"(?!^|\Z)")
 
     def units(self, text: str) -> list[str]:
         """Parts of a text that no piece joins, in order."""
