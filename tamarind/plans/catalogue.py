@@ -1,4 +1,6 @@
 """Named queries over the driver's tables, and the SQL that each must agree with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tamarind.plans import relational
+
+QUERIES = dict(relational.QUERIES)
+ORACLES = dict(relational.ORACLES)
