@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, and the SQL that each must agree with."""
 
-from tamarind.plans import relational
+from tamarind.plans import relational, temporal
 
-QUERIES = dict(relational.QUERIES)
-ORACLES = dict(relational.ORACLES)
+QUERIES = relational.QUERIES | temporal.QUERIES
+ORACLES = relational.ORACLES | temporal.ORACLES
