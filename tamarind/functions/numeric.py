@@ -17,7 +17,13 @@ def num(x) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.when(F.isnan(x), F.lit(low)).otherwise(F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+    inside = F.least(F.greatest(x, F.lit(low)), F.lit(high))  # these skip nulls, so a null is kept apart
+    return F.when(x.isNull(), None).when(F.isnan(x), F.lit(low)).otherwise(inside)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def finite_or(x: Column, other: float) -> Column:
@@ -40,9 +46,13 @@ def sigmoid(x: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Of an array; entries that are not finite get probability zero."""
-    top = F.array_max(F.transform(scores, lambda s: finite_or(s, -1e300)))
-    raised = F.transform(scores, lambda s: F.when(finite_or(s, -1e300) <= -1e300, F.lit(0.0)).otherwise(F.exp(s - top)))
-    return F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+
+    def shares(x: Column) -> Column:
+        top = F.array_max(x)
+        raised = let(top, lambda t: F.transform(x, lambda s: F.when(s <= -1e300, F.lit(0.0)).otherwise(F.exp(s - t))))
+        return let(raised, lambda r: let(F.aggregate(r, F.lit(0.0), lambda a, b: a + b), lambda n: F.transform(r, lambda e: e / n)))
+
+    return let(F.transform(scores, lambda s: finite_or(s, -1e300)), shares)
 
 
 def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, Column, Column]:
@@ -76,7 +86,7 @@ def pooled(successes: Column, trials: Column, rate: Column, kappa: Column, extra
 
 
 def decay(days: Column, half_life: float) -> Column:
-    return F.pow(F.lit(2.0), -F.greatest(days, F.lit(0.0)) / half_life)
+    return F.when(days.isNotNull(), F.pow(F.lit(2.0), -F.greatest(days, F.lit(0)).cast("double") / half_life))
 
 
 def shrunk_median(observed: Column, prior: Column) -> Column:

@@ -7,8 +7,9 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamarind.functions import numeric as N
 
@@ -37,12 +38,12 @@ def normalize_text(text: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", x).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def match_key_udf(s: pd.Series) -> pd.Series:
     return s.map(match_key, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_udf(s: pd.Series) -> pd.Series:
     return s.map(normalize_text, na_action="ignore")
 
@@ -87,7 +88,7 @@ def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
     return jaro + prefix * boost * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -113,13 +114,17 @@ def marker_hits(tokens: Column) -> dict[str, Column]:
     return {k: F.size(F.array_intersect(distinct, F.array(*(F.lit(match_key(w)) for w in words)))) for k, words in MARKERS.items()}
 
 
-def language_of(text: Column, tokens: Column) -> tuple[Column, Column]:
-    """Language probabilities in the order ar_dz, ar_msa, fr, en, and the dominant label (mixed if unclear)."""
-    arabic, latin = script_shares(text)
-    hits = marker_hits(tokens)
-    logits = F.array(arabic * 3 + hits["ar_dz"] * 0.9, arabic * 3 + hits["ar_msa"] * 0.7, latin * 2 + hits["fr"] * 0.6, latin * 2 + hits["en"] * 0.6)
-    p = N.softmax(logits)
-    names = F.array(*map(F.lit, MARKERS))
-    top = F.array_max(p)
-    best = F.element_at(names, F.array_position(p, top).cast("int"))
-    return p, F.when(hits["ar_dz"] >= 2, "ar_dz").when(top < 0.4, "mixed").otherwise(best)
+def with_language(df: DataFrame, text: str, key: str) -> DataFrame:
+    """Adds ``language_shares`` in the order ar_dz, ar_msa, fr, en, and the dominant ``language`` (mixed if unclear)."""
+    arabic, latin = script_shares(F.col(text))
+    rows = df.withColumns({"_arabic": arabic, "_latin": latin, "_tokens": F.array_distinct(token_list(F.col(key)))})
+    rows = rows.withColumns({f"_m_{k}": v for k, v in marker_hits(F.col("_tokens")).items()})
+    arabic, latin = F.col("_arabic"), F.col("_latin")
+    logits = F.array(
+        arabic * 3 + F.col("_m_ar_dz") * 0.9, arabic * 3 + F.col("_m_ar_msa") * 0.7, latin * 2 + F.col("_m_fr") * 0.6, latin * 2 + F.col("_m_en") * 0.6
+    )
+    rows = rows.withColumn("language_shares", N.softmax(logits))
+    top = F.array_max("language_shares")
+    best = F.element_at(F.array(*map(F.lit, MARKERS)), F.array_position("language_shares", top).cast("int"))
+    label = F.when(F.col("_m_ar_dz") >= 2, "ar_dz").when(top < 0.4, "mixed").otherwise(best)
+    return rows.withColumn("language", label).drop("_arabic", "_latin", "_tokens", *(f"_m_{k}" for k in MARKERS))

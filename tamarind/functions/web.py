@@ -10,6 +10,7 @@ from urllib.parse import parse_qsl, quote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query parameters that only track. All that begin with utm_ go as well.
 TRACKING = frozenset("fbclid gclid gclsrc dclid msclkid ttclid twclid igshid mc_cid mc_eid yclid wbraid gbraid _ga _gl _hsenc _hsmi mkt_tok ref ref_src ref_url source spm scm vero_id vero_conv oly_anon_id oly_enc_id s_kwcid si trk li_fat_id epik cmpid".split())
@@ -48,7 +49,7 @@ def registrable(host: str | None) -> str | None:
     return ".".join(labels[-keep:])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_url_udf(s: pd.Series) -> pd.Series:
     return s.map(canonical_url, na_action="ignore")
 
@@ -105,7 +106,7 @@ def handle(value: str | None, network: str | None = None) -> tuple[str, str] | N
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def handle_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda v: "/".join(h) if (h := handle(v)) else None, na_action="ignore")
 
@@ -120,6 +121,11 @@ def blocked_ip(ip: str | None) -> bool:
     return any(found.version == n.version and found in n for n in BLOCKED_NETS)
 
 
+def _rows(**fields: str) -> T.ArrayType:
+    kinds = {"string": T.StringType(), "double": T.DoubleType()}
+    return T.ArrayType(T.StructType([T.StructField(n, kinds[k]) for n, k in fields.items()]))
+
+
 class _Page(HTMLParser):
     SILENT = ("script", "style", "noscript", "svg")
 
@@ -204,18 +210,18 @@ def contacts(html: str | None) -> list[tuple[str, str, float, str]]:
     return sorted(out.values(), key=lambda c: -c[2])
 
 
-@F.pandas_udf("array<struct<kind:string,value:string,confidence:double,placement:string>>")
+@F.pandas_udf(_rows(kind="string", value="string", confidence="double", placement="string"))
 def contacts_udf(s: pd.Series) -> pd.Series:
     names = ("kind", "value", "confidence", "placement")
     return s.map(lambda h: [dict(zip(names, c, strict=True)) for c in contacts(h)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def text_corpus_udf(s: pd.Series) -> pd.Series:
     return s.map(text_corpus)
 
 
-@F.pandas_udf("array<struct<href:string,label:string,placement:string>>")
+@F.pandas_udf(_rows(href="string", label="string", placement="string"))
 def anchors_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda h: [{"href": a, "label": " ".join(t.split()), "placement": p} for a, t, p in parsed(h).links])
 

@@ -66,7 +66,7 @@ def allocate(queries: DataFrame, total: int, per_provider: dict[str, int], seed:
         return pd.DataFrame(out, columns=["step", "provider", "query", "sampled"])
 
     rows = live.select("provider", "query", F.col("alpha").cast("double").alias("alpha"), F.col("beta").cast("double").alias("beta"))
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "step int, provider string, query string, sampled double")
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "step int, provider string, query string, sampled double")
 
 
 def regret(df: DataFrame, order: str, rate: str, best: float, group: list[str]) -> DataFrame:

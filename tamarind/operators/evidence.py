@@ -83,13 +83,16 @@ def phrase_hits(text: Column, phrases: list[str]) -> Column:
     return out
 
 
-def categories(hits: dict[str, Column], priors: dict[str, float] = CATEGORY_PRIORS) -> tuple[Column, Column, Column]:
-    """Naive Bayes over phrase counts: probabilities in the priors' order, the best label, and whether it abstains."""
-    p = N.softmax(F.array(*(F.lit(math.log(priors[c])) + F.least(hits[c], F.lit(HIT_CAP)) * HIT_LOG_RATIO for c in priors)))
-    ranked = F.reverse(F.array_sort(p))
-    every = sum(hits.values(), F.lit(0))
-    best = F.element_at(F.array(*map(F.lit, priors)), F.array_position(p, F.array_max(p)).cast("int"))
-    return p, best, (every == 0) | (ranked[0] < 0.35) | (ranked[0] - ranked[1] < 0.06)
+def categories(df: DataFrame, hits: dict[str, Column], priors: dict[str, float] = CATEGORY_PRIORS) -> DataFrame:
+    """Naive Bayes over phrase counts; adds ``probabilities`` in the priors' order, ``category``, ``probability`` and ``abstained``."""
+    counted = df.withColumns({f"_n_{c}": hits[c] for c in priors})
+    scores = F.array(*(F.lit(math.log(p)) + F.least(F.col(f"_n_{c}"), F.lit(HIT_CAP)) * HIT_LOG_RATIO for c, p in priors.items()))
+    rows = counted.withColumn("probabilities", N.softmax(scores)).withColumn("_ranked", F.reverse(F.array_sort("probabilities")))
+    every = sum((F.col(f"_n_{c}") for c in priors), F.lit(0))
+    best = F.element_at(F.array(*map(F.lit, priors)), F.array_position("probabilities", F.col("_ranked")[0]).cast("int"))
+    unsure = (every == 0) | (F.col("_ranked")[0] < 0.35) | (F.col("_ranked")[0] - F.col("_ranked")[1] < 0.06)
+    out = rows.withColumns({"category": best, "probability": F.col("_ranked")[0], "abstained": unsure})
+    return out.drop("_ranked", *(f"_n_{c}" for c in priors))
 
 
 def market(c: dict[str, Column]) -> tuple[Column, Column]:
@@ -109,7 +112,7 @@ def market(c: dict[str, Column]) -> tuple[Column, Column]:
 def maturity(products: Column, fresh_days: Column, pixels: Column, server_side: Column, channels: Column, platform: Column) -> Column:
     stack = F.coalesce(F.create_map(*(F.lit(x) for kv in SOPHISTICATION.items() for x in kv))[platform], F.lit(0.2))
     catalog = N.clamp(F.log1p(F.coalesce(products, F.lit(0)).cast("double")) / math.log1p(300), 0.0, 1.0)
-    fresh = F.coalesce(N.clamp(F.pow(F.lit(2.0), -fresh_days / 30), 0.0, 1.0), F.lit(0.35))
+    fresh = F.coalesce(N.clamp(N.decay(fresh_days, 30.0), 0.0, 1.0), F.lit(0.35))
     track = N.clamp(pixels / 4.0, 0.0, 1.0) * F.when(server_side, 1.0).otherwise(0.85)
     raw = 0.3 * catalog + 0.2 * fresh + 0.2 * track + 0.15 * N.clamp(channels / 4.0, 0.0, 1.0) + 0.15 * stack
     return F.floor(N.clamp(raw, 0.0, 1.0) * 1000 + 0.5) / 10
@@ -155,7 +158,7 @@ def feature_array(c: dict[str, Column]) -> Column:
     listed = ["fashion", "beauty", "phones_accessories"]
     platforms = ["shopify", "youcan", "woocommerce"]
     values = [
-        F.lit(1.0), fresh, F.coalesce(F.log1p(F.greatest(c["ad_count"], F.lit(0)).cast("double")), F.lit(0.0)), yes(c["sells_cod"]), yes(c["whatsapp"]), yes(~c["whatsapp"] & social),
+        F.lit(1.0), fresh, F.log1p(F.greatest(c["ad_count"], F.lit(0)).cast("double")), yes(c["sells_cod"]), yes(c["whatsapp"]), yes(~c["whatsapp"] & social),
         *(yes(c["platform"] == p) for p in platforms), yes(~c["platform"].isin(*platforms)), *(yes(category == k) for k in listed), yes(~category.isin(*listed)),
         N.clamp(c["maturity"] / 100.0, 0.0, 1.0), F.coalesce(N.clamp(F.log1p(F.greatest(c["products"], F.lit(0)).cast("double")) / math.log1p(300), 0.0, 1.0), F.lit(0.0)),
         yes(c["pixel_meta"]), yes(c["pixel_tiktok"]), yes(c["language"].isin("ar_dz", "ar_msa")), yes(c["language"] == "fr"), yes(c["channel"] == "whatsapp"), yes(social),

@@ -1,6 +1,7 @@
 """Named queries over the driver's tables, and the SQL that each must agree with."""
 
-from tamarind.plans import relational, temporal
+from tamarind.plans import models, relational, temporal
 
-QUERIES = relational.QUERIES | temporal.QUERIES
-ORACLES = relational.ORACLES | temporal.ORACLES
+PARTS = (relational, temporal, models)
+QUERIES = {name: run for part in PARTS for name, run in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
