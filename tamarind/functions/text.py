@@ -16,7 +16,7 @@ from tamarind.functions import numeric as N
 #: Arabic letters that are written alike, and Arabic digits.
 ALIKE = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ئ": "ي", "ؤ": "و", "ة": "ه"}
 DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
-DIACRITICS = re.compile("[ؐ-ًؚ-ٰٟـۖ-ۭ]")
+DIACRITICS = re.compile("[\u0610-\u061a\u064b-\u065f\u0670\u0640\u06d6-\u06ed]")
 PUNCTUATION = re.compile(r"""[!"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~،؛؟“”‘’…]""")
 
 
@@ -25,7 +25,7 @@ def match_key(text: str | None) -> str | None:
     if text is None:
         return None
     x = DIACRITICS.sub("", unicodedata.normalize("NFKC", text)).translate(str.maketrans(ALIKE))
-    x = "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ").replace("ß", "ss").lower()
+    x = "".join(c for c in unicodedata.normalize("NFD", x) if not "\u0300" <= c <= "\u036f").replace("ß", "ss").lower()
     return " ".join(PUNCTUATION.sub(" ", x).translate(DIGITS).split())
 
 
