@@ -91,8 +91,8 @@ def predict(x: Column, beta, covariance) -> tuple[Column, Column, Column]:
     """Margin, variance of the margin, and the probability averaged over the posterior (probit form)."""
     margin = N.clamp(_dot(x, beta), -10.0, 10.0)
     rows = F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in covariance))
-    by_row = F.transform(rows, lambda r: F.aggregate(F.zip_with(r, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    variance = F.greatest(F.lit(0.0), F.aggregate(F.zip_with(by_row, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, w: t + w)
+    variance = N.let(x, lambda v: F.greatest(F.lit(0.0), dot(F.transform(rows, lambda r: dot(r, v)), v)))
     return margin, variance, N.sigmoid(margin / F.sqrt(1 + math.pi * variance / 8))
 
 
