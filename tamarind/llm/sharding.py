@@ -47,10 +47,11 @@ def _round(state: DataFrame, members: DataFrame, room: list[int]) -> DataFrame:
         .agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best"))
         .select("hub", (-F.col("best.s")).alias("to"), F.col("best.n").alias("to_n"))
     )
-    leaving = (
+    leaving = stage(  # staged, so that a hot hub's rows can be split in the join below
         votes.join(best, "hub")
         .filter((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("shard")))
-        .select("hub", "shard", "to", "to_n", "n")
+        .select("hub", "shard", "to", "to_n", "n"),
+        "shard-leaving",
     )
     wishes = held.join(leaving, ["hub", "shard"]).withColumn("gain", F.col("to_n") - F.col("n"))
     chosen = (
@@ -71,7 +72,7 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     """
     n = nodes.count()
     quota = quotas(n, shards)
-    sizes = members.groupBy("hub").agg(F.count("*").alias("hub_rows")).filter("hub_rows > 1")
+    sizes = stage(members.groupBy("hub").agg(F.count("*").alias("hub_rows")).filter("hub_rows > 1"), "shard-hubs")
     members = stage(members.join(sizes, "hub").select("node", "hub", "hub_rows"), "shard-members")
     linked = stage(members.select("node").distinct(), "shard-linked")
     start = dense_index(linked, [], ["node"], "i")
