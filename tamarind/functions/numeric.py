@@ -17,8 +17,9 @@ def num(x) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    inside = F.least(F.greatest(x, F.lit(low)), F.lit(high))  # these skip nulls, so a null is kept apart
-    return F.when(x.isNull(), None).when(F.isnan(x), F.lit(low)).otherwise(inside)
+    """NaN becomes ``low``; a null stays null (``least`` and ``greatest`` would skip it)."""
+    inside = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.nanvl(x.cast("double"), F.lit(float(low)))))
+    return F.when(x.isNotNull(), inside)
 
 
 def let(value: Column, body) -> Column:
@@ -27,8 +28,8 @@ def let(value: Column, body) -> Column:
 
 
 def finite_or(x: Column, other: float) -> Column:
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, F.lit(other)).otherwise(x)
+    """``x`` where it is a finite number (an infinity times zero is NaN), else ``other``."""
+    return F.coalesce(F.nanvl(x * 0.0 + x, F.lit(float(other))), F.lit(float(other)))
 
 
 def safe_prob(p: Column) -> Column:

@@ -17,16 +17,21 @@ from tamarind.functions import numeric as N
 ALIKE = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ئ": "ي", "ؤ": "و", "ة": "ه"}
 DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 DIACRITICS = re.compile("[\u0610-\u061a\u064b-\u065f\u0670\u0640\u06d6-\u06ed]")
-PUNCTUATION = re.compile(r"""[!"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~،؛؟“”‘’…]""")
+#: Punctuation that parts words; other marks stay.
+PUNCTUATION = """!"#$%&'()*+,./:;<=>?@[\\]^_`{|}~،؛؟“”‘’…"""
+COMBINING = re.compile("[\u0300-\u036f]+")
+PLAIN_FORM = {ord(c): " " for c in PUNCTUATION} | DIGITS
+ONE_LETTER = str.maketrans(ALIKE)
 
 
 def match_key(text: str | None) -> str | None:
     """The form in which names and phrases are compared: accents, case, Arabic variants and punctuation go."""
     if text is None:
         return None
-    x = DIACRITICS.sub("", unicodedata.normalize("NFKC", text)).translate(str.maketrans(ALIKE))
-    x = "".join(c for c in unicodedata.normalize("NFD", x) if not "\u0300" <= c <= "\u036f").replace("ß", "ss").lower()
-    return " ".join(PUNCTUATION.sub(" ", x).translate(DIGITS).split())
+    if not text.isascii():
+        x = DIACRITICS.sub("", unicodedata.normalize("NFKC", text)).translate(ONE_LETTER)
+        text = COMBINING.sub("", unicodedata.normalize("NFD", x)).replace("ß", "ss")
+    return " ".join(text.lower().translate(PLAIN_FORM).split())
 
 
 def normalize_text(text: str | None) -> str | None:

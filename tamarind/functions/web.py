@@ -68,9 +68,10 @@ def urls_in(text: Column) -> Column:
 
 
 def emails_in(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(f"({EMAIL_PATTERN})")), F.lower)
+    found = F.when(text.contains("@"), F.transform(F.regexp_extract_all(text, F.lit(f"({EMAIL_PATTERN})")), F.lower))
     bad = lambda e: e.endswith("example.com") | e.contains("sentry") | e.startswith("noreply@")
-    return F.array_distinct(F.filter(found, lambda e: ~bad(e)))
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.filter(found, lambda e: ~bad(e))), none)
 
 
 def phone(text: Column, mobile: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -78,19 +79,25 @@ def fit(rows: DataFrame, x: str, y: str, mean, sd, max_steps: int = 25, toleranc
     return Fit(beta, covariance, value, steps, n)
 
 
+def constant(values) -> Column:
+    """Numbers (a list, or a list of lists) as one literal: hundreds of them are no burden on the plan."""
+    values = np.asarray(values, float)
+    return F.from_json(F.lit(json.dumps(values.tolist())), "array<" * values.ndim + "double" + ">" * values.ndim)
+
+
 def _dot(x: Column, values) -> Column:
-    pairs = F.zip_with(x, F.array(*(F.lit(float(v)) for v in values)), lambda a, b: a * b)
+    pairs = F.zip_with(x, constant(values), lambda a, b: a * b)
     return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
 
 
 def contributions(x: Column, beta) -> Column:
-    return F.zip_with(x, F.array(*(F.lit(float(v)) for v in beta)), lambda a, b: a * b)
+    return F.zip_with(x, constant(beta), lambda a, b: a * b)
 
 
 def predict(x: Column, beta, covariance) -> tuple[Column, Column, Column]:
     """Margin, variance of the margin, and the probability averaged over the posterior (probit form)."""
     margin = N.clamp(_dot(x, beta), -10.0, 10.0)
-    rows = F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in covariance))
+    rows = constant(covariance)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, w: t + w)
     variance = N.let(x, lambda v: F.greatest(F.lit(0.0), dot(F.transform(rows, lambda r: dot(r, v)), v)))
     return margin, variance, N.sigmoid(margin / F.sqrt(1 + math.pi * variance / 8))

@@ -12,6 +12,7 @@ from tamarind.functions import text as X
 from tamarind.functions import web as U
 from tamarind.operators import evidence, ranking
 from tamarind.operators.temporal import OUTCOME_STATE
+from tamarind.session import stage
 
 #: (id, stage, channels, {language: body}): a small set of our own; callers may pass another.
 TEMPLATES = [
@@ -73,6 +74,7 @@ def work_queue(leads: DataFrame, n: int, weight: float = 0.7) -> DataFrame:
 
     ``leads (id, name, score, sampled_p, platform, category, wilaya, channel, target, advertiser, products, language, has_whatsapp, product)``.
     """
+    leads = stage(leads, "queue-leads")  # scored once; the batch, its rest and its drafts all read it
     batch = ranking.daily_batch(leads, n, weight=weight)  # n rows: fits a broadcast
     chosen = leads.join(F.broadcast(batch), "id")
     made = draft(chosen.withColumn("template_id", template_of(F.col("channel"), F.col("has_whatsapp"), F.col("advertiser"), F.col("platform"), F.col("products"))))

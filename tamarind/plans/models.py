@@ -100,10 +100,10 @@ def _features(spark, d):
     i = F.col("id")
     c = {
         "advertiser": i % 4 == 0, "days_since_seen": F.when(i % 8 == 0, i % 90), "ad_count": i % 9, "sells_cod": i % 2 == 1, "whatsapp": F.col("channel") == "whatsapp",
-        "channel": F.col("channel"), "platform": F.col("platform"), "category": F.col("category"), "maturity": _maturity(), "products": F.col("products"), "pixel_meta": i % 3 == 0,
+        "channel": F.col("channel"), "platform": F.col("platform"), "category": F.col("category"), "maturity": F.col("m"), "products": F.col("products"), "pixel_meta": i % 3 == 0,
         "pixel_tiktok": i % 5 == 0, "language": F.lit("fr"), "hour": i % 24, "warmup": (i % 10) / 10.0,
     }
-    return _profile(spark, d).select("id", evidence.feature_array(c).alias("x"))
+    return _profile(spark, d).withColumn("m", _maturity()).select("id", evidence.feature_array(c).alias("x"))
 
 
 @query(f"SELECT id, {_NAMES}[i + 1] AS feature, round(value, 6) AS value FROM ({FEATURES_SQL})")
