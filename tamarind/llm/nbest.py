@@ -46,7 +46,8 @@ MARK = "\ud800"
 BYTE_SCORE = -12.0
 #: A word with the spaces before it; pieces that go on over a following space rule it out.
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-KEPT_UNITS = 400_000
+#: Words whose best segmentation a worker keeps: about 450 MB.
+KEPT_UNITS = 1_400_000
 NBEST = 4
 #: Classes of characters, as regular expression sets; what is in none is a class of its own.
 KINDS = {"space": SPACE, "letter": "A-Za-zÀ-ÖØ-öø-ɏ", "digit": "0-9", "mark": "!-/:-@\\[-`{-~", "control": "\x00-\x1f\x7f"}
@@ -61,11 +62,14 @@ class Pieces:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], bytes_at: list[int], surfaces: list[bytes]):
         self.bytes_at, self.surfaces = bytes_at, surfaces
-        self.entry: dict[str, tuple[float, bytes] | None] = {}
-        for piece, (number, score) in pieces.items():
-            for k in range(1, len(piece)):
-                self.entry.setdefault(piece[:k], None)
-            self.entry[piece] = (score, _le([number]))
+        self.entry = {piece: (score, _le([number])) for piece, (number, score) in pieces.items()}
+        self.trie: list = [None, {}]  # a node is [entry, children by character]
+        for piece, entry in self.entry.items():
+            node = self.trie
+            for c in piece:
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = entry
+        self.longest = max(map(len, pieces), default=1)
         self.cut = self._cut_rule(pieces)
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.kept: dict[str, tuple[bytes, float, float]] = {}
@@ -107,21 +111,22 @@ class Pieces:
 
     def lattice(self, unit: str) -> tuple[list[float], list[list]]:
         """Best scores from the start to each position, and the edges that end there."""
-        n, get = len(unit), self.entry.get
+        n, top = len(unit), self.trie[1]
         best, ends = [0.0] + [-1e300] * n, [[] for _ in range(n + 1)]
         for i in range(n):
-            here, j = best[i], i + 1
-            first = e = get(unit[i:j], 0)
-            while e != 0:
+            here, j, children = best[i], i, top
+            for c in unit[i : i + self.longest]:
+                node = children.get(c)
+                if node is None:
+                    break
+                j += 1
+                e, children = node
                 if e is not None:
                     ends[j].append((i, e))
                     if here + e[0] > best[j]:
                         best[j] = here + e[0]
-                j += 1
-                if j > n:
-                    break
-                e = get(unit[i:j], 0)
-            if not first:  # no piece for this character alone
+            first = top.get(unit[i])
+            if first is None or first[0] is None:  # no piece for this character alone
                 raw = (SPACE if unit[i] == MARK else unit[i]).encode()
                 e = (BYTE_SCORE * len(raw), _le([self.bytes_at[b] for b in raw]))
                 ends[i + 1].append((i, e))
