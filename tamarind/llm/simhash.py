@@ -13,7 +13,8 @@ blocks, and so on, which ends by itself as members differ.
 
 For similarity of shingle sets (``near_duplicates``) shards are the least shingle hashes
 under eight permutations: sets of similarity 0.8 share one with a chance above
-1 - 0.2**8. A shard that stays too large is compared in blocks of bounded size.
+1 - 0.2**8. A shard that stays too large is compared in blocks of bounded size. There the
+trees only name candidates: a link is a pair whose sets, compared whole, are similar enough.
 
 Nulls: a null text is an empty one; a null id takes part and is never a component's id.
 Empty texts and texts without words have fingerprint zero and are linked like any others.
@@ -161,16 +162,29 @@ def joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
             label = up
 
 
-def star_links(shard: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, least row of its class in the shard): one for each row, not one for each pair."""
-    forest = Forest(shard, bits)
-    label, size = np.arange(len(bits)), np.bincount(shard)[shard]
-    ends = np.cumsum(size)
+def near_parts(forest: Forest, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of ``forest.near``, for as many query rows at a time as ``VISITS`` allows."""
+    ends = np.cumsum(np.bincount(shard)[shard])
     start = 0
-    while start < len(bits):
+    while start < len(shard):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + VISITS, "right")))
-        label = joined_labels(label, *forest.near(np.arange(start, stop), radius))
+        yield forest.near(np.arange(start, stop), radius)
         start = stop
+
+
+def star_links(
+    shard: np.ndarray, bits: np.ndarray, radius: int, size: np.ndarray | None = None, similarity: float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, least row of its class in the shard): one for each row, not one for each pair.
+
+    With ``size``, pairs of sets too unlike in size for ``similarity`` are no links.
+    """
+    label = np.arange(len(bits))
+    for a, b in near_parts(Forest(shard, bits), shard, radius):
+        if size is not None:
+            fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            a, b = a[fits], b[fits]
+        label = joined_labels(label, a, b)
     row = np.flatnonzero(label != np.arange(len(bits)))
     return row, label[row]
 
@@ -275,9 +289,8 @@ def _least_of(classes: DataFrame, links: DataFrame) -> DataFrame:
 # --- shingle sets at a similarity -------------------------------------------------------
 
 
-def set_sketch(hashes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def set_sketch(distinct: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """256 majority bits of the distinct shingles, and their least value under each salt's permutation."""
-    distinct = np.unique(hashes)
     if not len(distinct):
         return np.zeros(4, np.uint64), np.zeros(len(salts), np.uint64)
     bits, least = [], np.empty(len(salts), np.uint64)
@@ -298,13 +311,127 @@ def radius_for(similarity: float, bits: int = 256) -> int:
     return int(np.arccos(cosine) / np.pi * bits + 0.5)
 
 
+class Sets:
+    """Sets of shingle hashes, one after another, each counted against many others at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.ends = np.cumsum(self.size)
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat, self.marked = flat.astype(np.int32), np.zeros(len(names), bool)
+
+    def alike(self, row: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of ``others`` have a Jaccard similarity of at least this with ``row``."""
+        own = self.flat[self.ends[row] - self.size[row] : self.ends[row]]
+        self.marked[own] = True
+        common = np.fromiter(
+            (np.count_nonzero(self.marked[self.flat[self.ends[o] - self.size[o] : self.ends[o]]]) for o in others),
+            np.int64, len(others),
+        )
+        self.marked[own] = False
+        return common >= similarity * (self.size[row] + self.size[others] - common)
+
+
+def confirmed_links(bits: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, least row of its class) over the pairs within the radius whose sets are alike.
+
+    A pair is counted unless earlier ones have joined its ends already: a class of like
+    sets takes about one count for each row.
+    """
+    held, label = Sets(sets), np.arange(len(bits))
+    one = np.zeros(len(bits), np.int64)
+    for q, n in near_parts(Forest(one, bits), one, radius):
+        fits = (n < q) & (np.minimum(held.size[q], held.size[n]) >= similarity * np.maximum(held.size[q], held.size[n]))
+        q, n = q[fits], n[fits]
+        order = np.lexsort((n, q))
+        q, n = q[order], n[order]
+        rows, starts = np.unique(q, return_index=True)
+        for row, others in zip(rows.tolist(), np.split(n, starts[1:]), strict=True):
+            while len(others := others[label[others] != label[row]]):
+                _, first = np.unique(label[others], return_index=True)  # one of each class at a time
+                tried = others[first]
+                like = label[tried[held.alike(row, tried, similarity)]]
+                if len(like):
+                    joined = np.append(like, label[row])
+                    label[np.isin(label, joined)] = joined.min()
+                others = np.delete(others, first)
+    row = np.flatnonzero(label != np.arange(len(bits)))
+    return row, label[row]
+
+
+def shard_clusters(rows: DataFrame, radius: int, bits: list[str], similarity: float) -> DataFrame:
+    """``(cluster, id)``: the rows ``(shard, id, size, *bits)`` that candidate links join within a shard.
+
+    A cluster is named by its members, so that shards with the same one name it alike.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "shard"):
+            _, shard = np.unique(group.column("shard").to_numpy(), return_inverse=True)
+            words = np.stack([group.column(c).to_numpy() for c in bits], axis=1).view(np.uint64)
+            ids = group.column("id").to_numpy()
+            row, least = star_links(shard, words, radius, group.column("size").to_numpy(), similarity)
+            heads = np.unique(least)
+            member, of = np.concatenate([heads, row]), np.concatenate([heads, least])
+            order = np.lexsort((member, of))
+            member = ids[member[order]]
+            counts = np.unique(of, return_counts=True)[1]
+            names = [xxhash.xxh64_intdigest(m.tobytes(), SEED) for m in np.split(member, np.cumsum(counts)[:-1])] if len(of) else []
+            cluster = np.repeat(np.array(names, np.uint64).view(np.int64), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(member)], ["cluster", "id"])
+
+    return (
+        rows.select("shard", "id", "size", *bits)
+        .repartition("shard")
+        .sortWithinPartitions("shard", "id")
+        .mapInArrow(run, "cluster long, id long")
+    )
+
+
+def cluster_links(rows: DataFrame, radius: int, bits: list[str], similarity: float) -> DataFrame:
+    """``(a, b)`` links of ``id`` among the rows ``(cluster, id, grams, *bits)`` of each cluster, by whole sets."""
+
+    def of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        group = pa.Table.from_batches(batches)
+        ids = group.column("id").to_numpy()
+        words = np.stack([group.column(c).to_numpy() for c in bits], axis=1).view(np.uint64)
+        sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in group.column("grams")]
+        a, b = confirmed_links(words, sets, radius, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            keys = batch.column("cluster").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for at, stop in zip(cuts, cuts[1:], strict=False):
+                if at == stop:
+                    continue
+                if held and keys[at] != last:
+                    yield of(held)
+                    held = []
+                held.append(batch.slice(at, stop - at))
+                last = keys[at]
+        if held:
+            yield of(held)
+
+    return (
+        rows.select("cluster", "id", "grams", *bits)
+        .repartition("cluster")
+        .sortWithinPartitions("cluster", "id")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``(id, component_id)``: documents whose sets of word shingles are alike, joined transitively.
 
-    Likeness is read off 256-bit SimHash fingerprints of the sets; the radius leaves room
-    for two standard errors of that estimate (0.06), so that sets at ``similarity`` are found.
+    Sets are alike at a Jaccard similarity of ``similarity`` or more, counted on the whole
+    sets. 256-bit SimHash fingerprints name the candidates; the radius leaves room for two
+    standard errors of that estimate (0.06). Equal sets are one class and count once. A
+    task holds the sets of one candidate cluster, which is at most a shard's.
     """
     small_batches(docs.sparkSession)
     salts = np.random.default_rng(7).integers(1, 1 << 63, ANCHORS * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -312,42 +439,55 @@ def near_duplicates(
     names = ["b0", "b1", "b2", "b3"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [set_sketch(shingle_hashes(t, words), salts) for t in utf8(batch.column(1))]
+        sets = [np.unique(shingle_hashes(t, words)) for t in utf8(batch.column(1))]
+        made = [set_sketch(s, salts) for s in sets]
         bits = np.stack([m[0] for m in made]).view(np.int64)
         least = np.stack([m[1] for m in made]).view(np.int64)
         anchors = pa.ListArray.from_arrays(
             pa.array(np.arange(0, least.size + 1, least.shape[1], dtype=np.int32)), pa.array(least.ravel())
         )
-        cols = [batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), anchors]
-        return pa.RecordBatch.from_arrays(cols, ["doc", *names, "anchors"])
+        grams = [s.tobytes() for s in sets]
+        fp = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)
+        cols = [batch.column(0), pa.array(fp), pa.array([len(s) for s in sets], pa.int64())]
+        cols += [*(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), anchors, pa.array(grams, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc", "fp", "size", *names, "anchors", "grams"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc long, b0 long, b1 long, b2 long, b3 long, anchors array<long>"
-    sketch = stage(map_batches(rows, one, schema).withColumn("fp", F.xxhash64(*names)), "set-sketches")
+    schema = "doc long, fp long, size long, b0 long, b1 long, b2 long, b3 long, anchors array<long>, grams binary"
+    sketch = stage(map_batches(rows, one, schema), "set-sketches")
     classes = stage(
-        sketch.groupBy("fp").agg(F.min("doc").alias("least"), F.first("anchors").alias("anchors"), *(F.min(c).alias(c) for c in names)),
+        sketch.groupBy("fp").agg(
+            F.min("doc").alias("least"), F.first("anchors").alias("anchors"), *(F.min(c).alias(c) for c in ["size", *names])
+        ),
         "set-classes",
     )
-    links, now = None, classes.select("fp", *names, "anchors", F.lit(0).cast("long").alias("within"))
+
+    def candidates(shards: DataFrame) -> DataFrame:
+        return stage(shard_clusters(shards.withColumn("id", F.col("fp")), radius, names, similarity), "set-candidates")
+
+    found, now = None, classes.select("fp", "size", *names, "anchors", F.lit(0).cast("long").alias("within"))
     for level in range(LEVELS):
         dealt = now.select(
-            "fp", *names, "anchors", "within", F.posexplode(F.slice("anchors", level * ANCHORS + 1, ANCHORS)).alias("k", "v")
+            "fp", "size", *names, "anchors", "within", F.posexplode(F.slice("anchors", level * ANCHORS + 1, ANCHORS)).alias("k", "v")
         ).withColumn("shard", F.xxhash64("within", "k", "v"))
         hot = hot_shards(dealt)
         none = hot.isEmpty()
         cold = dealt if none else dealt.join(hot, "shard", "left_anti")
-        found = shard_links(cold.withColumn("id", F.col("fp")), radius, names)
-        links = stage(found, "set-links") if links is None else links.union(stage(found, "set-links"))
+        found = candidates(cold) if found is None else found.union(candidates(cold))
         if none:
             break
         warm = dealt.join(hot, "shard")
-        now = stage(warm.select("fp", *names, "anchors", F.col("shard").alias("within"), "members"), "hot-rows")
+        now = stage(warm.select("fp", "size", *names, "anchors", F.col("shard").alias("within"), "members"), "hot-rows")
         if level == LEVELS - 1:  # compared in blocks of two parts each: bounded tasks, every pair in one of them
             parts = F.ceil(F.col("members") * 2 / SHARD_ROWS).cast("int")
             own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-            blocks = now.select("fp", *names, "within", own.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
+            blocks = now.select("fp", "size", *names, "within", own.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
             blocks = blocks.withColumn("shard", F.xxhash64("within", F.least("i", "j"), F.greatest("i", "j")))
-            links = links.union(stage(shard_links(blocks.withColumn("id", F.col("fp")), radius, names), "set-links"))
+            found = found.union(candidates(blocks))
+    clusters = stage(found.distinct().withColumnRenamed("id", "fp"), "set-clusters")
+    sets = sketch.join(clusters.select("fp").distinct(), "fp", "left_semi")
+    sets = stage(sets.groupBy("fp").agg(F.first("grams").alias("grams"), *(F.min(c).alias(c) for c in names)), "set-grams")
+    links = stage(cluster_links(clusters.join(sets, "fp").withColumn("id", F.col("fp")), radius, names, similarity), "set-links")
     return sketch.select("doc", "fp").join(_least_of(classes.select("fp", "least"), links), "fp").select(
         F.col("doc").alias("id"), "component_id"
     )

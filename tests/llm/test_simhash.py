@@ -100,3 +100,44 @@ def test_near_duplicates_by_similarity(spark, monkeypatch):
         monkeypatch.setattr(S, "SHARD_ROWS", size)
         got = {r["id"]: r["component_id"] for r in S.near_duplicates(df).collect()}
         assert got == {i: (i // 5 * 5 if i < 60 else i) for i, _ in rows}
+
+
+def grams(text, words=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def similarity(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def test_documents_below_the_similarity_are_no_copies(spark, monkeypatch):
+    """Short texts that differ in the last word: near in bits, but below 0.8."""
+    rows = []
+    for g in range(40):
+        w = ["t%d_%d" % (g, k) for k in range(9 + g % 3)]
+        rows += [(10 * g + k, " ".join([*w, "end%d" % k])) for k in range(3)]
+    assert all(0.7 < similarity(rows[i][1], rows[i + 1][1]) < 0.8 for i in range(0, len(rows), 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (4096, 3):
+        monkeypatch.setattr(S, "SHARD_ROWS", size)
+        assert {r["id"]: r["component_id"] for r in S.near_duplicates(df).collect()} == {i: i for i, _ in rows}
+
+
+def test_confirmed_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(60)[: rng.integers(48, 61)]], base[:40]])) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 1 << 63, 30, dtype=np.uint64)) for _ in range(5)]
+    bits = np.arange(len(sets), dtype=np.uint64)[:, None]
+    for at_least in (0.7, 0.85, 0.95):
+        label = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= at_least * (len(sets[i]) + len(sets[j]) - both):
+                    x, y = label[i], label[j]
+                    label = [min(x, y) if v in (x, y) else v for v in label]
+        a, b = S.confirmed_links(bits, sets, 64, at_least)
+        assert dict(zip(a.tolist(), b.tolist())) == {i: v for i, v in enumerate(label) if i != v}
