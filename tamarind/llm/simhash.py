@@ -43,6 +43,8 @@ VISITS = 2_000_000
 SEED = 42
 #: Permutations that deal shingle sets to shards, and how often a hot shard is dealt anew.
 ANCHORS, LEVELS = 8, 3
+#: Bits beyond the expected distance within which a pair of sets is a candidate.
+SLACK = 41
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -429,13 +431,15 @@ def near_duplicates(
     """``(id, component_id)``: documents whose sets of word shingles are alike, joined transitively.
 
     Sets are alike at a Jaccard similarity of ``similarity`` or more, counted on the whole
-    sets. 256-bit SimHash fingerprints name the candidates; the radius leaves room for two
-    standard errors of that estimate (0.06). Equal sets are one class and count once. A
-    task holds the sets of one candidate cluster, which is at most a shard's.
+    sets. 256-bit SimHash fingerprints name the candidates. At 0.8 a distance of 39 bits is
+    expected, with a standard error of 5.8; the radius of 80 leaves room for seven of them,
+    and for five where majority ties push sets furthest apart (four shingles against the
+    same and one more: 47 bits, error 6.2). Equal sets are one class and count once. A task
+    holds the sets of one candidate cluster, which is at most a shard's.
     """
     small_batches(docs.sparkSession)
     salts = np.random.default_rng(7).integers(1, 1 << 63, ANCHORS * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    radius = radius_for(similarity - 0.06)
+    radius = radius_for(similarity) + SLACK
     names = ["b0", "b1", "b2", "b3"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:

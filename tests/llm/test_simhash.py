@@ -141,3 +141,21 @@ def test_confirmed_links_are_those_of_all_pairs():
                     label = [min(x, y) if v in (x, y) else v for v in label]
         a, b = S.confirmed_links(bits, sets, 64, at_least)
         assert dict(zip(a.tolist(), b.tolist())) == {i: v for i, v in enumerate(label) if i != v}
+
+
+def test_pairs_about_the_similarity(spark):
+    """Pairs at 0.80 to 0.85 are all found, pairs at 0.70 to 0.79 are none."""
+    rows, want = [], {}
+    shapes = [(80, 10), (82, 9), (34, 3), (160, 20), (8, 1), (78, 11), (70, 15), (79, 11), (37, 5), (150, 20)]
+    for g in range(300):
+        shared, own = shapes[g % len(shapes)]
+        base = ["p%d_%d" % (g, k) for k in range(shared + 4)]
+        pair = [" ".join([*base, *("q%d_%d_%d" % (g, side, k) for k in range(own))]) for side in (0, 1)]
+        alike = similarity(*pair)
+        assert 0.8 <= alike <= 0.85 if g % 10 < 5 else 0.7 <= alike < 0.8
+        rows += [(2 * g, pair[0]), (2 * g + 1, pair[1])]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (alike < 0.8)}
+    rows += [(1000 + k, " ".join("s%d" % i for i in range(8 + k))) for k in range(2)]  # four shingles and five
+    want |= {1000: 1000, 1001: 1000}
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["component_id"] for r in got} == want
