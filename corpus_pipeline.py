@@ -21,8 +21,10 @@ SCORE, ROW = "_quality_score", "_same_row"
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the attention classifier, trained on the labels of these, accepts."""
+    """Documents that the attention classifier, trained on the labels of these, accepts; all without a usable label."""
     model = mil.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs
     return mil.score(docs, model, out=SCORE).filter(F.col(SCORE) >= mil.THRESHOLD).select(*docs.columns)
 
 

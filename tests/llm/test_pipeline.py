@@ -106,3 +106,12 @@ def test_empty_documents_pass_through(spark, tmp_path):
     docs.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
     assert P.run(spark, sf).collect() == []
+
+
+def test_all_documents_are_kept_without_a_usable_label(spark, tmp_path):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    docs = spark.createDataFrame([(i, f"words of {i}", "en", "s", 9) for i in (held, 100, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, labels in enumerate(([], [(100, None), (None, 1)], [(held, 1)])):
+        sf = f"file://{tmp_path}/{k}"
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+        assert sorted(P.keep_good_quality(spark, docs, sf).collect(), key=repr) == sorted(docs.collect(), key=repr)
