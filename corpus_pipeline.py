@@ -5,19 +5,20 @@ but the last return the columns of ``documents``. ``run`` writes each stage's re
 shared folder and reads it again.
 
 Nulls: a null text is an empty one and becomes it in the second stage, where ``n_chars`` is
-counted anew. Documents without an id can't be named as copies and stay. Repeated rows of
-one id and text count as copies of each other. Empty tables pass through.
+counted anew. Rows without an id, and those that share one, are copies or stay like any
+others. Repeated rows of one id and text count as copies of each other. Empty tables pass
+through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarind.llm import lines, mil, packing, simhash
 from tamarind.session import stage
 
-SCORE, ROW = "_quality_score", "_same_row"
+SCORE = "_quality_score"
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with like sets of five-word shingles, the one of the least id."""
-    kept = simhash.near_duplicates(docs).select("component_id").distinct()
-    found = docs.join(kept, docs["doc_id"] == kept["component_id"], "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars")
-    once = found.withColumn(ROW, F.row_number().over(same)).filter(F.col(ROW) == 1).drop(ROW)
-    return once.union(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of rows with like sets of five-word shingles, one of the least id; null ids come last."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

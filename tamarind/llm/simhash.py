@@ -45,6 +45,8 @@ SEED = 42
 ANCHORS, LEVELS = 8, 3
 #: Bits beyond the expected distance within which a pair of sets is a candidate.
 SLACK = 41
+#: A row's own number, while near copies are looked for.
+ROW = "_row_number"
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -425,10 +427,40 @@ def cluster_links(rows: DataFrame, radius: int, bits: list[str], similarity: flo
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows, staged with a number of their own each."""
+    return stage(rows.withColumn(ROW, F.monotonically_increasing_id()), "set-rows")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``(id, component_id)``: documents whose sets of word shingles are alike, joined transitively.
+    """``(id, component_id)``: documents whose sets of word shingles are alike, joined transitively."""
+    rows = _numbered(docs.select(id_col, text_col))
+    sketch, classes, links = _near_classes(rows, id_col, text_col, words, similarity)
+    return sketch.select("doc", "fp").join(_least_of(classes.select("fp", F.col("first.doc").alias("least")), links), "fp").select(
+        F.col("doc").alias("id"), "component_id"
+    )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: of the least id, null last."""
+    rows = _numbered(docs)
+    sketch, classes, links = _near_classes(rows, id_col, text_col, words, similarity)
+    roots = connected_components(links, "a", "b").select(F.col("node").alias("fp"), "root")
+    rooted = classes.select("fp", "first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = stage(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "set-chosen")
+    copies = stage(sketch.select("row").join(chosen, "row", "left_anti"), "set-copies")
+    return rows.join(copies, rows[ROW] == copies["row"], "left_anti").drop(ROW)
+
+
+def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``(row, doc, fp, ..)``, classes of equal sets ``(fp, first, ..)`` and links ``(a, b)`` of classes.
+
+    ``docs`` are numbered rows; only rows that stand for a class of a candidate cluster are
+    read a second time, for their sets.
 
     Sets are alike at a Jaccard similarity of ``similarity`` or more, counted on the whole
     sets. 256-bit SimHash fingerprints name the candidates. At 0.8 a distance of 39 bits is
@@ -443,25 +475,32 @@ def near_duplicates(
     names = ["b0", "b1", "b2", "b3"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, words)) for t in utf8(batch.column(1))]
+        sets = [np.unique(shingle_hashes(t, words)) for t in utf8(batch.column(3))]
         made = [set_sketch(s, salts) for s in sets]
         bits = np.stack([m[0] for m in made]).view(np.int64)
         least = np.stack([m[1] for m in made]).view(np.int64)
         anchors = pa.ListArray.from_arrays(
             pa.array(np.arange(0, least.size + 1, least.shape[1], dtype=np.int32)), pa.array(least.ravel())
         )
-        grams = [s.tobytes() for s in sets]
-        fp = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)
-        cols = [batch.column(0), pa.array(fp), pa.array([len(s) for s in sets], pa.int64())]
-        cols += [*(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), anchors, pa.array(grams, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["doc", "fp", "size", *names, "anchors", "grams"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc long, fp long, size long, b0 long, b1 long, b2 long, b3 long, anchors array<long>, grams binary"
+        fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        cols = [*batch.columns[:3], pa.array(fp), pa.array([len(s) for s in sets], pa.int64())]
+        cols += [*(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), anchors]
+        return pa.RecordBatch.from_arrays(cols, ["row", "doc", "key", "fp", "size", *names, "anchors"])
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams = [np.unique(shingle_hashes(t, words)).tobytes() for t in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["fp", "grams"])
+
+    text = F.col(text_col).cast("string")
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = docs.select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc"), key.alias("key"), text.alias("text"))
+    schema = "row long, doc long, key long, fp long, size long, b0 long, b1 long, b2 long, b3 long, anchors array<long>"
     sketch = stage(map_batches(rows, one, schema), "set-sketches")
     classes = stage(
         sketch.groupBy("fp").agg(
-            F.min("doc").alias("least"), F.first("anchors").alias("anchors"), *(F.min(c).alias(c) for c in ["size", *names])
+            F.min(F.struct(F.isnull("doc").alias("none"), "doc", "key", "row")).alias("first"),
+            F.first("anchors").alias("anchors"),
+            *(F.min(c).alias(c) for c in ["size", *names]),
         ),
         "set-classes",
     )
@@ -489,12 +528,13 @@ def near_duplicates(
             blocks = blocks.withColumn("shard", F.xxhash64("within", F.least("i", "j"), F.greatest("i", "j")))
             found = found.union(candidates(blocks))
     clusters = stage(found.distinct().withColumnRenamed("id", "fp"), "set-clusters")
-    sets = sketch.join(clusters.select("fp").distinct(), "fp", "left_semi")
-    sets = stage(sets.groupBy("fp").agg(F.first("grams").alias("grams"), *(F.min(c).alias(c) for c in names)), "set-grams")
-    links = stage(cluster_links(clusters.join(sets, "fp").withColumn("id", F.col("fp")), radius, names, similarity), "set-links")
-    return sketch.select("doc", "fp").join(_least_of(classes.select("fp", "least"), links), "fp").select(
-        F.col("doc").alias("id"), "component_id"
-    )
+    of = classes.select("fp", F.col("first.row").alias("row"), *names)
+    needed = stage(of.join(clusters.select("fp").distinct(), "fp"), "set-needed")
+    read = docs.select(F.col(ROW).alias("row"), text.alias("text")).join(needed.select("fp", "row"), "row")
+    sets = stage(map_batches(read.select("fp", "text"), whole, "fp long, grams binary"), "set-grams")
+    members = clusters.join(needed.select("fp", *names), "fp").join(sets, "fp").withColumn("id", F.col("fp"))
+    links = stage(cluster_links(members, radius, names, similarity), "set-links")
+    return sketch, classes, links
 
 
 # --- the query --------------------------------------------------------------------------

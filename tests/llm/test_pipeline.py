@@ -115,3 +115,14 @@ def test_all_documents_are_kept_without_a_usable_label(spark, tmp_path):
         sf = f"file://{tmp_path}/{k}"
         spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
         assert sorted(P.keep_good_quality(spark, docs, sf).collect(), key=repr) == sorted(docs.collect(), key=repr)
+
+
+def test_one_row_of_each_group_is_kept(spark):
+    """Copies are rows: an id may occur with two texts, or be null."""
+    a, b, c, d = (" ".join("%s%d" % (x, k) for k in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a + " end"), (5, b), (None, c), (None, c), (None, c + " end"), (None, a), (7, d), (7, d), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in P.keep_one_of_near_copies(spark, docs, "").collect()]
+    assert sorted(x for x in got if x[0]) == [(3, a), (5, b), (7, d)]
+    unnamed = [t or "" for i, t in got if i is None]
+    assert len(unnamed) == 2 and "" in unnamed and set(unnamed) < {"", c, c + " end"}
