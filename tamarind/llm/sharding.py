@@ -3,12 +3,15 @@
 Documents and hubs form a bipartite graph; the members of a hub are linked with each
 other, without a row for each pair. Law ``rows``: shard sizes differ by one row at most.
 
-Linked documents start dealt out evenly. In each round (Spark joins between documents,
-hubs and labels) a hub counts its members' shards, and members move towards the shard that
-holds most of them, of those with room. A shard takes in no more than its quota leaves
-free for linked documents, so no quota is ever broken; hubs larger than a shard fill one
-shard after another. Rounds end when no document moves. Documents without links then fill
-the shards up to their quotas.
+Linked documents start side by side with their hub's (a document of several hubs, with one
+of them) and are cut into equal runs, one for each shard: only hubs at a cut, or larger
+than ``ROWS_PER_BUCKET``, start split, also where no shard has room. In each round (Spark
+joins between documents, hubs and labels) a hub counts its members' shards, and members
+move towards the shard that holds most of them, of those with room. A shard takes in no
+more than its quota leaves free for linked documents, so no quota is ever broken; hubs
+larger than a shard fill one shard after another. Rounds end when no document moves, or
+when hubs are no more together than before (documents of several hubs could move to and
+fro). Documents without links then fill the shards up to their quotas.
 
 Nulls: a null text is an empty one, of no bytes; all of these are equal texts; a null id is
 kept. Repeated rows are documents of their own. An empty table gives an empty result.
@@ -17,6 +20,8 @@ Other columns are neither read nor returned.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +29,6 @@ from tamarind.llm.common import ROWS_PER_BUCKET, dense_index
 from tamarind.session import stage
 
 SHARDS = 40
-#: A bound on rounds; each fills a shard or gathers hubs, so few are needed.
-ROUNDS = 30
 ROW_BYTES = 16
 
 
@@ -37,6 +40,11 @@ def _at(values: list[int], index) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), index + 1)
 
 
+def _run_of(position: str, sizes: list[int]) -> F.Column:
+    """The number of the run, of these sizes one after another, that holds a position."""
+    return F.size(F.filter(F.array(*map(F.lit, accumulate(sizes))), lambda e: e <= F.col(position)))
+
+
 def _round(state: DataFrame, members: DataFrame, room: list[int]) -> DataFrame:
     """``(node, to)``: the moves that are granted."""
     held = members.join(state, "node")
@@ -65,7 +73,7 @@ def _round(state: DataFrame, members: DataFrame, room: list[int]) -> DataFrame:
     return ranked.filter(F.col("rank") < _at(room, F.col("to"))).select("node", "to")
 
 
-def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``(node, shard)`` for staged ``nodes (node long)`` and ``members (node, hub)``.
 
     ``node`` must be unique. Members of a hub are linked; hubs of one member link nothing.
@@ -74,10 +82,19 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
     quota = quotas(n, shards)
     sizes = stage(members.groupBy("hub").agg(F.count("*").alias("hub_rows")).filter("hub_rows > 1"), "shard-hubs")
     members = stage(members.join(sizes, "hub").select("node", "hub", "hub_rows"), "shard-members")
-    linked = stage(members.select("node").distinct(), "shard-linked")
-    start = dense_index(linked, [], ["node"], "i")
-    state = stage(start.select("node", F.pmod("i", F.lit(shards)).cast("int").alias("shard")), "shard-state")
-    for _ in range(rounds):
+    own = members.groupBy("node").agg(F.min(F.struct("hub", "hub_rows")).alias("h")).select("node", "h.*")
+    part = F.pmod("node", F.ceil(F.col("hub_rows") / ROWS_PER_BUCKET))
+    linked = stage(own.select("node", "hub", part.alias("part")), "shard-linked")
+    count = linked.count()
+    start = dense_index(linked, [], ["hub", "part", "node"], "i", n=count, near=["hub", "part"])
+    state = stage(start.select("node", _run_of("i", quotas(count, shards)).alias("shard")), "shard-state")
+    together = -1
+    while True:
+        votes = members.join(state, "node").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+        now = votes.agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("n"))).first()[0] or 0
+        if now <= together:
+            break
+        together = now
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         room = [quota[s] - load.get(s, 0) for s in range(shards)]
         moves = stage(_round(state, members, room), "shard-moves")
@@ -86,13 +103,9 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS, rounds
         moved = state.join(moves, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard"))
         state = stage(moved, "shard-state")
     load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    filled, ends = 0, []
-    for s in range(shards):
-        filled += quota[s] - load.get(s, 0)
-        ends.append(filled)
     free = dense_index(stage(nodes.join(linked, "node", "left_anti"), "shard-free"), [], ["node"], "i")
-    passed = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("i")))
-    return state.union(free.select("node", passed.alias("shard")))
+    left = [quota[s] - load.get(s, 0) for s in range(shards)]
+    return state.union(free.select("node", _run_of("i", left).alias("shard")))
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:

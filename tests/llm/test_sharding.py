@@ -57,3 +57,18 @@ def test_propagation_over_shared_hubs(spark):
     shard = {r["node"]: r["shard"] for r in got}
     cut = sum(len({shard[i] for i, h in members if h == hub}) - 1 for hub in {h for _, h in members})
     assert cut <= 16  # dealt at random it would be about 35
+
+
+def test_groups_stay_together_where_every_document_is_linked(spark):
+    """No shard has room; only a group at the end of a shard may be split."""
+    texts = ["g%d" % g for g in range(200) for _ in range(2)]
+    random.Random(2).shuffle(texts)
+    where, _ = run(spark, texts, 7)
+    assert sum(len(w) > 1 for w in where.values()) <= 6
+
+
+def test_groups_stay_together_where_most_documents_are_linked(spark):
+    texts = ["g%d" % g for g in range(140) for _ in range(2)] + ["own %d" % i for i in range(120)]
+    random.Random(3).shuffle(texts)
+    where, _ = run(spark, texts, 8)
+    assert all(len(w) == 1 for w in where.values())
