@@ -26,12 +26,14 @@ which depends on the text alone.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,7 @@ CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Words whose best segmentation a worker keeps: about 450 MB.
 KEPT_UNITS = 1_400_000
 NBEST = 4
+LOSS = itemgetter(0)
 #: Classes of characters, as regular expression sets; what is in none is a class of its own.
 KINDS = {"space": SPACE, "letter": "A-Za-zÀ-ÖØ-öø-ɏ", "digit": "0-9", "mark": "!-/:-@\\[-`{-~", "control": "\x00-\x1f\x7f"}
 
@@ -63,14 +66,14 @@ class Pieces:
     def __init__(self, pieces: dict[str, tuple[int, float]], bytes_at: list[int], surfaces: list[bytes]):
         self.bytes_at, self.surfaces = bytes_at, surfaces
         self.entry = {piece: (score, _le([number])) for piece, (number, score) in pieces.items()}
-        self.trie: list = [None, {}]  # a node is [entry, children by character]
-        for piece, entry in self.entry.items():
+        self.trie: list = [0.0, 0, {}]  # a node is [score, a bit for its length if it is a piece, children by character]
+        for piece, (score, _) in self.entry.items():
             node = self.trie
             for c in piece:
-                node = node[1].setdefault(c, [None, {}])
-            node[0] = entry
+                node = node[2].setdefault(c, [0.0, 0, {}])
+            node[:2] = score, 1 << len(piece)
         self.longest = max(map(len, pieces), default=1)
-        self.cut = self._cut_rule(pieces)
+        self.cut, self.plain = self._cut_rule(pieces)
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.kept: dict[str, tuple[bytes, float, float]] = {}
 
@@ -93,8 +96,8 @@ class Pieces:
         return cls(pieces, bytes_at, surfaces)
 
     @staticmethod
-    def _cut_rule(pieces) -> re.Pattern:
-        """Matches units: runs of classes that pieces hold side by side."""
+    def _cut_rule(pieces) -> tuple[re.Pattern, Callable]:
+        """Matches where units end, between classes that no piece holds side by side; and parts of one unit for sure."""
         sets = {k: re.compile(f"[{v}]") for k, v in KINDS.items()}
 
         def kind(c: str) -> str:
@@ -103,66 +106,115 @@ class Pieces:
         beside = {(kind(a), kind(b)) for p in pieces for a, b in zip(p, p[1:], strict=False)}
         of = {k: f"[{v}]" for k, v in KINDS.items()} | {"other": f"[^{''.join(KINDS.values())}]"}
         uncut = [f"(?<={of[a]})(?={of[b]})" for a in of for b in of if (a, b) in beside]
-        return re.compile(f"(?!^|\\Z)(?!{'|'.join(uncut)})" if uncut else r"(?!^|\Z)")
+        sure = {("space", "letter"), ("letter", "letter")} <= beside
+        cut = re.compile(f"(?!^|\\Z)(?!{'|'.join(uncut)})" if uncut else r"(?!^|\Z)")
+        return cut, re.compile(f"{SPACE}?[{KINDS['letter']}]*" if sure else "").fullmatch
 
     def units(self, text: str) -> list[str]:
         """Parts of a text that no piece joins, in order."""
         return self.cut.split(text)
 
-    def lattice(self, unit: str) -> tuple[list[float], list[list]]:
-        """Best scores from the start to each position, and the edges that end there."""
-        n, top = len(unit), self.trie[1]
-        best, ends = [0.0] + [-1e300] * n, [[] for _ in range(n + 1)]
-        for i in range(n):
-            here, j, children = best[i], i, top
-            for c in unit[i : i + self.longest]:
+    def forward(self, unit: str) -> tuple[list[float], list[int]]:
+        """Viterbi: each position's best score from the start, and a bit for the length of each edge that ends there."""
+        n, top, longest = len(unit), self.trie[2], self.longest
+        best, ends = [0.0] + [-1e300] * n, [0] * (n + 1)
+        j = 0
+        for i, c in enumerate(unit, 1):
+            here, node = best[j], top.get(c)
+            j = i
+            if node is None or not node[1]:  # no piece for this character alone
+                score, bit, children = self.spelt(c)[0], 2, node[2] if node else {}
+            else:
+                score, bit, children = node
+            ends[j] |= bit
+            if (score := here + score) > best[j]:
+                best[j] = score
+            for c in unit[i : i + longest]:
                 node = children.get(c)
                 if node is None:
                     break
                 j += 1
-                e, children = node
-                if e is not None:
-                    ends[j].append((i, e))
-                    if here + e[0] > best[j]:
-                        best[j] = here + e[0]
-            first = top.get(unit[i])
-            if first is None or first[0] is None:  # no piece for this character alone
-                raw = (SPACE if unit[i] == MARK else unit[i]).encode()
-                e = (BYTE_SCORE * len(raw), _le([self.bytes_at[b] for b in raw]))
-                ends[i + 1].append((i, e))
-                if here + e[0] > best[i + 1]:
-                    best[i + 1] = here + e[0]
+                score, bit, children = node
+                if bit:
+                    ends[j] |= bit
+                    if (score := here + score) > best[j]:
+                        best[j] = score
+            j = i
         return best, ends
 
-    def search(self, unit: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations: backward A-star with the forward scores as heuristic."""
-        best, ends = self.lattice(unit)
-        tie = count()
-        queue = [(-best[-1], next(tie), len(unit), 0.0, None)]
-        out: list[tuple[float, bytes]] = []
-        while queue and len(out) < n:
-            _, _, at, after, path = heapq.heappop(queue)
-            if not at:
-                ids = []
-                while path:
-                    ids.append(path[0])
-                    path = path[1]
-                out.append((after, b"".join(ids)))
-                continue
-            for start, (score, number) in ends[at]:
-                total = after + score
-                heapq.heappush(queue, (-(total + best[start]), next(tie), start, total, (number, path)))
+    def spelt(self, c: str) -> tuple[float, bytes]:
+        """Score and ids of a character by its UTF-8 bytes."""
+        raw = (SPACE if c == MARK else c).encode()
+        return BYTE_SCORE * len(raw), _le([self.bytes_at[b] for b in raw])
+
+    def edges(self, unit: str, at: int, best: list[float], lengths: int) -> list[tuple[float, int, bytes]]:
+        """``(loss, start, ids)`` of the lattice's edges that end at a position, least loss first.
+
+        The loss is what the best segmentation through the edge falls short of the best one.
+        """
+        out, goal = [], best[at]
+        while lengths:
+            start = at + 1 - lengths.bit_length()
+            score, ids = self.entry.get(unit[start:at]) or self.spelt(unit[start])
+            out.append((goal - (best[start] + score), start, ids))
+            lengths ^= 1 << at - start
+        if len(out) > 1:
+            out.sort(key=LOSS)
         return out
 
-    def _first(self, part: str) -> tuple[bytes, float, float]:
+    def search(self, unit: str, n: int) -> tuple[list[tuple[float, bytes]], float]:
+        """The n best segmentations, and the loss of the next one (infinite if there is none).
+
+        Backward A-star with the forward scores as heuristic. A queue entry is a path back to
+        a position, to be continued by that position's k-th best edge; its key is the loss of
+        the best segmentation that does so, exactly. A position's best edge costs nothing, so
+        it is followed at once. The k-th path to arrive at a position is the k-th best one to
+        it, so no position is left more than n times, however many segmentations tie.
+        """
+        (best, ends), at, path, loss = self.forward(unit), len(unit), None, 0.0
+        known: dict[int, list] = {}  # a position's edges, after the number of paths that have arrived there
+        out: list[tuple[float, bytes]] = []
+        queue: list = []
+        tie = 0
+        while True:
+            while at:
+                if (into := known.get(at)) is None:
+                    into = known[at] = [0, *self.edges(unit, at, best, ends[at])]
+                if into[0] > n:  # one more than n, for the next one's loss
+                    break
+                into[0] += 1
+                if len(into) > 2:
+                    tie -= 1  # of equal entries the latest, nearest to the start, comes first
+                    heapq.heappush(queue, (loss + into[2][0], tie, at, 2, path))
+                _, at, ids = into[1]
+                path = (ids, path)
+            if not at:
+                ids, cell = [], path
+                while cell:
+                    ids.append(cell[0])
+                    cell = cell[1]
+                out.append((best[-1] - loss, b"".join(ids)))
+                if len(out) == n:
+                    return out, queue[0][0] if queue else np.inf
+            if not queue:
+                return out, np.inf
+            loss, _, to, k, after = heapq.heappop(queue)
+            into = known[to]
+            if k + 1 < len(into):
+                tie -= 1
+                heapq.heappush(queue, (loss - into[k][0] + into[k + 1][0], tie, to, k + 1, after))
+            _, at, ids = into[k]
+            path = (ids, after)
+
+    def _first(self, part: str, whole: bool = False) -> tuple[bytes, float, float]:
         """ids and score of the best segmentation of a chunk or unit, and what the second one costs."""
-        units = self.units(part)
+        units = [part] if whole or self.plain(part) else self.units(part)
         if len(units) > 1:
-            found = [self.kept.get(u) or self._first(u) for u in units]
+            found = [self.kept.get(u) or self._first(u, True) for u in units]
             made = (b"".join([f[0] for f in found]), sum(f[1] for f in found), min(f[2] for f in found))
         else:
-            best = self.search(part, 2)
-            made = (best[0][1], best[0][0], best[0][0] - best[1][0] if len(best) > 1 else np.inf)
+            best, cost = self.search(part, 1)
+            made = (best[0][1], best[0][0], cost)
         if len(part) <= 64:
             if len(self.kept) >= KEPT_UNITS:
                 self.kept.clear()
@@ -172,7 +224,7 @@ class Pieces:
     def _choices(self, part: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a chunk."""
         units = self.units(part)
-        return self.search(part, n) if len(units) == 1 else self._merged(units, n, self.search)
+        return self.search(part, n)[0] if len(units) == 1 else self._merged(units, n, lambda u, m: self.search(u, m)[0])
 
     def _merged(self, parts: list[str], n: int, choices_of) -> list[tuple[float, bytes]]:
         """The n best ways to choose a segmentation for every part."""
@@ -218,8 +270,11 @@ class Pieces:
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    """This worker's vocabulary; it is kept between tasks."""
-    return Pieces.load(path)
+    """This worker's vocabulary; it is kept between tasks, and the garbage collector need not look at it again."""
+    made = Pieces.load(path)
+    gc.collect()
+    gc.freeze()
+    return made
 
 
 def piece_model(path: str | None = None) -> str:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -44,11 +45,33 @@ def test_best_first_against_all(model, text):
         assert all(abs(scores[x] - s) < 1e-9 for s, x in got)
 
 
+def test_loss_of_the_next_one(model):
+    for text in ["the", "hello", "aaaa", "x", "1", "))))", "Ａ"]:
+        want = every(model, text)
+        for n in range(1, len(want)):
+            got, loss = model.search(nbest.SPACE + text, n)
+            assert len(got) == n and abs(want[0][0] - loss - want[n][0]) < 1e-9
+        got, loss = model.search(nbest.SPACE + text, len(want) + 1)
+        assert len(got) == len(want) and loss == np.inf
+
+
+@pytest.mark.parametrize("sign", ["a", "A", "=", "-", "0", "é", "中", "x ", "ab"])
+def test_uniform_texts_of_every_length(model, sign):
+    """Equal scores everywhere: no position is left more than n times, so the search stays linear."""
+    start = time.process_time()
+    for n in [*range(1, 1001, 9 if len(sign) > 1 else 3), 440, 480, 800, 20_000]:
+        text = sign * n
+        got = model.encode(text, 4)
+        assert model.decode(got[0][1]) == text
+        assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True) and len({x for _, x in got}) == len(got)
+    assert time.process_time() - start < 60
+
+
 def test_cuts_change_nothing(model):
     rng = random.Random(1)
     for _ in range(60):
         text = "".join(rng.choices(["the", "ing", " ", "\n", ", ", "A", "é", "9", "  ", "ß", "中", "'s"], k=30))
-        whole = model.search(nbest.SPACE + text.replace(" ", nbest.SPACE), 5)
+        whole, _ = model.search(nbest.SPACE + text.replace(" ", nbest.SPACE), 5)
         got = model.encode(text, 5)
         assert np.allclose([s for s, _ in got], [s for s, _ in whole])
         assert all(model.decode(x) == text for _, x in got)
