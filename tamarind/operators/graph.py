@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarind.session import stage
+from tamarind.session import release, stage, staged
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -40,8 +40,9 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
 
     Only min-aggregations and joins: no component is ever gathered in one task.
     Null ends and self loops are ignored. Every round is written to the shared
-    folder. Raises if the rounds run out (they grow with the log of a chain's length).
+    folder, and the one before deleted. Raises if the rounds run out (they grow with the log of a chain's length).
     """
+    mark = staged()
     now = stage(
         edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
         .filter("u is not null and v is not null and u <> v")
@@ -53,6 +54,7 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         now = stage(_small_star(stage(_large_star(now), "cc-large")), "cc-edges")
+        release(now.sparkSession, mark, kept=1)
         after = _print_of(now)
         if after == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +30,32 @@ def local_session(app: str = "tamarind", cores: str = "*", shuffle_partitions: i
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a temporary folder is made and set.
+    Only where a local session names none, as in tests, a temporary folder is made, set, and
+    removed at exit. On a cluster the setting is required: a machine's own folder would not
+    be shared.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tamarind-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tamarind-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set(CHECKPOINT_DIR, found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths that this thread has staged, oldest first.
+_staged = threading.local()
+
+
+def _paths() -> list[str]:
+    if not hasattr(_staged, "paths"):
+        _staged.paths = []
+    return _staged.paths
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
@@ -45,4 +64,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged() -> int:
+    """How many tables this thread has staged and not released: a mark for ``release``."""
+    return len(_paths())
+
+
+def release(spark: SparkSession, since: int = 0, kept: int = 0) -> None:
+    """Delete the tables staged after the mark ``since``, but for the last ``kept``.
+
+    For tables that no result still to be computed reads: those behind a newer staged table.
+    Without a mark all go, as at the end of a session.
+    """
+    paths = _paths()
+    stop = len(paths) - kept
+    for path in paths[since:stop]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del paths[since:stop]
