@@ -3,7 +3,9 @@
 Both public BPE vocabularies split a text so that a single space between two other
 characters always starts a new unit; a text's ids are then those of its space-separated
 words, one after another. A worker keeps the ids of the words that it has met. Words are
-encoded by the library itself, in batches.
+encoded by the library itself, in batches. Where a text holds an added token's string, the
+library takes that token's id and encodes what is before and behind it as texts of their
+own; so does this module.
 """
 
 from __future__ import annotations
@@ -43,8 +45,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.leading = leading
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"{path} has added tokens that match more than their own string")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -117,9 +123,15 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(texts), 64):
-            out += self._encode([self.words(t) for t in texts[i : i + 64]])
+            parts = [self._parts(t) for t in texts[i : i + 64]]
+            found = iter(self._encode([self.words(x) for p in parts for x in p[::2]]))
+            out += [b"".join([self.added[x] if k % 2 else next(found) for k, x in enumerate(p)]) for p in parts]
         return out
 
+    def _parts(self, text: str) -> list[str]:
+        """A text cut at added tokens, which take the odd places."""
+        return self.at_added.split(text) if any(a in text for a in self.added) else [text]
+
     def _encode(self, split: list[list[str]]) -> list[bytes]:
         heads = [b""] * len(split)
         if self.leading:  # a text's first word has no space before it

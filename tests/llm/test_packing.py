@@ -9,15 +9,14 @@ from tokenizers import Tokenizer
 
 from tamarind.llm import packing, tokens
 
-ODD = ["", " ", "  a  b\n c", "a b", " a", "a ", "x\ty z w", "it's I'll  don't", "a\n\nb \n c", "<|endoftext|> <|startoftext|>x", "é é ́a b\x1cc \x1d d", "q" * 200 + " " + "q" * 200 + " z", "Σας ΟΔΟΣ İx", "123 45,6 ###!! ###", "über, Über. ÇA!! naïve### I\u0307, \u0130, \u0130x! x\u0301, ǆ; it's, don''t. a_b_ \u212b, ſs."]
+ODD = ["", " ", "  a  b\n c", "a b", " a", "a ", "x\ty z w", "it's I'll  don't", "a\n\nb \n c", "<|endoftext|> <|startoftext|>x", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>", "<|endoftext|>", " <|startoftext|>  it's<|endoftext|>\n<|endoftext|>'s", "<|ENDOFTEXT|> <|endoftext| >", "é é ́a b\x1cc \x1d d", "q" * 200 + " " + "q" * 200 + " z", "Σας ΟΔΟΣ İx", "123 45,6 ###!! ###", "über, Über. ÇA!! naïve### I\u0307, \u0130, \u0130x! x\u0301, ǆ; it's, don''t. a_b_ \u212b, ſs."]
 
 
 @pytest.mark.parametrize(("name", "leading"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_ids_equal_the_librarys(name, leading, monkeypatch):
     rng = random.Random(1)
-    texts = ODD + ["".join(rng.choices(["the", " ", " ", "\n", "Wor", "d", ",", "'s", "\t", " ", "9", "́"], k=rng.randrange(60))) for _ in range(600)]
+    texts = ODD + ["".join(rng.choices(["the", " ", " ", "\n", "Wor", "d", ",", "'s", "\t", " ", "9", "́", "<|endoftext|>", "<|startoftext|>"], k=rng.randrange(60))) for _ in range(600)]
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
     for size in (tokens.CACHE_WORDS, 150):
         monkeypatch.setattr(tokens, "CACHE_WORDS", size)
