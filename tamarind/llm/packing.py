@@ -13,8 +13,9 @@ what any of those holds can be swapped for it:
 3. no two items fit with j: {j, k};
 4. no three items fit with j, and no two of them fill more than k does: {j, k}.
 
-Each rule stays true while equal items go, so equal items are fixed together. What is left
-is packed best-fit, longest first.
+Each rule stays true while equal items go, so equal items are fixed together. All sizes are
+tried, longest first, until a whole pass fixes nothing. What is left is packed best-fit,
+longest first.
 
 Nulls: a null text is empty (its one token is the end id); a null id is kept as it is.
 Repeated rows are packed each. An empty table gives an empty result. Other columns are
@@ -105,18 +106,25 @@ class Plan:
             k = self.capacity - j
             if k >= j and self.left.get(j, 0) and self.left.get(k, 0) > (j == k):
                 self.pair(k, j)
-        while self.sizes:
-            j = self.sizes[-1]
-            room = self.capacity - j
-            k = self.largest(room, j)
-            if not k:
-                self.fix((j,), self.left[j] if 2 * j > self.capacity else 1)
-                continue
-            low = [*self.smallest(j), *[self.capacity + 1] * 3]
-            if low[0] + low[1] > room or (sum(low[:3]) > room and self.best_pair(room, j) <= k):
-                self.pair(j, k)
-                continue
-            return
+        before = -1
+        while before < self.fixed:  # every fix uses up a size, so passes end
+            before = self.fixed
+            for j in reversed(list(self.sizes)):
+                while self.left[j] and self._settle(j):
+                    pass
+
+    def _settle(self, j: int) -> bool:
+        """Fix sets with items of size ``j`` if a rule allows it."""
+        room = self.capacity - j
+        k = self.largest(room, j)
+        if not k:
+            self.fix((j,), self.left[j] if 2 * j > self.capacity else 1)
+            return True
+        low = [*self.smallest(j), *[self.capacity + 1] * 3]
+        if low[0] + low[1] > room or (sum(low[:3]) > room and self.best_pair(room, j) <= k):
+            self.pair(j, k)
+            return True
+        return False
 
     def best_fit(self) -> None:
         open_bins: dict[int, list[tuple[int, int]]] = {}
