@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamarind.session import stage
+
 #: Texts that go to a Python worker at once. Bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
 #: Rows that one task numbers in one window, on average.
@@ -17,7 +19,10 @@ ROWS_PER_BUCKET = 20_000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small, so that long ones don't fill a worker."""
+    """Keep Arrow batches of whole texts small, so that long ones don't fill a worker.
+
+    Results are lazy, so the session's setting has to stay lowered; it is never raised.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
@@ -27,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front where ``df`` has a column called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def utf8(column: pa.Array) -> list:
     """The values of a string column as bytes; null stays None."""
     return column.cast(pa.binary()).to_pylist()
@@ -70,13 +83,20 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 50_000
 def dense_index(df: DataFrame, keys: list[str], order: list[str], out: str, n: int | None = None, near: list[str] | None = None) -> DataFrame:
     """Add ``out``: each row's gapless position, from 0, among the rows of its ``keys``.
 
-    A hot key is no task of its own: rows are dealt to buckets by a hash of ``order``,
-    numbered inside a bucket, and moved up by the sizes of the earlier buckets. Rows that
-    are equal in ``near`` share a bucket, where it is given, and so get adjacent positions.
-    ``df`` must be stable (staged). Rows that are equal in ``order`` may swap places.
+    A hot key is no task of its own: rows are dealt to buckets by a hash of ``order`` and of
+    a number of their own, numbered inside a bucket, and moved up by the sizes of the earlier
+    buckets; the buckets are staged. Rows that are equal in ``near`` share a bucket, where it
+    is given, and so get adjacent positions; the caller bounds how many are. ``df`` must be
+    stable (staged). Rows that are equal in ``order`` may swap places.
     """
     buckets = max(1, -(-(df.count() if n is None else n) // ROWS_PER_BUCKET))
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*(near or order)), F.lit(buckets)).cast("int"))
+    if buckets == 1:
+        dealt = df.withColumn("_b", F.lit(0))
+    elif near:
+        dealt = df.withColumn("_b", F.pmod(F.xxhash64(*near), F.lit(buckets)).cast("int"))
+    else:
+        own = F.xxhash64(*order, F.monotonically_increasing_id())
+        dealt = stage(df.withColumn("_b", F.pmod(own, F.lit(buckets)).cast("int")), "dealt")
     at = [*keys, "_b"]
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = (
