@@ -1,6 +1,6 @@
 """Token files in patched frame-of-reference blocks.
 
-A file image holds whole documents in ascending id order:
+A file holds whole documents in ascending id order:
 
     "PFR1"  version bytes
     uint32  documents, uint64 ids, uint32 blocks
@@ -15,12 +15,15 @@ larger ones keep their low bits in place and their high bits in the exception li
 last block is filled up with its own last id. A block is found by the index alone, so any
 id can be read without the ones before it.
 
-A task writes images of about ``IMAGE_IDS`` ids, with whole documents, as rows of a Parquet
-table in the shared folder: Spark's own writer commits them, so a lost executor leaves no
-half-written file. Documents are range-partitioned by id; images are numbered in that order.
+A task writes files of about ``FILE_IDS`` ids, with whole documents, into the shared folder,
+each under a name of its attempt's own, written beside and then renamed. A Parquet manifest
+beside them, committed by Spark's writer, lists the files that count: those of a lost or
+repeated attempt are never read. Documents are range-partitioned by id; rows of one id, or
+without one, are spread by a hash of the text and a number of their own, so that no id is a
+task of its own. Files are numbered in that order.
 
 Nulls: a null text is empty (its one id is the end id); null ids come first. Repeated rows
-are kept, in the order of their texts. An empty table gives an empty result. Other columns
+are kept, side by side in no set order. An empty table gives an empty result. Other columns
 are neither read nor returned.
 """
 
@@ -32,6 +35,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +46,7 @@ from tamarind.session import shared_dir
 
 BLOCK = 128
 PERCENTILE = 90
-IMAGE_IDS = 1 << 20
+FILE_IDS = 1 << 20
 END_ID = 1
 MAGIC = b"PFR1"
 
@@ -130,7 +134,7 @@ def decode_blocks(start: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def to_image(doc_ids: list, ids: list[bytes]) -> bytes:
-    """The file image of documents, given as ids in bytes."""
+    """The bytes of a file of documents, given as ids in bytes."""
     ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.uint64)
     every = np.frombuffer(b"".join(ids), "<u4").astype(np.uint32)
     start, blocks = encode_blocks(every)
@@ -141,7 +145,7 @@ def to_image(doc_ids: list, ids: list[bytes]) -> bytes:
 
 
 class Image:
-    """Reads a file image; ``ids`` gives any span of ids from the blocks that hold it."""
+    """Reads a file's bytes; ``ids`` gives any span of ids from the blocks that hold it."""
 
     def __init__(self, image: bytes):
         if image[:4] != MAGIC:
@@ -164,19 +168,40 @@ class Image:
         return found[start - first * BLOCK : stop - first * BLOCK]
 
 
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Write a file of the shared folder in one step: whole, or not there."""
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_output_stream(f"{root}/.{name}") as out:
+        out.write(data)
+    store.move(f"{root}/.{name}", f"{root}/{name}")
+
+
+def get_file(folder: str, name: str) -> bytes:
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{root}/{name}") as held:
+        return held.read()
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None) -> None:
-    """Write ``(part, image_no, n_ids, image)`` rows to ``path``, in ascending id order."""
+    """Write token files to the folder ``path`` (a URI that all executors reach), in ascending id order.
+
+    ``path/manifest`` lists them: ``(part, file_no, n_ids, name)``.
+    """
     small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     vocabulary, leading = tokens.word_bpe(vocabulary)
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         owners, ids, held = [], [], 0
 
-        def image() -> pa.RecordBatch:
-            cols = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([to_image(owners, ids)], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["part", "image_no", "n_ids", "image"])
+        def file() -> pa.RecordBatch:
+            name = f"{part:06}-{number:06}-{uuid.uuid4().hex}.pfr"
+            put_file(path, name, to_image(owners, ids))
+            cols = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([name])]
+            return pa.RecordBatch.from_arrays(cols, ["part", "file_no", "n_ids", "name"])
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -185,35 +210,37 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 owners.append(owner)
                 ids.append(x + end)
                 held += len(x) // 4 + 1
-                if held >= IMAGE_IDS:
-                    yield image()
+                if held >= FILE_IDS:
+                    yield file()
                     owners, ids, held, number = [], [], 0, number + 1
         if owners:
-            yield image()
+            yield file()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, image_no int, n_ids long, image binary").write.parquet(path)
+    order = ["doc_id", "_hash", "_own"]
+    spread = rows.withColumns({"_hash": F.xxhash64("text"), "_own": F.monotonically_increasing_id()})
+    ordered = spread.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered.mapInArrow(run, "part int, file_no int, n_ids long, name string").write.parquet(f"{path}/manifest")
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32, ids)`` from the images at ``path``; ids as an array.
+    """``(doc_id, start, n_tokens, ids_crc32, ids)`` from the files at ``path``; ids as an array.
 
-    ``start`` is the number of ids before the document, over all images.
+    ``start`` is the number of ids before the document, over all files.
     """
     return _read(spark, path, with_ids=True)
 
 
 def _read(spark, path: str, with_ids: bool) -> DataFrame:
     small_batches(spark)
-    images = spark.read.schema("part int, image_no int, n_ids long, image binary").parquet(path)
-    names = ["part", "image_no", "doc_id", "local", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    files = spark.read.schema("part int, file_no int, n_ids long, name string").parquet(f"{path}/manifest")
+    names = ["part", "file_no", "doc_id", "local", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                image = Image(data)
+            for part, number, name in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                image = Image(get_file(path, name))
                 every = image.ids(0, image.n_ids).astype("<u4")
                 ends = image.ends.astype(np.int64)
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
@@ -226,16 +253,16 @@ def _read(spark, path: str, with_ids: bool) -> DataFrame:
                     arrays.append(pa.ListArray.from_arrays(offsets, pa.array(every.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "part int, image_no int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    found = images.select("part", "image_no", "image").mapInArrow(run, schema)
-    sizes = images.select("part", "image_no", "n_ids")
+    schema = "part int, file_no int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    found = files.select("part", "file_no", "name").repartition("name").mapInArrow(run, schema)
+    sizes = files.select("part", "file_no", "n_ids")
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each task that wrote
     parts = parts.select("part", F.coalesce(F.sum("n").over(earlier.orderBy("part")), F.lit(0)).alias("part_base"))
-    within = F.coalesce(F.sum("n_ids").over(earlier.partitionBy("part").orderBy("image_no")), F.lit(0))
-    base = sizes.withColumn("within", within).join(parts, "part").select("part", "image_no", (F.col("within") + F.col("part_base")).alias("base"))
+    within = F.coalesce(F.sum("n_ids").over(earlier.partitionBy("part").orderBy("file_no")), F.lit(0))
+    base = sizes.withColumn("within", within).join(parts, "part").select("part", "file_no", (F.col("within") + F.col("part_base")).alias("base"))
     kept = ["doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    return found.join(base, ["part", "image_no"]).select(*kept)
+    return found.join(base, ["part", "file_no"]).select(*kept)
 
 
 def op8_token_blocks(spark, sf_dir: str) -> DataFrame:
