@@ -3,15 +3,18 @@
 1. Every line's key (stripped, A-Z lower-cased) is hashed to 128 bits; a batch of
    documents hands over each key once, with the number of its documents that hold it.
    Spark sums these numbers over the corpus, exactly.
-2. Keys in at least ``min_docs`` documents, the only ones that a document can lose, are
-   dealt to shards of about ``SHARD_KEYS``. A task gives each shard a minimal perfect hash
-   (levels of bit arrays: a key stays at the first level where no other key has its bit;
-   its index is the bit's rank) and, by index, compact arrays of 64-bit fingerprints and
-   of counts.
-3. Documents probe the arrays; lines are never joined. Shards are sent out in groups of
-   at most ``GROUP_BYTES``. More shards than that make more passes over the documents, one
-   for each group, each written to the shared folder, so that no broadcast grows with the
-   corpus and none is left out.
+2. All distinct keys are dealt to shards of about ``SHARD_KEYS``. A task gives each shard a
+   minimal perfect hash (levels of bit arrays: a key stays at the first level where no
+   other key has its bit; its index is the bit's rank) and, by index, compact arrays of
+   64-bit fingerprints and of counts.
+3. Documents probe the arrays; lines are never joined with lines. A document's key hashes,
+   not its text, go to the shards that hold them, and it gets back the hashes whose count is
+   ``min_docs`` or more. The counts tell how many probes a shard gets: beyond
+   ``SHARD_PROBES`` the shard's arrays are sent to several tasks and the probes are dealt
+   among them, so a line that most documents hold is no task of its own. The index may
+   outgrow any machine's memory; nothing is broadcast that is not small by Spark's own check.
+4. Documents drop the lines whose hashes have come back. Equal texts share them: a document
+   is known by two 64-bit hashes of its text.
 
 Nulls: a null text is one empty line, and its result the empty text. A key shorter than
 ``min_chars`` code points is never dropped. Repeated rows are documents of their own. An
@@ -22,7 +25,6 @@ columns of those names.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarind.llm.common import map_batches, small_batches, utf8, whole_groups
+from tamarind.llm.common import free_name, map_batches, small_batches, utf8, whole_groups
 from tamarind.session import stage
 
 SHARD_KEYS = 1 << 15
-GROUP_BYTES = 64 << 20
+SHARD_PROBES = 400_000
 #: Fixed values of a 64-bit mixing function (splitmix64).
 STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -85,38 +87,23 @@ def build_shard(hashes: np.ndarray, counts: np.ndarray) -> dict:
     }
 
 
-class LineIndex:
-    """Shards' arrays laid end to end; probes all its shards' keys at once."""
-
-    def __init__(self, shards: list, n_shards: int):
-        levels = max((len(s["sizes"]) for s in shards), default=0)
-        self.n_shards = n_shards
-        self.size = np.zeros((levels, n_shards), np.uint64)
-        self.at = np.zeros((levels, n_shards), np.int64)
-        word = 0
-        for s in shards:
-            for level, size in enumerate(s["sizes"]):
-                self.size[level, s["shard"]] = size
-                self.at[level, s["shard"]] = word
-                word += size // 64
-        self.words = np.frombuffer(b"".join(s["words"] for s in shards), "<u8")
-        self.prints = np.frombuffer(b"".join(s["prints"] for s in shards), "<u8")
-        self.counts = np.frombuffer(b"".join(s["counts"] for s in shards), "<u4")
-        # one set bit for each key, shard after shard, level after level: a bit's rank is the key's index
+class Shard:
+    """Probes a shard's arrays."""
+
+    def __init__(self, sizes: list[int], words: bytes, prints: bytes, counts: bytes):
+        self.sizes, self.start = sizes, (np.cumsum([0, *sizes]) // 64).tolist()
+        self.words, self.prints, self.counts = np.frombuffer(words, "<u8"), np.frombuffer(prints, "<u8"), np.frombuffer(counts, "<u4")
+        # one set bit for each key, level after level: a bit's rank is the key's index
         self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
-        """Documents with each key; 0 for keys that are not in the index."""
-        out = np.zeros(len(hashes), np.int64)
-        shard = (hashes[:, 1] % np.uint64(self.n_shards)).astype(np.int64)
-        left = np.arange(len(hashes))
-        for level in range(len(self.size)):
-            left = left[self.size[level, shard[left]] > 0]
+        """Documents with each key; 0 for keys that are not in the shard."""
+        out, left = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
+        for level, size in enumerate(self.sizes):
             if not len(left):
                 break
-            own = shard[left]
-            slot = (slot_of(hashes[left], level) % self.size[level, own]).astype(np.int64)
-            word, bit = self.at[level, own] + slot // 64, (slot % 64).astype(np.uint64)
+            slot = (slot_of(hashes[left], level) % np.uint64(size)).astype(np.int64)
+            word, bit = self.start[level] + slot // 64, (slot % 64).astype(np.uint64)
             held = self.words[word]
             here = (held >> bit) & np.uint64(1) == 1
             lower = held[here] & ((np.uint64(1) << bit[here]) - np.uint64(1))
@@ -137,22 +124,32 @@ def line_hashes(lines: list[bytes], min_chars: int) -> tuple[np.ndarray, np.ndar
     return hashes, np.array([len(k) >= min_chars and len(k.decode()) >= min_chars for k in keys], bool)
 
 
+def own_hashes(text: bytes | None, min_chars: int) -> np.ndarray:
+    """(n, 2) hashes of a document's different keys that count."""
+    hashes, counts = line_hashes((text or b"").split(b"\n"), min_chars)
+    return np.unique(hashes[counts], axis=0) if len(hashes) > 1 else hashes[counts]
+
+
+def _columns(hashes: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(hashes[:, k]).view(np.int64)) for k in (0, 1)]
+
+
 def line_counts(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     """``(h0, h1, docs)``: the number of documents that hold each line key."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = []
-        for text in utf8(batch.column(0)):
-            hashes, counts = line_hashes((text or b"").split(b"\n"), min_chars)
-            parts.append(np.unique(hashes[counts], axis=0) if len(hashes) > 1 else hashes[counts])
+        parts = [own_hashes(text, min_chars) for text in utf8(batch.column(0))]
         found, many = np.unique(np.concatenate(parts), axis=0, return_counts=True)
-        cols = [np.ascontiguousarray(found[:, k]).view(np.int64) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(many.astype(np.int64))], ["h0", "h1", "n"])
+        return pa.RecordBatch.from_arrays([*_columns(found), pa.array(many.astype(np.int64))], ["h0", "h1", "n"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     return map_batches(texts, one, "h0 long, h1 long, n long").groupBy("h0", "h1").agg(F.sum("n").alias("docs"))
 
 
+def _shard_of(n_shards: int) -> F.Column:
+    return F.pmod(F.shiftrightunsigned("h1", 1), F.lit(n_shards)).cast("int")
+
+
 def build_index(counts: DataFrame) -> tuple[DataFrame, int]:
     """The shards of staged ``(h0, h1, docs)``, staged, and their number."""
     n_shards = max(1, -(-counts.count() // SHARD_KEYS))
@@ -164,95 +161,76 @@ def build_index(counts: DataFrame) -> tuple[DataFrame, int]:
             counts = group.column("docs").to_numpy()
             ends = [*np.flatnonzero(np.diff(shard)) + 1, len(shard)]
             for a, b in zip([0, *ends], ends, strict=False):
-                yield pa.RecordBatch.from_pylist([{"shard": int(shard[a]), **build_shard(hashes[a:b], counts[a:b])}], schema=made)
+                yield pa.RecordBatch.from_pylist([{"shard": int(shard[a]), "probes": int(counts[a:b].sum()), **build_shard(hashes[a:b], counts[a:b])}], schema=made)
 
-    made = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("sizes", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("words", "prints", "counts"))])
-    high = F.pmod(F.conv(F.hex("h1"), 16, 10).cast("decimal(20,0)"), F.lit(n_shards).cast("decimal(20,0)"))  # unsigned
-    dealt = counts.withColumn("shard", high.cast("int")).repartition("shard").sortWithinPartitions("shard")
-    kinds = "shard int, n long, sizes array<long>, words binary, prints binary, counts binary"
+    made = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("probes", pa.int64()), ("sizes", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("words", "prints", "counts"))])
+    dealt = counts.withColumn("shard", _shard_of(n_shards)).repartition("shard").sortWithinPartitions("shard")
+    kinds = "shard int, n long, probes long, sizes array<long>, words binary, prints binary, counts binary"
     return stage(dealt.select("shard", "h0", "h1", "docs").mapInArrow(run, kinds), "line-shards"), n_shards
 
 
-def _groups(shards: DataFrame) -> list[tuple[int, int]]:
-    """Spans of shard numbers whose arrays take at most GROUP_BYTES (or one shard)."""
-    size = F.length("words") + F.length("prints") + F.length("counts")
-    spans, held = [], 0
-    for row in shards.select("shard", size.alias("size")).orderBy("shard").toLocalIterator():
-        if not spans or held + row["size"] > GROUP_BYTES:
-            spans.append((row["shard"], row["shard"]))
-            held = 0
-        spans[-1] = (spans[-1][0], row["shard"])
-        held += row["size"]
-    return spans
+def frequent_lines(docs: DataFrame, shards: DataFrame, n_shards: int, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
+    """``(t0, t1, lines)``: for texts that hold any, the hashes of their lines in ``min_docs`` documents or more."""
 
+    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [own_hashes(text, min_chars) for text in utf8(batch.column(2))]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        every = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *_columns(every)], ["t0", "t1", "h0", "h1"])
 
-def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``docs`` with the lines of frequent keys taken out of ``text_col``, and ``n_lines``, ``n_dropped``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    counts = stage(line_counts(docs, text_col, min_chars).filter(F.col("docs") >= min_docs), "line-counts")
-    shards, n_shards = build_index(counts)
-    spans = _groups(shards) or [(0, -1)]
-    text = F.col(text_col).cast("string")
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    now = docs.select(*kept).withColumns(
-        {text_col: F.coalesce(text, F.lit("")), "n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(0).cast("long")}
-    )
-    for k, (low, high) in enumerate(spans):
-        rows = shards.filter(F.col("shard").between(low, high)).orderBy("shard").collect()
-        arrays = spark.sparkContext.broadcast([r.asDict() for r in rows])
-        now = _probe(now, arrays, n_shards, text_col, min_chars)
-        if k + 1 < len(spans):
-            now = stage(now, "line-pass")
-    return now
+    def probe(arrays: pa.Table, asked: pa.Table) -> pa.Table:
+        hit = np.empty(0, np.int64)
+        if arrays.num_rows and asked.num_rows:
+            held = arrays.to_pylist()[0]
+            keys = np.stack([asked.column(c).to_numpy() for c in ("h0", "h1")], axis=1).view(np.uint64)
+            hit = np.flatnonzero(Shard(*(held[c] for c in ("sizes", "words", "prints", "counts"))).count(keys) >= min_docs)
+        return asked.select(["t0", "t1", "h0", "h1"]).take(pa.array(hit))
 
+    asked = map_batches(docs.select(*_text_keys(text_col)), hashes, "t0 long, t1 long, h0 long, h1 long")
+    parts = stage(shards.select("shard", F.ceil(F.col("probes") / SHARD_PROBES).cast("int").alias("parts")), "line-parts")
+    dealt = asked.withColumn("shard", _shard_of(n_shards)).join(parts.filter("parts > 1"), "shard", "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("t0", "h0", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int"))
+    sent = shards.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = sent.select("shard", "part", "sizes", "words", "prints", "counts").groupBy("shard", "part")
+    right = dealt.select("shard", "part", "t0", "t1", "h0", "h1").groupBy("shard", "part")
+    marks = left.cogroup(right).applyInArrow(probe, "t0 long, t1 long, h0 long, h1 long")
+    return marks.groupBy("t0", "t1").agg(F.collect_set(F.struct("h0", "h1")).alias("lines"))
 
-@lru_cache(maxsize=1)
-def _index(_key: int, held: _Held) -> LineIndex:
-    return LineIndex(held.arrays.value, held.n_shards)
 
+def _text_keys(text_col: str) -> list[F.Column]:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"), text.alias("text")]
 
-class _Held:
-    """A broadcast as a cache key: equal while it is the same broadcast."""
 
-    def __init__(self, arrays, n_shards: int):
-        self.arrays, self.n_shards = arrays, n_shards
-
-    def __eq__(self, other):
-        return isinstance(other, _Held) and self.arrays.value is other.arrays.value
-
-    def __hash__(self):
-        return 0
-
-
-def _probe(docs: DataFrame, arrays, n_shards: int, text_col: str, min_chars: int) -> DataFrame:
-    names = docs.columns
-    at, lines_at, dropped_at = (names.index(c) for c in (text_col, "n_lines", "n_dropped"))
+def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """``docs`` with the lines of frequent keys taken out of ``text_col``, and ``n_lines``, ``n_dropped``."""
+    small_batches(docs.sparkSession)
+    shards, n_shards = build_index(stage(line_counts(docs, text_col, min_chars), "line-counts"))
+    found = stage(frequent_lines(docs, shards, n_shards, text_col, min_docs, min_chars), "line-marks")
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    t0, t1, lines = (free_name(docs, c) for c in ("_t0", "_t1", "_lines"))
+    keys = _text_keys(text_col)
+    keyed = docs.select(*kept, keys[0].alias(t0), keys[1].alias(t1)).withColumn(text_col, keys[2])
+    marked = keyed.join(found.select(F.col("t0").alias(t0), F.col("t1").alias(t1), F.col("lines").alias(lines)), [t0, t1], "left")
+    at = kept.index(text_col)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(0, _Held(arrays, n_shards))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            split = [t.split(b"\n") for t in utf8(batch.column(at))]
-            hashes, counts = line_hashes([x for lines in split for x in lines], min_chars)
-            drop = (index.count(hashes) > 0) & counts
-            texts, n_lines, n_dropped, start = [], [], [], 0
-            before, gone = batch.column(lines_at).to_pylist(), batch.column(dropped_at).to_pylist()
-            for i, lines in enumerate(split):
-                out = drop[start : start + len(lines)]
-                start += len(lines)
-                many = int(out.sum())
-                texts.append(b"\n".join([x for x, d in zip(lines, out, strict=True) if not d] if many else lines))
-                n_lines.append(len(lines) if before[i] is None else before[i])
-                n_dropped.append(gone[i] + many)
-            cols = list(batch.columns)
-            cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            cols[lines_at], cols[dropped_at] = pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.mapInArrow(run, schema)
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, n_lines, n_dropped = [], [], []
+        for text, marks in zip(utf8(batch.column(at)), batch.column(len(kept)), strict=True):
+            split = text.split(b"\n")
+            n_lines.append(len(split))
+            if marks.is_valid:
+                gone = {(h["h0"], h["h1"]) for h in marks.as_py()}
+                own = line_hashes(split, 0)[0].view(np.int64).tolist()
+                split = [x for x, h in zip(split, own, strict=True) if (h[0], h[1]) not in gone]
+            n_dropped.append(n_lines[-1] - len(split))
+            texts.append(b"\n".join(split))
+        cols = list(batch.columns[: len(kept)])
+        cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*kept, "n_lines", "n_dropped"])
+
+    kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in keyed.select(*kept).schema])
+    return map_batches(marked.select(*kept, lines), one, kinds.add("n_lines", "long").add("n_dropped", "long"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
