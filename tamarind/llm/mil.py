@@ -5,7 +5,7 @@ text. An encoder maps a passage's features to a vector; gated attention (tanh ti
 sigmoid) weighs the vectors; the weighted sum gives the probability of label 1. Only
 documents have labels: encoder, attention and output are trained together from them,
 with plain numpy on the driver, from at most ``SAMPLE_DOCS`` labelled documents of at most
-``SAMPLE_BYTES`` bytes, chosen by a hash of the id. Rows whose crc32(doc_id) mod 4 is 2
+``SAMPLE_BYTES`` bytes, chosen by a hash of the id: at most 180 MB of features. Rows whose crc32(doc_id) mod 4 is 2
 are never learned from. Language, source, id and labels are no inputs of a score.
 
 Features: shares of pairs of byte classes, the share of different words, the share of
@@ -13,7 +13,7 @@ words equal to the one before, word length and passage length.
 
 Nulls: a null text is an empty one: one passage without bytes. A null id is not held out
 and not learned from. Labels that are null are ignored; where a document has several, the
-least holds. Repeated rows are scored each, alike. An empty table gives an empty result;
+least holds; where a labelled id has several texts, one is learned from, the first in order. Repeated rows are scored each, alike. An empty table gives an empty result;
 without any usable label every score is 0.5.
 """
 
@@ -28,7 +28,7 @@ from tamarind.llm.common import map_batches, small_batches, utf8
 
 PASSAGE = 1024
 SAMPLE_DOCS = 4000
-SAMPLE_BYTES = 200_000
+SAMPLE_BYTES = 65_536
 THRESHOLD = 0.7
 HIDDEN, GATES = 24, 12
 CLASSES = 13
@@ -105,16 +105,20 @@ class Model:
         return f["y"], f["a"]
 
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(0), every.std(0) + 0.05
-        bags = [self._scaled(b) for b in bags]
+        n, total, squares = sum(map(len, bags)), np.zeros(bags[0].shape[1]), np.zeros(bags[0].shape[1])
+        for b in bags:
+            total += b.sum(0, dtype=np.float64)
+        self.mean = total / n
+        for b in bags:
+            squares += ((b - self.mean) ** 2).sum(0)
+        self.scale = np.sqrt(squares / n) + 0.05
         rng = np.random.default_rng(seed)
         m, v, step = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for epoch in range(epochs):
             order = rng.permutation(len(bags))
             for i in range(0, len(order), batch):
                 pick = order[i : i + batch]
-                grads = self._gradients([bags[k] for k in pick], labels[pick])
+                grads = self._gradients([self._scaled(bags[k]) for k in pick], labels[pick])
                 step += 1
                 now = rate * (1 - epoch / epochs) + 1e-4
                 for k, g in grads.items():
@@ -156,12 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         made = [passage_features(t).astype("<f4").tobytes() for t in utf8(batch.column(2))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["id", "y", "x"])
 
-    rows = found.join(F.broadcast(chosen), "id").select("id", "y", "text")
+    rows = found.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # one row an id
     bags = {r["id"]: r for r in map_batches(rows, one, "id long, y int, x binary").collect()}
     if not bags:
         return None
     order = sorted(bags)
-    x = [np.frombuffer(bags[i]["x"], "<f4").reshape(-1, FEATURES).astype(np.float64) for i in order]
+    x = [np.frombuffer(bags[i]["x"], "<f4").reshape(-1, FEATURES) for i in order]
     return Model().fit(x, np.array([bags[i]["y"] for i in order], np.float64))
 
 

@@ -69,6 +69,23 @@ def test_held_out_labels_are_never_learned(spark):
     assert all((model.p[k] == first[k]).all() for k in first)
 
 
+def test_one_text_for_each_labelled_id(spark):
+    rows = sample()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    models = []
+    for parts in (1, 4):
+        twice = [(i, t) for i, t, _ in rows] * 3 + [(i, t + " more") for i, t, _ in rows] + [(1, "zz " * 40_000)]
+        docs = spark.createDataFrame(twice, "doc_id long, text string").repartition(parts)
+        models.append(mil.train(docs, labels, sample=50))
+    assert all((models[0].p[k] == models[1].p[k]).all() for k in models[0].p)
+
+
+def test_query_columns(spark, sf_dir):
+    got = mil.op9_quality_attention(spark, sf_dir)
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.7) for r in got.collect())
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
