@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarind.llm.common import map_batches, small_batches, utf8
+from tamarind.session import stage
 
 TILE = 256
 STRIP = 256
@@ -57,6 +58,8 @@ def _pnm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(re.sub(rb"#[^\r\n]*|\s", b"", data[at:]), np.uint8)[:n] - 48
     elif kind in (2, 3):
         flat = np.array(re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n], dtype=np.int64)
+        if len(flat) and not 0 <= flat.min() <= flat.max() <= top:
+            raise ValueError("netpbm sample out of range")
     elif kind == 4:
         wide = -(-cols // 8)
         bits = np.frombuffer(data, np.uint8, rows * wide, at + 1).reshape(rows, wide)
@@ -210,42 +213,43 @@ def media_columns(images: DataFrame, id_col: str, data_col: str) -> DataFrame:
 # --- the query --------------------------------------------------------------------------
 
 
-def stored_payload(text: bytes) -> tuple[bytes, bytes]:
-    """A payload's PGM picture is decoded and stored as NPY tiles; returns payload and stored bytes."""
+def payload_picture(text: bytes) -> np.ndarray:
+    """A payload as a picture of 8-bit samples, ``WIDTH`` wide, by way of PGM."""
     payload = text + bytes(-len(text) % WIDTH if text else WIDTH)
-    picture = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    image = decode(encode_pgm(picture))
-    return payload, b"".join([to_npy(image[top : top + TILE]) for top in range(0, len(image), TILE)])
+    return decode(encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
 
 
-def read_stored(stored: bytes) -> np.ndarray:
-    parts, at = [], 0
-    while at < len(stored):
-        part, at = from_npy(stored, at)
-        parts.append(part)
-    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_bytes, tiles)``: each whole text's picture in NPY tiles, written to the shared folder and read from there."""
+    small_batches(docs.sparkSession)
+    tile = pa.struct([("row", pa.int32()), ("col", pa.int32()), ("npy", pa.binary()), ("hash", pa.string())])
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or b"" for t in utf8(batch.column(1))]
+        made = pa.array([tiles(payload_picture(t)) for t in texts], pa.list_(tile))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), made], ["doc_id", "n_bytes", "tiles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return stage(map_batches(rows, one, f"doc_id long, n_bytes long, tiles {TILES_TYPE}"), "media-tiles")
 
 
 def payload_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each whole text stored as a picture's NPY tiles and read back; see ``op4_media_tiles``."""
-    small_batches(docs.sparkSession)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text in utf8(batch.column(1)):
-            _, stored = stored_payload(text or b"")
-            image = read_stored(stored)
+        for made in batch.column(2).to_pylist():
+            image, stored = untile(made), b"".join([t["npy"] for t in made])
             back = image.tobytes()
             sha = [hashlib.sha256(x).hexdigest() for x in (back, stored)]
-            rows.append((len(text or b""), len(back), sha[0], zlib.crc32(back[-64:]), len(stored), sha[1], difference_hash(image)))
+            rows.append((len(back), sha[0], zlib.crc32(back[-64:]), len(stored), sha[1], difference_hash(image)))
         cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(n, T.StringType() if pa.types.is_string(k) else T.LongType()) for n, k in zip(names[1:], kinds, strict=True)])
-    return map_batches(rows, one, schema)
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in names[:2]] + [T.StructField(n, T.StringType() if pa.types.is_string(k) else T.LongType()) for n, k in zip(names[2:], kinds, strict=True)])
+    return map_batches(store_payloads(docs, id_col, text_col), one, schema)
 
 
 def op4_media_tiles(spark, sf_dir: str) -> DataFrame:
