@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarind.llm import lines, mil, packing, simhash
-from tamarind.session import stage
-
-SCORE = "_quality_score"
+from tamarind.llm.common import free_name
+from tamarind.session import release, stage, staged
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,8 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = mil.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs
-    return mil.score(docs, model, out=SCORE).filter(F.col(SCORE) >= mil.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "_quality_score")
+    return mil.score(docs, model, out=score).filter(F.col(score) >= mil.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{name}")
-    return docs
+    for name, step in STAGES[:-1]:
+        mark = staged()
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, mark, kept=1)  # what the step itself has staged
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarind.llm.common import ROWS_PER_BUCKET, dense_index
-from tamarind.session import stage
+from tamarind.session import release, stage, staged
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -88,7 +88,7 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS) -> Dat
     count = linked.count()
     start = dense_index(linked, [], ["hub", "part", "node"], "i", n=count, near=["hub", "part"])
     state = stage(start.select("node", _run_of("i", quotas(count, shards)).alias("shard")), "shard-state")
-    together = -1
+    together, mark = -1, staged()
     while True:
         votes = members.join(state, "node").groupBy("hub", "shard").agg(F.count("*").alias("n"))
         now = votes.agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("n"))).first()[0] or 0
@@ -102,6 +102,7 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = SHARDS) -> Dat
             break
         moved = state.join(moves, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard"))
         state = stage(moved, "shard-state")
+        release(state.sparkSession, mark, kept=1)
     load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     free = dense_index(stage(nodes.join(linked, "node", "left_anti"), "shard-free"), [], ["node"], "i")
     left = [quota[s] - load.get(s, 0) for s in range(shards)]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarind.llm.common import map_batches, small_batches, utf8, whole_groups
+from tamarind.llm.common import free_name, map_batches, small_batches, utf8, whole_groups
 from tamarind.operators.graph import connected_components
 from tamarind.session import stage
 
@@ -45,8 +45,6 @@ SEED = 42
 ANCHORS, LEVELS = 8, 3
 #: Bits beyond the expected distance within which a pair of sets is a candidate.
 SLACK = 41
-#: A row's own number, while near copies are looked for.
-ROW = "_row_number"
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -427,17 +425,18 @@ def cluster_links(rows: DataFrame, radius: int, bits: list[str], similarity: flo
     )
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """The rows, staged with a number of their own each."""
-    return stage(rows.withColumn(ROW, F.monotonically_increasing_id()), "set-rows")
+def _numbered(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, staged with a number of their own each, and that column's name."""
+    name = free_name(rows, "_row_number")
+    return stage(rows.withColumn(name, F.monotonically_increasing_id()), "set-rows"), name
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``(id, component_id)``: documents whose sets of word shingles are alike, joined transitively."""
-    rows = _numbered(docs.select(id_col, text_col))
-    sketch, classes, links = _near_classes(rows, id_col, text_col, words, similarity)
+    rows, number = _numbered(docs.select(id_col, text_col))
+    sketch, classes, links = _near_classes(rows, number, id_col, text_col, words, similarity)
     return sketch.select("doc", "fp").join(_least_of(classes.select("fp", F.col("first.doc").alias("least")), links), "fp").select(
         F.col("doc").alias("id"), "component_id"
     )
@@ -447,16 +446,16 @@ def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``docs`` with one row of each component of ``near_duplicates``: of the least id, null last."""
-    rows = _numbered(docs)
-    sketch, classes, links = _near_classes(rows, id_col, text_col, words, similarity)
+    rows, number = _numbered(docs)
+    sketch, classes, links = _near_classes(rows, number, id_col, text_col, words, similarity)
     roots = connected_components(links, "a", "b").select(F.col("node").alias("fp"), "root")
     rooted = classes.select("fp", "first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     chosen = stage(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "set-chosen")
     copies = stage(sketch.select("row").join(chosen, "row", "left_anti"), "set-copies")
-    return rows.join(copies, rows[ROW] == copies["row"], "left_anti").drop(ROW)
+    return rows.join(copies.select(F.col("row").alias(number)), number, "left_anti").drop(number)
 
 
-def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near_classes(docs: DataFrame, number: str, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows ``(row, doc, fp, ..)``, classes of equal sets ``(fp, first, ..)`` and links ``(a, b)`` of classes.
 
     ``docs`` are numbered rows; only rows that stand for a class of a candidate cluster are
@@ -493,7 +492,7 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, simil
 
     text = F.col(text_col).cast("string")
     key = F.xxhash64(F.coalesce(text, F.lit("")))
-    rows = docs.select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc"), key.alias("key"), text.alias("text"))
+    rows = docs.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("doc"), key.alias("key"), text.alias("text"))
     schema = "row long, doc long, key long, fp long, size long, b0 long, b1 long, b2 long, b3 long, anchors array<long>"
     sketch = stage(map_batches(rows, one, schema), "set-sketches")
     classes = stage(
@@ -530,7 +529,7 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, simil
     clusters = stage(found.distinct().withColumnRenamed("id", "fp"), "set-clusters")
     of = classes.select("fp", F.col("first.row").alias("row"), *names)
     needed = stage(of.join(clusters.select("fp").distinct(), "fp"), "set-needed")
-    read = docs.select(F.col(ROW).alias("row"), text.alias("text")).join(needed.select("fp", "row"), "row")
+    read = docs.select(F.col(number).alias("row"), text.alias("text")).join(needed.select("fp", "row"), "row")
     sets = stage(map_batches(read.select("fp", "text"), whole, "fp long, grams binary"), "set-grams")
     members = clusters.join(needed.select("fp", *names), "fp").join(sets, "fp").withColumn("id", F.col("fp"))
     links = stage(cluster_links(members, radius, names, similarity), "set-links")
