@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tamarind.functions.text import match_key
+
 #: Fixed values: (id, where, header, pattern, hypothesis, log ratio, cluster). A header rule looks at that response header.
 PLATFORM_RULES = [
     ("shopify.theme-js", "html", None, r"Shopify\.theme", "shopify", 4.2, "shopify-inline"),
@@ -69,18 +74,52 @@ AD_RULES = [
     ("tawk_chat", r"embed\.tawk\.to", False),
 ]
 
-#: Fixed values: (phrase as a match key, weight).
+#: Fixed values: (language, phrase as a match key, weight). A phrase of two languages counts for both.
 COD_PHRASES = [
-    ("paiement a la livraison", 3.6), ("paiement a la reception", 3.0), ("payer a la livraison", 2.6), ("livraison a domicile", 1.6), ("livraison 58 wilayas", 2.4),
-    ("livraison partout en algerie", 2.4), ("cash on delivery", 2.0), ("retour gratuit", 0.8), ("الدفع عند الاستلام", 3.8), ("الدفع عند التسليم", 3.2), ("الدفع في المنزل", 2.8),
-    ("الخلاص عند الاستلام", 2.6), ("توصيل لكل الولايات", 2.6), ("التوصيل مجاني", 1.4), ("طلبيتك توصل", 1.4), ("cod available", 1.8), ("delivery all over algeria", 2.2),
+    ("fr", "paiement a la livraison", 3.6),
+    ("fr", "paiement a la reception", 3.0),
+    ("fr", "payer a la livraison", 2.6),
+    ("fr", "livraison a domicile", 1.6),
+    ("fr", "livraison 58 wilayas", 2.4),
+    ("fr", "livraison partout en algerie", 2.4),
+    ("fr", "cash on delivery", 2.0),
+    ("fr", "retour gratuit", 0.8),
+    ("ar", "الدفع عند الاستلام", 3.8),
+    ("ar", "الدفع عند التسليم", 3.2),
+    ("ar", "الدفع في المنزل", 2.8),
+    ("ar", "الخلاص عند الاستلام", 2.6),
+    ("ar", "توصيل لكل الولايات", 2.6),
+    ("ar", "التوصيل مجاني", 1.4),
+    ("ar", "طلبيتك توصل", 1.4),
+    ("en", "cash on delivery", 2.0),
+    ("en", "cod available", 1.8),
+    ("en", "delivery all over algeria", 2.2),
 ]
 
-#: Fixed values: (pattern, currency, weight).
+#: Fixed values: (pattern, currency, weight). Borders of words are written out: Java's own count Arabic letters as parts of words.
 CURRENCIES = [
-    (r"(?<![A-Za-z0-9_])dzd(?![A-Za-z0-9_])", "DZD", 2.2), (r"(?<![A-Za-z0-9_])da(?![A-Za-z0-9_])", "DZD", 1.1), ("dinars?", "DZD", 1.6), ("دج", "DZD", 2.2), (r"د\.?ج", "DZD", 2.0),
-    ("دينار", "DZD", 1.8), (r"(?<![A-Za-z0-9_])euros?(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])eur(?![A-Za-z0-9_])", "EUR", 0.4),
+    (r"(?<![A-Za-z0-9_])dzd(?![A-Za-z0-9_])", "DZD", 2.2),
+    (r"(?<![A-Za-z0-9_])da(?![A-Za-z0-9_])", "DZD", 1.1),
+    ("dinars?", "DZD", 1.6),
+    ("دج", "DZD", 2.2),
+    (r"د\.?ج", "DZD", 2.0),
+    ("دينار", "DZD", 1.8),
+    (r"(?<![A-Za-z0-9_])eur(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])euros?(?![A-Za-z0-9_])", "EUR", 0.4),
 ]
+#: What a shop's page says where one can put into a cart, and pay.
+CART = "add to cart|ajouter au panier|اشتري الان|أضف إلى السلة"
+CHECKOUT = "/checkout|commander|finaliser la commande|إتمام الطلب"
+
+
+def cod_weight(key: Column) -> Column:
+    """Summed weights of the phrases that a match key holds."""
+    return sum((F.when(key.contains(match_key(p)), w).otherwise(0.0) for _, p, w in COD_PHRASES), F.lit(0.0))
+
+
+def currency_of(text: Column) -> Column:
+    """The currency whose mark weighs most; null without any."""
+    found = F.array(*(F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(w).alias("w"), F.lit(c).alias("c"))) for p, c, w in CURRENCIES))
+    return F.array_max(F.filter(found, lambda m: m.isNotNull()))["c"]
 
 
 def platform_rules(headers: str = "headers") -> tuple[list[dict], list[str]]:

@@ -59,3 +59,13 @@ def wa_link(phone: Column, text: Column) -> Column:
 def profile_link(channel: Column, handle: Column) -> Column:
     start = F.when(channel == "instagram", "https://www.instagram.com/").when(channel == "messenger", "https://m.me/").when(channel == "tiktok", "https://www.tiktok.com/@").otherwise("https://www.facebook.com/")
     return F.when(handle.rlike("^https?:"), handle).otherwise(F.concat(start, handle))
+
+
+def contact_url(channel: Column, value: Column) -> Column:
+    """Where a contact of a channel is reached."""
+    return (
+        F.when(channel == "whatsapp", F.concat(F.lit("https://wa.me/"), F.replace(value, F.lit("+"), F.lit(""))))
+        .when(channel == "email", F.concat(F.lit("mailto:"), value))
+        .when(channel == "phone", F.concat(F.lit("tel:"), value))
+        .when(channel.isin("messenger", "instagram", "facebook", "tiktok"), profile_link(channel, value))
+    )

@@ -94,9 +94,26 @@ def shrunk_median(observed: Column, prior: Column) -> Column:
     return F.coalesce((observed * 10 + prior * 10) / 20, prior)
 
 
-def expected_value(p_reply: Column, p_interest: Column, p_sign: Column, p_activate: Column, p_pay: Column, value: float = 899.0 * 1 * 3) -> Column:
-    """A chain of probabilities times what a paying customer is worth."""
-    return p_reply * p_interest * p_sign * p_activate * p_pay * value
+#: Seconds that a message takes on each channel; what a paying customer is worth (a month, share, months) and a free one.
+EFFORT_SECONDS = {"whatsapp": 12, "messenger": 20, "instagram": 20, "facebook": 20, "tiktok": 25, "email": 35, "phone": 45}
+VALUE_PAID, MARGIN, HORIZON, VALUE_FREE = 899.0, 1, 3, 0.0
+
+
+def effort_seconds(channel: Column, observed: Column | None = None) -> Column:
+    """A channel's seconds, shrunk half way to what was observed where that is above 0."""
+    prior = F.create_map(*(F.lit(x) for kv in EFFORT_SECONDS.items() for x in kv))[channel].cast("double")
+    return prior if observed is None else F.when(observed > 0, shrunk_median(observed, prior)).otherwise(prior)
+
+
+def expected_value(p_reply: Column, p_interest: Column, p_sign: Column, p_activate: Column, p_pay: Column, value: float = VALUE_PAID * MARGIN * HORIZON, free: float = VALUE_FREE) -> Column:
+    """A chain of probabilities times what a customer, paying or not, is worth."""
+    reply, interest, sign, activate, pay = (clamp(p, 0.0, 1.0) for p in (p_reply, p_interest, p_sign, p_activate, p_pay))
+    return reply * interest * sign * activate * (pay * value + (1 - pay) * free)
+
+
+def combined_score(bound: Column, value: Column, exploration: Column) -> Column:
+    """Upper bound and expected value in one number for ranking."""
+    return F.log1p(F.greatest(value, F.lit(0.0))) * 10 + F.when(exploration, 0.6).otherwise(0.4) * bound * 10
 
 
 def priority(value: Column, seconds: Column) -> Column:

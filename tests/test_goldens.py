@@ -131,32 +131,59 @@ def test_text(spark):
     assert X.match_key("مَتْجَرُ الأحذيةِ ٣") == "متجر الاحذيه 3"
     assert abs(X.jaro_winkler("abcdefgh", "abcdxyzw") - 0.8) < 1e-9 and X.jaro_winkler("", "a") == 0 and X.jaro_winkler("a", "a") == 1
     df = spark.createDataFrame([("واش راك بزاف تاع",), ("bonjour merci pour la livraison",), ("hello thanks for the order",), ("",)], "t string")
-    rows = X.with_language(df.withColumn("k", X.match_key_udf("t")), "t", "k").collect()
+    rows = X.with_language(df.withColumn("k", X.match_key_of("t")), "t", "k").collect()
     assert [r["language"] for r in rows] == ["ar_dz", "fr", "en", "mixed"]
 
 
 def test_html():
-    page = "<html><head><title>Shop</title><meta name='description' content='Best'><script>var t='0660 11 22 33'</script></head><body><header><a href='https://wa.me/213550123456'>chat</a></header><h1>Hello</h1><a href='/product/1'>Robe</a><p>mail a@b.dz<b>broken<footer><a href='mailto:X@y.dz?s=1'>m</a></footer></body>"
-    got = {(k, v): (c, p) for k, v, c, p in U.contacts(page)}
-    assert got["whatsapp", "+213550123456"] == (0.98, "header") and got["phone", "+213660112233"][0] == 0.6
-    assert ("email", "a@b.dz") in got and got["email", "x@y.dz"][1] == "footer"
+    page = """<html><head><title>Shop</title><meta name='description' content='Best'><script>var t='0660 11 22 33'</script></head><body><header><a href="https://wa.me/213550123456">chat</a></header><h1>Hello</h1>""" + "x" * 900
+    page += """<a href='/product/1'>Robe</a><p>mail a@b.dz noreply@b.dz<b>broken<div class="chat-widget"><a href="tel:0550 99 88 77">t</a></div><a href="https://www.instagram.com/My.Shop/">i</a>see https://www.facebook.com/thepage<footer><a href="mailto:X@y.dz?s=1">m</a></footer></body>"""
+    got = U.contacts(page)
+    assert got == [
+        ("whatsapp", "+213550123456", 0.95, "header"), ("instagram", "my.shop", 0.85, "body"), ("phone", "+213550998877", 0.8, "floating"), ("facebook", "thepage", 0.75, "body"),
+        ("phone", "+213660112233", 0.7, "body"), ("email", "x@y.dz", 0.6, "footer"), ("email", "a@b.dz", 0.55, "body"),
+    ]
     assert U.text_corpus(page).split("\n")[:3] == ["Shop", "Best", "Hello"]
     assert U.contacts(None) == [] and U.text_corpus("") == ""
 
 
+def test_handles():
+    assert U.handle("https://m.facebook.com/profile.php?id=1234567") == ("facebook", "page_id:1234567") and U.handle("https://facebook.com/pages/Shop/9") == ("facebook", "shop")
+    assert U.handle("https://api.whatsapp.com/send?phone=213550123456") == ("whatsapp", "+213550123456") and U.handle("https://chat.whatsapp.com/abc") is None
+    assert U.handle("https://tiktok.com/@A.b") == ("tiktok", "a.b") and U.handle("https://instagram.com/tv") is None and U.handle("https://instagr.am/x") == ("instagram", "x")
+    assert U.handle("@shop.dz", "instagram") == ("instagram", "shop.dz") and U.handle("m.me/99887766") == ("messenger", "99887766") and U.handle("https://x.dz/a") is None
+    assert U.profile_url("facebook", "page_id:123456") == "https://www.facebook.com/profile.php?id=123456" and U.profile_url("tiktok", "a") == "https://www.tiktok.com/@a"
+
+
+def test_url_parts():
+    assert U.canonical_url("http://a.dz/?source=shop&si=1&trk=2&b=1&igsh=3&campaign=4") == "http://a.dz/?b=1&source=shop&trk=2"
+    assert U.canonical_url("http://a.dz/é/../b c?q=a b~*") == "http://a.dz/b%20c?q=a+b%7E*" and U.canonical_url("http://a b.dz/") is None
+    assert U.urls_of("see shop.dz/x and https://b.com/?ref=1). Also https://b.com/") == ["https://b.com/", "https://shop.dz/x"]
+    assert U.same_site("http://www.a.dz/x", "https://a.dz") and not U.same_site("http://b.a.dz", "http://a.dz") and U.same_registrable("http://b.a.dz", "http://a.dz") and not U.same_site("x", "x")
+    assert U.shop_subdomain("nour.youcan.shop") and not U.shop_subdomain("youcan.shop") and len(U.TRACKING) == 34
+
+
 def test_catalogues(spark):
-    shop = '{"products":[{"updated_at":"2026-01-02","variants":[{"price":"1500.0"}]},{"updated_at":"2026-02-01","variants":[{"price":"20"}]}]}'
-    woo = '[{"prices":{"price":"350000","currency_code":"DZD"},"date_created":"a"},{"prices":{"price":"450000","currency_code":"DZD"},"date_created":"b"}]'
-    xml = "<url><loc>https://s.dz/product/1</loc></url><url><loc>https://s.dz/about</loc></url><url><loc> https://s.dz/products/2 </loc></url>"
-    a, b, c = one(spark, U.first_json_catalog(F.lit(shop)), U.woo_catalog(F.lit(woo)), U.sitemap_products(F.lit(xml)))
-    assert (a["count"], a["prices"], a["latest"]) == (2, [1500.0], "2026-02-01")
-    assert b["count"] == 2 and one(spark, U.array_median(F.array(*map(F.lit, [350000.0, 450000.0]))))[0] == 400000.0
-    assert c == ["https://s.dz/product/1", "https://s.dz/products/2"]
+    shop = '{"products":[{"updated_at":"2026-01-02T00:00:00+01:00","variants":[{"price":"1500.0"},{"price":"0"}]},{"published_at":"2026-02-01T00:00:00Z","variants":[{"price":"20"}]}]}'
+    woo = '[{"prices":{"price":"350000","currency_code":"DZD"},"date_created":"2026-01-01T10:00:00"},{"price":"450000","date_modified":"a"}]'
+    xml = "<url><loc>https://s.dz/product/1</loc></url><url><loc>https://s.dz/about</loc></url><url><loc> https://s.dz/boutique/2 </loc></url><loc>https://s.dz/products.json</loc><lastmod>2026-01-02</lastmod>"
+    a, b, c, d = one(spark, U.first_json_catalog(F.lit(shop)), U.woo_catalog(F.lit(woo)), U.sitemap_products(F.lit(xml)), U.sitemap_catalog(F.lit(xml)))
+    assert (a["count"], a["prices"], a["currency"], a["latest"]) == (2, [1500.0, 20.0], "DZD?", dt.datetime(2026, 2, 1))
+    assert (b["count"], b["prices"], b["currency"], b["latest"]) == (2, [350000.0, 450000.0], "DZD", dt.datetime(2026, 1, 1, 10))
+    assert c == ["https://s.dz/product/1", "https://s.dz/boutique/2"] and (d["count"], d["latest"]) == (2, dt.datetime(2026, 1, 2))
+    assert one(spark, U.first_json_catalog(F.lit('{"x": 1}')), U.first_json_catalog(F.lit("no"))) == (None, None)
+    html = "<b>2 500 DA</b> 3.900 دج, 50 da, 600000 DZD, 1250,50 dinars dalle"
+    assert one(spark, U.html_prices(F.lit(html)))[0] == [2500.0, 3900.0, 1250.5]
+    made = one(spark, U.merged_catalog({"json": F.when(F.lit(False), U.html_catalog(F.lit(""))), "woo": U.woo_catalog(F.lit(woo)), "html": U.html_catalog(F.lit(html))}), U.merged_catalog({"html": U.html_catalog(F.lit("nothing"))}))
+    assert made[0].asDict() == {"product_count": 2, "median_price": 400000.0, "currency": "DZD", "latest": dt.datetime(2026, 1, 1, 10), "source": "woo"}
+    assert made[1]["source"] == "none" and made[1]["median_price"] is None
+    days = one(spark, U.freshness_days(F.lit("2026-01-01").cast("timestamp"), F.lit("2026-01-11 12:00:00").cast("timestamp")), U.freshness_days(F.lit(None).cast("timestamp"), F.lit("2026-01-01").cast("timestamp")))
+    assert days == (10.5, None)
 
 
 def test_messages(spark):
     df = spark.createDataFrame([("Salut {nom}? ok?",), ("voir https://x.dz",), ("Cliquez ici promo",), ("Bonjour",)], "b string")
-    errors, warnings = M.lint(F.col("b"), X.match_key_udf("b"), F.lit(True))
+    errors, warnings = M.lint(F.col("b"), X.match_key_of("b"), F.lit(True))
     rows = [(list(r[0]), list(r[1])) for r in df.select(errors, warnings).collect()]
     assert rows[0][0] == ["unresolved slots", "more than one question"] and rows[1][0] == ["URL in first contact"]
     assert rows[2] == (["blocked: cliquez ici"], ["check: promo"]) and rows[3] == ([], [])
@@ -186,14 +213,53 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in readers.csv_imported(spark, str(tmp_path / "x.csv")).collect()] == [("http://a.dz", None, "0550", None, None)]
     blob = spark.createDataFrame([("see https://a.dz/x and https://b.dz call 0550 12 34 56",), ("only me@shop.dz",)], "text string")
     got = readers.pasted(blob).collect()
-    assert sorted((r["url"] or "", tuple(r["phones"]), tuple(r["emails"])) for r in got) == [("", (), ("me@shop.dz",)), ("https://a.dz/x", ("+213550123456",), ()), ("https://b.dz/", ("+213550123456",), ())]
+    assert sorted((r["url"] or "", tuple(r["phones"]), tuple(r["emails"])) for r in got) == [("https://a.dz/x", ("+213550123456",), ()), ("https://b.dz/", ("+213550123456",), ()), ("https://shop.dz/", (), ("me@shop.dz",))]
+    social = readers.pasted(spark.createDataFrame([("Nour | boutique nour.dz https://www.instagram.com/nour.dz",), ("nothing",)], "text string")).collect()
+    assert {r["url"]: [tuple(h) for h in r["handles"]] for r in social}["https://nour.dz/"] == [("instagram", "nour.dz")] and {r["url"]: r["name"] for r in social}["https://nour.dz/"].startswith("Nour")
+    assert [r["url"] for r in social if r["url"] is None] == [None]
+    by_hand = readers.added(spark, "http://www.a.dz/?ref=1", "A", ["0550 12 34 56", "x"], ["M@a.dz"], [("instagram", "a")]).first()
+    assert (by_hand["url"], by_hand["phones"], by_hand["emails"]) == ("http://a.dz/", ["+213550123456"], ["m@a.dz"])
+    assert [r["url"] for r in readers.fixed_results(spark, [("https://www.jumia.com.dz/x", "j"), ("https://a.dz/?utm_x=1", "a"), ("https://a.dz/", "b")]).collect()] == ["https://a.dz/"]
     assert readers.demo_population(spark, 5).collect() == readers.demo_population(spark, 5).collect()
     with pytest.raises(KeyError):
         readers.source("nope")
-    site = [("http://a.dz/", "<a href='http://a.dz/x'>x</a><a href='http://c.dz/'>out</a>"), ("http://a.dz/x", "<a href='http://a.dz/y'>y</a>"), ("http://a.dz/y", "<a href='http://a.dz/z'>z</a>")]
+    assert len(readers.REGISTRY) == 11 and any("disabled" in x for x in readers.described())
+    site = [("http://a.dz/", "<a href='/x'>x</a><a href='/y'>y</a><a href='http://c.dz/'>out</a><a href='https://linktr.ee/a'>b</a><a href='https://instagram.com/a_shop'>i</a>"), ("http://a.dz/x", "<a href='/deep'>d</a><a href='https://facebook.com/afb'>f</a><a href='https://instagram.com/A_shop'>i</a>"), ("https://linktr.ee/a", "<a href='https://tiktok.com/@at'>t</a>")]
     pages = spark.createDataFrame(site, "url string, html string")
-    found = readers.crawl(spark.createDataFrame([("http://a.dz",)], "url string"), pages)
-    assert {r["url"]: r["depth"] for r in found.collect()} == {"http://a.dz/": 0, "http://a.dz/x": 1, "http://a.dz/y": 2}
+    found, socials = readers.crawl(spark.createDataFrame([("http://a.dz",)], "url string"), pages)
+    assert {r["url"] for r in found.filter("depth = 1").collect()} == {"http://a.dz/contact", "http://a.dz/contact-us", "http://a.dz/pages/contact", "http://a.dz/x", "http://a.dz/y", "http://a.dz/sitemap.xml", "https://linktr.ee/a"}
+    assert {(r["network"], r["value"], r["url"]) for r in socials.collect()} == {("instagram", "a_shop", "http://a.dz/"), ("facebook", "afb", "http://a.dz/x"), ("tiktok", "at", "https://linktr.ee/a")}
+
+
+def test_saved_responses(spark):
+    one_row = lambda body: spark.createDataFrame([(body,)], "body string")
+    brave = one_row('{"web":{"results":[{"url":"https://a.dz/?utm_source=x","title":"A"},{"url":"https://www.amazon.com/x","title":"no"}]}}')
+    assert [tuple(r) for r in readers.search_results(brave, "brave").collect()] == [("https://a.dz/", "A")]
+    held = one_row('{"places":[{"websiteUri":"http://a.dz","displayName":{"text":"A"},"nationalPhoneNumber":"0550 12 34 56"}]}')
+    assert [tuple(r) for r in readers.places(held).collect()] == [("http://a.dz/", "A", ["+213550123456"])]
+    ads = one_row('{"data":[{"page_id":"1","page_name":"P","ad_delivery_start_time":"2026-01-01"},{"page_id":"1","page_name":"P"},{"page_name":"none"}]}')
+    assert [tuple(r) for r in readers.ad_library(ads, "2026-02-01").collect()] == [("1", "P", 2, dt.datetime(2026, 1, 1))]
+    with pytest.raises(Exception, match="expired"):
+        readers.ad_library(one_row('{"error":{"message":"expired"}}'), "2026-02-01").collect()
+    queries = spark.createDataFrame([(i, f"q{i}") for i in range(5)], "n int, query string")
+    assert sorted((r["provider"], r["n"]) for r in readers.affordable(queries, {"brave": 2, "cse": 0}, ["n"]).collect()) == [("brave", 0), ("brave", 1)]
+    places = spark.createDataFrame([("Oran",), ("Alger",)], "wilaya string")
+    made = readers.generate_queries(spark, ["fr"], places, {"fr": ["robe", "jean", "sac"]}, most=6, footprint="youcan.shop", extra=["own"], first_terms=2)
+    assert sorted(r["query"] for r in made.collect()) == ["jean Alger", "jean Alger inurl:youcan.shop", "robe Alger", "robe Alger inurl:youcan.shop", "robe Oran", "robe Oran inurl:youcan.shop"]
+
+
+def test_ingest(spark):
+    rows = [(1, "https://www.a.dz/?utm_x=1", "A", ["0550123456", "021 12 34 56"], ["M@a.dz"], [("instagram", "Shop")], {"is_advertiser": True, "vip": False}), (2, None, "B", ["0550123456"], [], [], None), (3, None, "none", [], [], [], None)]
+    df = spark.createDataFrame(rows, "seq long, url string, name string, phones array<string>, emails array<string>, handles array<struct<network:string,value:string>>, annotations map<string,boolean>")
+    made = readers.ingest(spark, df, None, "manual_paste", "2026-01-05 10:00:00")
+    assert {r["seq"]: (r["lead_id"], r["is_new"]) for r in made["leads"].collect()} == {1: (1, True), 2: (1, False)}
+    seen = [(r["key"], r["value"], r["confidence"]) for r in made["observations"].collect()]
+    assert sorted(seen) == sorted([
+        ("identity:domain", "a.dz", 0.85), ("identity:etld1", "a.dz", 0.6), ("identity:whatsapp", "+213550123456", 0.9), ("identity:phone", "+21321123456", 0.9), ("identity:email", "m@a.dz", 0.9),
+        ("identity:instagram", "shop", 0.8), ("url:primary", "https://www.a.dz/?utm_x=1", 0.95), ("advertiser:flag", "true", 0.9), ("annotation:vip", "false", 0.9), ("advertiser:first_seen", "2026-01-05 10:00:00", 0.9),
+        ("identity:whatsapp", "+213550123456", 0.9),
+    ])
+    assert made["audit"].count() == 2
 
 
 def test_upsert_in_order(spark):
