@@ -46,27 +46,26 @@ def draw(alpha: Column, beta: Column, key: Column, seed: int) -> Column:
 def allocate(queries: DataFrame, total: int, per_provider: dict[str, int], seed: int = 20260101) -> DataFrame:
     """``(step, provider, query, sampled)``: each unit of budget goes to the best fresh sample with budget left.
 
-    The budget, a parameter, bounds the steps; the queries in play are dimension data, and go
-    to one task as such.
+    Every query draws a sample for every step where it is, and each step keeps the best of a
+    provider; only these, at most steps times providers rows, meet in one task, which spends
+    the budget. A provider that is used up drops out, so the best of the others holds.
     """
-    live = queries.filter(~F.coalesce("retired", F.lit(False)) & ~F.coalesce("pinned_off", F.lit(False)))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["provider", "query"], ignore_index=True)
-        rng, left, out = np.random.default_rng(seed), dict(per_provider), []
-        for step in range(total):
-            open_ = rows[rows["provider"].map(lambda p: left.get(p, 0) > 0)]
-            if open_.empty:
-                break
-            drawn = rng.beta(open_["alpha"], open_["beta"])
-            k = int(np.argmax(drawn))
-            provider = open_["provider"].iloc[k]
-            out.append((step, provider, open_["query"].iloc[k], float(drawn[k])))
-            left[provider] -= 1
+    live = queries.filter(~F.coalesce("retired", F.lit(False)) & ~F.coalesce("pinned_off", F.lit(False))).filter(F.col("provider").isin(*per_provider))
+    steps = live.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(total - 1)))) if total > 0 else live.withColumn("step", F.lit(0)).filter("false")
+    drawn = steps.withColumn("sampled", draw(F.col("alpha"), F.col("beta"), F.concat_ws(":", "provider", "query", "step"), seed))
+    best = drawn.groupBy("step", "provider").agg(F.max(F.struct("sampled", "query")).alias("b")).select("step", "provider", "b.query", "b.sampled")
+
+    def spend(rows: pd.DataFrame) -> pd.DataFrame:
+        left, out = dict(per_provider), []
+        for step, some in rows.sort_values(["step", "sampled", "provider"], ascending=[True, False, True]).groupby("step"):
+            for r in some.itertuples():
+                if left.get(r.provider, 0) > 0:
+                    left[r.provider] -= 1
+                    out.append((int(step), r.provider, r.query, float(r.sampled)))
+                    break
         return pd.DataFrame(out, columns=["step", "provider", "query", "sampled"])
 
-    rows = live.select("provider", "query", F.col("alpha").cast("double").alias("alpha"), F.col("beta").cast("double").alias("beta"))
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "step int, provider string, query string, sampled double")
+    return best.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(spend, "step int, provider string, query string, sampled double")
 
 
 def regret(df: DataFrame, order: str, rate: str, best: float, group: list[str]) -> DataFrame:

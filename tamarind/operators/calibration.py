@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarind.functions import numeric as N
+from tamarind.operators import ranks
+from tamarind.session import stage
+
+#: Different scores up to which a calibration is fitted on the driver; beyond, by an aggregate for each step.
+PLATT_HELD = 500_000
 
 
 def bin_of(p: Column, bins: int) -> Column:
@@ -42,14 +47,9 @@ def expected_error(df: DataFrame, bins: int = 10) -> DataFrame:
 
 def auc(df: DataFrame) -> DataFrame:
     """By rank sums over distinct scores: a window over counts, never over rows or pairs. 0.5 for one class."""
-    by = df.groupBy("p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    # scores are cut into ranges; a range's earlier negatives come from the ranges' own sums
-    ranged = by.withColumn("range", F.floor(F.col("p") * 1024))
-    below = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("range").agg(F.sum("neg").alias("n")).select("range", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged.withColumn("less", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(sums, "range")
-    won = F.sum(F.col("pos") * (F.col("base") + F.col("less") + F.col("neg") / 2))
+    by = stage(df.groupBy("p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg")), "auc-counts")
+    rows = ranks.running(by, [], "p", ["neg"])
+    won = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return rows.agg(F.when(pairs > 0, won / pairs).otherwise(0.5).alias("auc"))
 
@@ -57,20 +57,29 @@ def auc(df: DataFrame) -> DataFrame:
 def platt(df: DataFrame, steps: int = 500, rate: float = 0.05, least: int = 200) -> tuple[float, float]:
     """Slope and offset on the logit by gradient descent; (1, 0) below ``least`` rows.
 
-    Rows are first summed by their rounded logit, so that every step works on that bounded table.
+    The logits stay as they are. Rows are first summed by their score and staged; each step is
+    one aggregate over that table, which no driver holds.
     """
-    import numpy as np
-
-    z = F.round(N.logit(F.col("p")), 4)
-    sums = df.groupBy(z.alias("z")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()  # at most 415,000 logits
-    n = np.array([r["n"] for r in sums], float)
-    if n.sum() < least:
+    z = N.logit(F.col("p")).alias("z")
+    sums = stage(df.groupBy(z).agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("y")), "platt-sums")
+    total = sums.agg(F.sum("n")).first()[0] or 0.0
+    if total < least:
         return 1.0, 0.0
-    x, y = np.array([r["z"] for r in sums]), np.array([r["y"] for r in sums], float)
+    if sums.count() <= PLATT_HELD:  # a bounded table: the steps run here
+        import numpy as np
+
+        held = sums.toPandas()
+        x, n, y = (held[c].to_numpy(float) for c in ("z", "n", "y"))
+        a, b = 1.0, 0.0
+        for _ in range(steps):
+            miss = n / (1 + np.exp(-(a * x + b))) - y
+            a, b = a - rate * (miss @ x) / total, b - rate * miss.sum() / total
+        return float(a), float(b)
     a, b = 1.0, 0.0
     for _ in range(steps):
-        miss = n / (1 + np.exp(-(a * x + b))) - y
-        a, b = a - rate * (miss @ x) / n.sum(), b - rate * miss.sum() / n.sum()
+        miss = F.col("n") * N.sigmoid(F.col("z") * a + b) - F.col("y")
+        ga, gb = sums.agg(F.sum(miss * F.col("z")), F.sum(miss)).first()
+        a, b = a - rate * ga / total, b - rate * gb / total
     return float(a), float(b)
 
 

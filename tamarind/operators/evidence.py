@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarind.functions import numeric as N
+from tamarind.functions.lexicons import category_phrases, wilaya_names
 
 #: Share of each platform, in the order that settles ties.
 PLATFORM_PRIORS = {
@@ -20,7 +22,7 @@ SOPHISTICATION = {
     "shopify": 1.0, "magento": 0.95, "lightfunnels": 0.85, "woocommerce": 0.8, "youcan": 0.75, "prestashop": 0.7, "squarespace": 0.7,
     "webflow": 0.65, "wix": 0.6, "zid": 0.6, "salla": 0.6, "custom": 0.45, "wordpress": 0.35, "none": 0.2,
 }
-#: Prior and phrases of each category, as match keys.
+#: Prior of each category; their phrases are in ``functions.lexicons``.
 CATEGORY_PRIORS = {
     "fashion": 0.26, "shoes": 0.08, "beauty": 0.17, "phones_accessories": 0.12, "electronics": 0.07, "home_kitchen": 0.1, "kids": 0.07,
     "auto": 0.03, "health_supplements": 0.05, "jewelry_watches": 0.03, "other": 0.02,
@@ -73,26 +75,56 @@ def rule_hits(pages: DataFrame, key: str, rules: list[dict], columns: dict[str,
     return pages.select(key, F.explode(F.filter(F.array(*tests), lambda h: h.isNotNull())).alias("h")).select(key, "h.*")
 
 
-def phrase_hits(text: Column, phrases: list[str]) -> Column:
+def _listed(phrases: list[str]) -> Column:
+    """The phrases as one constant array: a long list of literals takes long to plan."""
+    return F.split(F.lit("\n".join(phrases)), "\n") if phrases else F.array().cast("array<string>")
+
+
+def phrase_hits(key: Column, phrases: list[str]) -> Column:
     """How many different phrases (of three characters or more) begin or end at a space in a match key."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    tests = [(padded.contains(f" {p}") | padded.contains(f"{p} ")).cast("int") for p in dict.fromkeys(phrases) if len(p) >= 3]
-    out = F.lit(0)
-    for t in tests:
-        out = out + t
-    return out
+    beside = lambda t, p: F.contains(t, F.concat(F.lit(" "), p)) | F.contains(t, F.concat(p, F.lit(" ")))
+    listed = _listed([p for p in dict.fromkeys(phrases) if len(p) >= 3])
+    return N.let(F.concat(F.lit(" "), key, F.lit(" ")), lambda t: F.size(F.filter(listed, lambda p: beside(t, p))))
+
+
+def lexicon_hits(key: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
+    """Hits of every category's phrases, as an array. Single words are looked for among a text's different words."""
+    phrases = (lexicon or category_phrases()).values()
+    words = F.array_join(F.array_distinct(F.split(key, " ")), " ")
+    one = N.let(words, lambda w: F.array(*(phrase_hits(w, [p for p in x if " " not in p]) for x in phrases)))
+    more = F.array(*(phrase_hits(key, [p for p in x if " " in p]) for x in phrases))
+    return F.zip_with(one, more, lambda a, b: a + b)
+
+
+def wilayas_in(key: Column) -> Column:
+    """Numbers of the provinces that a match key names."""
+    names = wilaya_names()
+    listed = F.from_json(F.lit(json.dumps([{"n": f" {n} ", "c": c} for n, c in names.items()], ensure_ascii=False)), "array<struct<n:string,c:int>>")
+    return N.let(F.concat(F.lit(" "), key, F.lit(" ")), lambda t: F.array_distinct(F.transform(F.filter(listed, lambda n: F.contains(t, n["n"])), lambda n: n["c"])))
+
+
+def sells_goods_guess(products: Column, cart: Column, cod: Column, categories: Column) -> Column:
+    """P(sells goods) where no page was assessed, from whether such facts are known at all."""
+    add = lambda x, w: F.when(F.coalesce(x, F.lit(False)), w).otherwise(0.0)
+    return F.least(F.lit(0.95), 0.3 + add(products, 0.3) + add(cart, 0.15) + add(cod, 0.2) + add(categories > 0, 0.1))
+
+
+def rule_confidence(log_lr: Column) -> Column:
+    """How sure the strongest of a platform's rule hits is, as an aggregate."""
+    return F.coalesce(F.max(N.sigmoid(log_lr)), F.lit(0.0))
 
 
-def categories(df: DataFrame, hits: dict[str, Column], priors: dict[str, float] = CATEGORY_PRIORS) -> DataFrame:
-    """Naive Bayes over phrase counts; adds ``probabilities`` in the priors' order, ``category``, ``probability`` and ``abstained``."""
-    counted = df.withColumns({f"_n_{c}": hits[c] for c in priors})
+def categories(df: DataFrame, hits: Column, priors: dict[str, float] = CATEGORY_PRIORS) -> DataFrame:
+    """Naive Bayes over phrase counts, an array in the priors' order; adds ``probabilities`` in that order, ``category``, ``probability`` and ``abstained``."""
+    counted = df.withColumn("_hits", hits)
+    counted = counted.withColumns({f"_n_{c}": F.col("_hits")[i] for i, c in enumerate(priors)})
     scores = F.array(*(F.lit(math.log(p)) + F.least(F.col(f"_n_{c}"), F.lit(HIT_CAP)) * HIT_LOG_RATIO for c, p in priors.items()))
     rows = counted.withColumn("probabilities", N.softmax(scores)).withColumn("_ranked", F.reverse(F.array_sort("probabilities")))
     every = sum((F.col(f"_n_{c}") for c in priors), F.lit(0))
     best = F.element_at(F.array(*map(F.lit, priors)), F.array_position("probabilities", F.col("_ranked")[0]).cast("int"))
     unsure = (every == 0) | (F.col("_ranked")[0] < 0.35) | (F.col("_ranked")[0] - F.col("_ranked")[1] < 0.06)
     out = rows.withColumns({"category": best, "probability": F.col("_ranked")[0], "abstained": unsure})
-    return out.drop("_ranked", *(f"_n_{c}" for c in priors))
+    return out.drop("_ranked", "_hits", *(f"_n_{c}" for c in priors))
 
 
 def market(c: dict[str, Column]) -> tuple[Column, Column]:

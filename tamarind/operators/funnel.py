@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarind.functions import numeric as N
+from tamarind.session import stage
 
 #: Ranks of lead states, and the funnel's transitions from one rank to the next.
 STAGE_RANK = {
@@ -66,11 +67,18 @@ def stage_kappas(segs: DataFrame) -> DataFrame:
     return out.selectExpr(f"stack({len(STEPS)}, {', '.join(f"'{n}', {n}" for n, _, _ in STEPS)}) AS (stage, kappa)")
 
 
-def segment_posteriors(segs: DataFrame) -> DataFrame:
-    """``(segment, stage, mean)``: every segment's rate, shrunk to the stage's rate."""
+def segment_posteriors(segs: DataFrame, bounds: bool = False) -> DataFrame:
+    """``(segment, stage, n, successes, mean)``: every segment's rate, shrunk to the stage's rate; with ``bounds``
+    also ``lower`` and ``upper``, the 5 % and 95 % points of its Beta distribution."""
+    segs = stage(segs, "funnel-segments")  # read three times below
     stack = ", ".join(f"'{name}', reached_{a}, reached_{b}" for name, a, b in STEPS)
     rows = segs.selectExpr("segment", f"stack({len(STEPS)}, {stack}) AS (stage, n, successes)")
-    rates = stage_rates(segs).select("stage", F.when(F.col("n") > 0, F.col("successes") / F.col("n")).otherwise(0.1).alias("rate"))
+    rates = stage_rates(segs).select("stage", F.when(F.col("successes") > 0, F.col("successes") / F.col("n")).otherwise(0.1).alias("rate"))
     both = rows.join(F.broadcast(rates), "stage").join(F.broadcast(stage_kappas(segs)), "stage")
     a, b = N.pooled(F.col("successes"), F.col("n"), F.col("rate"), F.col("kappa"))
-    return both.select("segment", "stage", N.beta_mean(a, b).alias("mean"))
+    kept = ["segment", "stage", "n", "successes"]
+    if not bounds:
+        return both.select(*kept, N.clamp(N.beta_mean(a, b), 0.0, 1.0).alias("mean"))
+    made = both.select(*kept, "kappa", a.alias("alpha"), b.alias("beta"))
+    low, high = (N.beta_quantile_column(F.col("alpha"), F.col("beta"), q) for q in (0.05, 0.95))
+    return made.withColumns({"mean": N.beta_mean(F.col("alpha"), F.col("beta")), "lower": low, "upper": high})

@@ -105,3 +105,32 @@ def predict(x: Column, beta, covariance) -> tuple[Column, Column, Column]:
 
 def top_weights(names: list[str], beta, n: int = 6) -> list[tuple[str, float]]:
     return sorted(zip(names, map(float, beta), strict=True), key=lambda kv: -abs(kv[1]))[:n]
+
+
+def sample_posterior(beta, covariance, n: int = 1, seed: int = 20260101):
+    """``(n, features)`` draws of the weights, by the covariance's Cholesky factor."""
+    import numpy as np
+
+    cov = np.asarray(covariance, float)
+    factor = np.linalg.cholesky(cov + 1e-12 * np.eye(len(cov)))
+    return np.asarray(beta, float) + np.random.default_rng(seed).standard_normal((n, len(cov))) @ factor.T
+
+
+def stored_state(names: list[str], beta, covariance) -> dict:
+    """A model as a row: weights by name, with the covariance's cells among them for old readers, and the covariance."""
+    rows = [[float(c) for c in r] for r in covariance]
+    cells = {f"cov:{i}:{j}": c for i, r in enumerate(rows) for j, c in enumerate(r)}
+    return {"weights": dict(zip(names, map(float, beta), strict=True)) | cells, "covariance": rows}
+
+
+def restored_state(stored: dict, names: list[str], prior_means: list[float]) -> tuple[list[float], list[list[float]]]:
+    """Weights and covariance of a row: missing weights are the prior's, missing or non-finite cells
+    come from the old keys, else from the identity."""
+    weights, held = stored.get("weights") or {}, stored.get("covariance") or []
+
+    def cell(i: int, j: int) -> float:
+        found = [held[i][j] if i < len(held) and j < len(held[i] or []) else None, weights.get(f"cov:{i}:{j}")]
+        return next((float(x) for x in found if x is not None and math.isfinite(x)), float(i == j))
+
+    beta = [float(weights.get(n, m)) for n, m in zip(names, prior_means, strict=True)]
+    return beta, [[cell(i, j) for j in range(len(names))] for i in range(len(names))]

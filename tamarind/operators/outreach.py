@@ -6,28 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarind.functions import fingerprints as P
-from tamarind.functions import messaging as M
+from tamarind.functions import hashing as H
 from tamarind.functions import numeric as N
 from tamarind.functions import text as X
 from tamarind.functions import web as U
-from tamarind.operators import evidence, ranking
+from tamarind.functions.lexicons import WILAYAS
+from tamarind.operators import evidence, ranking, templates
 from tamarind.operators.temporal import OUTCOME_STATE
 from tamarind.session import stage
 
-#: (id, stage, channels, {language: body}): a small set of our own; callers may pass another.
-TEMPLATES = [
-    ("first.advertiser", "first_contact", ["whatsapp", "messenger", "instagram", "facebook"], {"fr": "Bonjour {name}, j'ai vu votre annonce pour {product}. On en parle ?", "en": "Hello {name}, I saw your ad for {product}. Shall we talk?"}),
-    ("first.social", "first_contact", ["messenger", "instagram", "facebook"], {"fr": "Bonjour {name}, votre page est belle. Je peux vous montrer un outil ?", "en": "Hello {name}, nice page. May I show you a tool?"}),
-    ("first.storefront", "first_contact", ["whatsapp", "messenger", "instagram", "facebook", "email"], {"fr": "Bonjour {name}, un outil confirme vos commandes. Ça vous dit ?", "en": "Hello {name}, a tool can confirm your orders. Interested?"}),
-    ("first.small", "first_contact", ["whatsapp", "messenger", "instagram", "facebook"], {"fr": "Bonjour {name}, vous vendez en ligne ?", "en": "Hello {name}, do you sell online?"}),
-    ("followup.once", "followup", ["whatsapp", "messenger", "instagram", "facebook", "email"], {"fr": "Bonjour {name}, je reviens vers vous une seule fois.", "en": "Hello {name}, writing once more."}),
-]
+def site_facts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", headers: str | None = None, catalog: str | None = None, now: Column | None = None) -> DataFrame:
+    """One row of facts for each page: platform, ad scripts, contacts, language, market, catalogue, category and maturity.
 
-
-def site_facts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", headers: str | None = None) -> DataFrame:
-    """One row of facts for each page: platform, ad scripts, contacts, languages, delivery phrases and currency.
-
-    Python parses a page once (text, contacts); all rules run as expressions of one projection.
+    Python parses a page once (text, contacts); all rules run as expressions. ``catalog`` names a
+    column as ``web.merged_catalog`` makes it, of what was found beside the page.
     """
     rules, names = P.platform_rules()
     look = {"html": F.col(html), "url": F.col(url)}
@@ -37,49 +29,105 @@ def site_facts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     platform = evidence.fuse_platform(hits, key, pages.select(key)).select(key, "platform", F.col("probability").alias("platform_probability"))
     ads = F.filter(F.array(*(F.when(F.col(html).rlike(f"(?i){p}"), F.lit(i)) for i, p, _ in P.AD_RULES)), lambda x: x.isNotNull())
     server = F.array(*(F.lit(i) for i, _, s in P.AD_RULES if s))
-    rows = pages.select(key, F.col(url).alias("_url"), ads.alias("ad_tech"), U.contacts_udf(html).alias("contacts"), U.text_corpus_udf(html).alias("corpus"))
-    rows = rows.withColumn("key", X.match_key_udf("corpus"))
-    cod = F.lit(0.0)
-    for phrase, weight in P.COD_PHRASES:
-        cod = cod + F.when(F.col("key").contains(X.match_key(phrase)), weight).otherwise(0.0)
-    money = F.array(*(F.when(F.col("corpus").rlike(f"(?i){p}"), F.struct(F.lit(w).alias("w"), F.lit(c).alias("c"))) for p, c, w in P.CURRENCIES))
-    rows = X.with_language(rows, "corpus", "key").withColumns({"cod_weight": cod, "currency": F.array_max(F.filter(money, lambda m: m.isNotNull()))["c"], "server_side": F.arrays_overlap("ad_tech", server)})
-    rows = rows.withColumn("pixels", F.size(F.array_except("ad_tech", server)))
-    kept = rows.select(key, "ad_tech", "pixels", "server_side", "contacts", "language", "cod_weight", "currency", F.length("corpus").alias("n_chars"))
-    return kept.join(platform, key)
-
-
-def template_of(channel: Column, has_whatsapp: Column, advertiser: Column, platform: Column, products: Column) -> Column:
-    """The first-contact template of a lead."""
-    social = channel.isin("messenger", "instagram", "facebook")
-    writes = social | (channel == "whatsapp")
-    return (
-        F.when(social & ~has_whatsapp, "first.social").when(writes & advertiser, "first.advertiser")
-        .when((platform != "none") & (F.coalesce(products, F.lit(0)) > 0), "first.storefront").otherwise("first.small")
+    shown = U.html_catalog(F.col(html))
+    has = lambda p: F.coalesce(F.col(html).rlike(f"(?i){p}"), F.lit(False))
+    rows = pages.select(
+        key, U.canonical_url_udf(url).alias("canonical"), ads.alias("ad_tech"), U.page_udf(html).alias("_page"), has(P.CART).alias("cart"), has(P.CHECKOUT).alias("checkout"),
+        U.merged_catalog({"html": shown}).alias("_shown"), *([F.col(catalog).alias("_catalog")] if catalog else []),
+    )
+    field = lambda c: F.coalesce(F.col(f"_catalog.{c}"), F.col(f"_shown.{c}")) if catalog else F.col(f"_shown.{c}")
+    rows = rows.select("*", F.col("_page.corpus").alias("corpus"), F.col("_page.contacts").alias("contacts"), field("product_count").alias("products"), field("median_price").alias("median_price"), field("latest").alias("latest"))
+    rows = rows.withColumn("key", X.match_key_of("corpus"))
+    rows = X.with_language(rows, "corpus", "key").withColumns(
+        {
+            "cod_weight": P.cod_weight(F.col("key")), "currency": P.currency_of(F.col("corpus")), "wilayas": evidence.wilayas_in(F.col("key")),
+            "server_side": F.arrays_overlap("ad_tech", server), "pixels": F.size(F.array_except("ad_tech", server)), "channels": F.array_distinct(F.transform("contacts", lambda c: c["kind"])),
+            "phones": F.greatest(F.size(F.filter("contacts", lambda c: c["kind"].isin("phone", "whatsapp"))), F.size(U.phones_in(F.col("corpus")))),
+            "dz_host": F.coalesce(F.endswith(U.host_of(F.col("canonical")), F.lit(".dz")), F.lit(False)),
+        }
+    )
+    here, sells = evidence.market(
+        {
+            "dz_host": F.col("dz_host"), "cod_weight": F.col("cod_weight"), "dzd": F.coalesce(F.col("currency") == "DZD", F.lit(False)), "wilayas": F.size("wilayas"), "phones": F.col("phones"),
+            "language": F.col("language"), "products": F.coalesce("products", F.lit(0)), "cart": F.col("cart"), "checkout": F.col("checkout"), "prices": F.col("median_price").isNotNull(),
+        }
+    )
+    words = F.concat_ws(" ", "key", X.match_key_of(F.regexp_replace("canonical", "[-/.]", " ")))
+    rows = evidence.categories(rows.withColumns({"p_market": here, "p_sells": sells, "_words": words}), evidence.lexicon_hits(F.col("_words")))
+    rows = rows.join(platform, key).withColumn("products", F.col("products").cast("int"))
+    fresh = U.freshness_days(F.col("latest"), now) if now is not None else F.lit(None).cast("double")
+    rows = rows.withColumn("maturity", evidence.maturity(F.col("products"), fresh, F.col("pixels"), F.col("server_side"), F.size("channels"), F.col("platform")))
+    return rows.select(
+        key, "canonical", "platform", "platform_probability", "ad_tech", "pixels", "server_side", "contacts", "channels", "language", "cod_weight", "currency", "wilayas", "phones", "dz_host",
+        "cart", "checkout", "products", "median_price", "p_market", "p_sells", "category", F.col("probability").alias("category_probability"), F.col("abstained").alias("category_abstained"),
+        "maturity", F.length("corpus").alias("n_chars"),
+    )
+
+
+def signals(facts: DataFrame, key: str = "page_id") -> DataFrame:
+    """``(key, name, value, confidence)``: the facts as observations, one row each; what isn't known makes none."""
+    row = lambda name, value, sure: F.struct(name.alias("name") if isinstance(name, Column) else F.lit(name).alias("name"), value.cast("string").alias("value"), N.clamp(sure, 0.0, 1.0).alias("confidence"))
+    only = lambda test, made: F.when(F.coalesce(test, F.lit(False)), made)
+    server = F.array(*(F.lit(i) for i, _, s in P.AD_RULES if s))
+    places = F.size("wilayas")
+    single = F.array(
+        row(F.concat(F.lit("platform:"), "platform"), F.col("platform"), F.col("platform_probability")),
+        only(F.col("cod_weight") > 0, row("market:cod", F.col("cod_weight"), F.col("p_market"))),
+        only(F.col("currency") == "DZD", row("market:currency", F.col("currency"), F.lit(1.0))),
+        only(places > 0, row("market:wilaya_coverage", places, F.least(F.lit(0.95), places / len(WILAYAS) * 3))),
+        only(F.col("dz_host"), row("market:dz_tld", U.host_of(F.col("canonical")), F.lit(0.9))),
+        row("market:p_market", F.round("p_market", 4), F.col("p_market")),
+        only(F.col("products").isNotNull(), row("catalog:product_count", F.col("products"), F.lit(0.95))),
+        only(F.col("median_price").isNotNull(), row("catalog:median_price", F.round("median_price").cast("long"), F.lit(0.8))),
+        row(F.concat(F.lit("category:"), "category"), F.col("category"), F.col("category_probability")),
+        row("language:dominant", F.col("language"), F.lit(0.8)),
+        row("maturity:index", F.col("maturity"), F.lit(0.8)),
+    )
+    ways = F.transform("contacts", lambda c: row(F.concat(F.lit("contact:"), c["kind"]), c["value"], c["confidence"]))
+    ads = F.transform("ad_tech", lambda a: row(F.concat(F.lit("adtech:"), a), a, F.when(F.array_contains(server, a), 0.8).otherwise(0.9)))
+    every = F.filter(F.concat(single, ways, ads), lambda s: s.isNotNull())
+    return facts.select(key, F.explode(every).alias("s")).select(key, "s.*").dropDuplicates([key, "name", "value"])
+
+
+def qualified(facts: DataFrame, suppressed: Column, customer: Column, policy_ok: Column, floor: float = 0.0) -> DataFrame:
+    """Adds ``qualified`` and ``reasons`` to site facts."""
+    ok, why = evidence.gates(
+        {"channels": F.col("channels"), "p_market": F.col("p_market"), "p_sells": F.col("p_sells"), "suppressed": suppressed, "customer": customer, "policy_ok": policy_ok, "maturity": F.col("maturity")}, floor
     )
+    return facts.withColumns({"qualified": ok, "reasons": why})
 
 
-def draft(rows: DataFrame, templates: list = TEMPLATES) -> DataFrame:
-    """Adds ``body``, ``errors``, ``warnings`` and ``sendable``: the language's variant, or the template's first."""
-    bodies = F.create_map(*(F.lit(x) for i, _, _, by in templates for lang, b in by.items() for x in (f"{i}/{lang}", b)))
-    firsts = F.create_map(*(F.lit(x) for i, _, _, by in templates for x in (i, next(iter(by.values())))))
-    body = F.coalesce(bodies[F.concat_ws("/", "template_id", "language")], firsts[F.col("template_id")])
-    filled = rows.withColumn("body", M.render(body, {"name": F.col("name"), "product": F.coalesce("product", F.lit("your products"))}))
-    errors, warnings = M.lint(F.col("body"), F.col("_key"), F.lit(True))
-    return filled.withColumn("_key", X.match_key_udf("body")).withColumns({"errors": errors, "warnings": warnings}).withColumn("sendable", F.size("errors") == 0).drop("_key")
+#: How a platform is called, and what a category's goods are called, in messages.
+PRODUCT_LABELS = {
+    "fashion": "الملابس", "shoes": "الأحذية", "beauty": "العطور ومستحضرات التجميل", "phones_accessories": "أكسسوارات الهاتف", "electronics": "الإلكترونيات",
+    "home_kitchen": "مستلزمات المنزل والمطبخ", "kids": "منتجات الأطفال", "auto": "أكسسوارات السيارات", "health_supplements": "المكملات الغذائية",
+    "jewelry_watches": "المجوهرات والساعات", "other": "منتجك",
+}
 
 
-def work_queue(leads: DataFrame, n: int, weight: float = 0.7) -> DataFrame:
-    """The day's queue: a diverse batch of scored leads, each with template, message and link, by rank.
+def product_label(category: Column) -> Column:
+    labels = F.create_map(*(F.lit(x) for kv in PRODUCT_LABELS.items() for x in kv))
+    return F.coalesce(labels[F.coalesce(category, F.lit("other"))], F.lit("منتجاتك"))
 
-    ``leads (id, name, score, sampled_p, platform, category, wilaya, channel, target, advertiser, products, language, has_whatsapp, product)``.
+
+def work_queue(leads: DataFrame, n: int, weight: float = 0.75, variants: DataFrame | None = None, day: str = "2026-01-01") -> DataFrame:
+    """The day's queue: a diverse batch of scored leads, each with template, variant, message and link, by rank.
+
+    ``leads (id, name, score, sampled_p, platform, category, wilaya, channel, target, advertiser, products, language, has_whatsapp)``;
+    with ``first`` (false: a follow-up) and ``policy`` (a policy code) where they are known: ``sendable`` then asks for ``ok``.
     """
+    spark = leads.sparkSession
     leads = stage(leads, "queue-leads")  # scored once; the batch, its rest and its drafts all read it
     batch = ranking.daily_batch(leads, n, weight=weight)  # n rows: fits a broadcast
     chosen = leads.join(F.broadcast(batch), "id")
-    made = draft(chosen.withColumn("template_id", template_of(F.col("channel"), F.col("has_whatsapp"), F.col("advertiser"), F.col("platform"), F.col("products"))))
-    link = F.when(F.col("channel") == "whatsapp", M.wa_link(F.col("target"), F.col("body"))).when(F.col("channel") == "email", F.concat(F.lit("mailto:"), F.col("target"))).otherwise(M.profile_link(F.col("channel"), F.col("target")))
-    return made.withColumn("link", link).orderBy("rank")
+    first = F.col("first") if "first" in leads.columns else F.lit(True)
+    template = templates.template_of(F.col("channel"), F.col("has_whatsapp"), F.col("advertiser"), F.col("platform"), F.col("products"), first)
+    chosen = chosen.withColumns({"template_id": template, "product": product_label(F.col("category")), "platform_label": F.initcap("platform"), "_key": F.concat_ws(":", "id", F.lit(day))})
+    picked = templates.choose_variants(chosen, templates.template_rows(spark) if variants is None else variants, "_key").drop("_key")
+    made = templates.draft(picked, first)
+    if "policy" in leads.columns:
+        made = made.withColumn("sendable", F.col("sendable") & (F.col("policy") == "ok"))
+    return made.withColumn("link", templates.outreach_link(F.col("channel"), F.col("target"), F.col("body"))).orderBy("rank")
 
 
 def after_outcomes(outcomes: DataFrame, identities: DataFrame) -> dict[str, DataFrame]:
@@ -105,7 +153,7 @@ def model_row(version_day: str, names: list[str], fit, metrics: dict, least: int
     beta = [m for _, m, _ in evidence.FEATURES] if cold else [float(b) for b in fit.beta]
     cov = [[(sd * sd if i == j else 0.0) for j in range(len(names))] for i, (_, _, sd) in enumerate(evidence.FEATURES[: len(names)])] if cold else fit.covariance.tolist()
     rows = 0 if fit is None else fit.rows
-    return {"version": f"reply-logistic-{version_day}", "weights": dict(zip(names, beta, strict=False)), "covariance": cov, "n_observations": rows, "metrics": metrics, "calibrated": rows >= calibrated_from}
+    return {"version": "reply-logistic-prior-v1" if cold else f"reply-logistic-{version_day}", "weights": dict(zip(names, beta, strict=False)), "covariance": cov, "n_observations": rows, "metrics": metrics, "calibrated": rows >= calibrated_from}
 
 
 def simulate(sends: int = 1000, merchants: int = 400, refit: int = 50, seed: int = 20260101) -> dict:
@@ -142,12 +190,40 @@ def simulate(sends: int = 1000, merchants: int = 400, refit: int = 50, seed: int
     return {"sends": sends, "ranked": wins["ranked"], "uniform": wins["uniform"], "uplift": wins["ranked"] / max(1, wins["uniform"]), "brier": float(((said - was) ** 2).mean()), "regret": float((truth.max() - truth.mean()) * sends - wins["ranked"] + truth.mean() * sends)}
 
 
-def score(leads: DataFrame, beta, covariance, rows: int, seconds: Column, chain: list[float] | None = None) -> DataFrame:
-    """Adds ``p_reply``, ``ucb``, ``ev`` and ``priority`` to leads with a feature array ``x``."""
+#: Chances down the funnel where no segment is known.
+CHAIN = {"interested": 0.45, "signed_up": 0.35, "activated": 0.6, "paid": 0.35}
+
+
+def with_funnel(leads: DataFrame, posteriors: DataFrame, segment: Column) -> DataFrame:
+    """Adds ``p_interested``, ``p_signed_up``, ``p_activated`` and ``p_paid`` of each lead's segment from ``(segment, stage, mean)``.
+
+    Where the segment has no row, the stage's own row (segment null) counts, else ``CHAIN``.
+    """
+    means = [F.max(F.when(F.col("stage") == s, F.col("mean"))).alias(f"p_{s}") for s in CHAIN]
+    by = posteriors.groupBy(F.col("segment").alias("_segment")).agg(*means)
+    rows = leads.withColumn("_segment", segment).join(by.filter("_segment is not null"), "_segment", "left")
+    every = by.filter("_segment is null").select(*(F.col(f"p_{s}").alias(f"_all_{s}") for s in CHAIN)).limit(1)
+    one = leads.sparkSession.range(1).join(F.broadcast(every), F.lit(True), "left").drop("id")  # one row in any case
+    rows = rows.crossJoin(F.broadcast(one))
+    filled = {f"p_{s}": F.coalesce(f"p_{s}", f"_all_{s}", F.lit(v)) for s, v in CHAIN.items()}
+    return rows.withColumns(filled).drop("_segment", *(f"_all_{s}" for s in CHAIN))
+
+
+def score(leads: DataFrame, beta, covariance, rows: int, seconds: Column, version: str = "reply-logistic-prior-v1") -> DataFrame:
+    """Adds ``p_reply``, ``ucb``, ``ev``, ``priority`` and ``explanation`` to leads with a feature array ``x``.
+
+    The chain down the funnel comes from the columns that ``with_funnel`` adds, else from ``CHAIN``.
+    """
     from tamarind.operators.logistic import predict
 
     _, variance, p = predict(F.col("x"), beta, covariance)
-    c = chain or [0.5, 0.5, 0.5, 0.5]
+    c = [F.col(f"p_{s}") if f"p_{s}" in leads.columns else F.lit(v) for s, v in CHAIN.items()]
     out = leads.withColumns({"p_reply": p, "_v": variance}).withColumn("ucb", N.ucb(F.col("p_reply"), F.col("_v"), F.lit(float(rows))))
-    ev = N.expected_value(F.col("p_reply"), *(F.lit(float(v)) for v in c))
-    return out.withColumn("ev", ev).withColumn("priority", N.priority(F.col("ev"), seconds)).drop("_v")
+    out = out.withColumn("ev", N.expected_value(F.col("p_reply"), *c)).withColumn("priority", N.priority(F.col("ev"), seconds))
+    said = F.array(
+        F.concat(F.lit("P(reply)="), H.fixed(F.col("p_reply"), 3), F.lit(f" via {version}"), F.lit("" if rows else " (cold start: priors)")),
+        F.concat(F.lit("UCB="), H.fixed(F.col("ucb"), 3), F.lit(", s="), H.fixed(F.sqrt("_v"), 3)),
+        F.concat(F.lit("funnel: "), *(x for s, v in zip(CHAIN, c, strict=True) for x in (F.lit(f"{s}="), H.fixed(v, 2), F.lit(" ")))),
+        F.concat(F.lit("EV="), H.fixed(F.col("ev"), 2), F.lit(" effort="), H.fixed(seconds, 0), F.lit("s priority="), H.fixed(F.col("priority"), 4)),
+    )
+    return out.withColumn("explanation", said).drop("_v")

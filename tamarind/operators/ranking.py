@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -28,29 +29,35 @@ def mmr_order(scores: np.ndarray, codes: np.ndarray, n: int, weight: float) -> l
     return picks
 
 
-def mmr(candidates: DataFrame, n: int, weight: float = 0.7, group: str | None = None, pool: int = 2000, id_col: str = "id", score: str = "score", dims: list[str] = DIMS) -> DataFrame:
-    """``(group,) id, rank``: re-ranked picks. Only the ``pool`` best of a group are looked at (top-k per group)."""
+def mmr(candidates: DataFrame, n: int, weight: float = 0.75, group: str | None = None, id_col: str = "id", score: str = "score", dims: list[str] = DIMS) -> DataFrame:
+    """``(group,) id, rank``: re-ranked picks.
+
+    Rows of one combination of ``dims`` are alike to any pick, so they are picked in order
+    of their scores: only the ``n`` best of each combination can be among n picks. No other
+    row is looked at, and none that could be picked is left out.
+    """
     grouped = candidates.withColumn("_g", F.col(group) if group else F.lit(0))
-    best = grouped.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.desc(score), id_col))).filter(F.col("_n") <= pool)
+    within = Window.partitionBy("_g", *dims).orderBy(F.desc(score), id_col)
+    best = grouped.withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= n)  # Spark cuts before it shuffles
     kind = candidates.schema[id_col].dataType.simpleString()
     g_kind = candidates.schema[group].dataType.simpleString() if group else "int"
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_n", ignore_index=True)
+        rows = rows.sort_values([score, id_col], ascending=[False, True], ignore_index=True)
         codes = np.stack([pd.factorize(rows[d], use_na_sentinel=False)[0] for d in dims], axis=1)
         at = mmr_order(rows[score].to_numpy(float), codes, n, weight)
         return pd.DataFrame({"_g": rows["_g"].iloc[at], id_col: rows[id_col].iloc[at], "rank": np.arange(1, len(at) + 1)})
 
-    made = best.select("_g", id_col, score, "_n", *dims).groupBy("_g").applyInPandas(pick, f"_g {g_kind}, {id_col} {kind}, rank int")
+    made = best.select("_g", id_col, score, *dims).groupBy("_g").applyInPandas(pick, f"_g {g_kind}, {id_col} {kind}, rank int")
     return made.withColumnRenamed("_g", group) if group else made.drop("_g")
 
 
-def daily_batch(candidates: DataFrame, n: int, rate: float = 0.15, weight: float = 0.7, sampled: str = "sampled_p", id_col: str = "id") -> DataFrame:
+def daily_batch(candidates: DataFrame, n: int, rate: float = 0.1, weight: float = 0.75, sampled: str = "sampled_p", id_col: str = "id") -> DataFrame:
     """``(id, rank, exploration)``: MMR picks first, then the rest with the greatest sampled chances."""
-    total = candidates.count()
-    slots = max(1, round(n * rate))
-    first = mmr(candidates, max(1, min(n - slots, total - slots)), weight, id_col=id_col).withColumn("exploration", F.lit(False))
-    rest = candidates.join(first.select(id_col), id_col, "left_anti").orderBy(F.desc(sampled), id_col).limit(slots)
+    total, n = candidates.count(), max(1, n)
+    slots = max(1, math.floor(n * rate + 0.5))
+    first = mmr(candidates, max(1, min(max(1, n - slots), total - slots)), weight, id_col=id_col).withColumn("exploration", F.lit(False))
+    rest = candidates.join(F.broadcast(first.select(id_col)), id_col, "left_anti").orderBy(F.desc(sampled), id_col).limit(slots)  # first: n rows
     base = first.agg(F.max("rank").alias("m"))
     order = F.row_number().over(Window.orderBy(F.desc(sampled), id_col))
     more = rest.crossJoin(F.broadcast(base)).select(id_col, (order + F.col("m")).cast("int").alias("rank"), F.lit(True).alias("exploration"))

@@ -33,6 +33,57 @@ def matching(df: DataFrame, listed: DataFrame, on: list[str], keep: bool = True)
     return df.join(listed.select(*on).distinct(), on, "left_semi" if keep else "left_anti")
 
 
+def live(leads: DataFrame, merged_too: bool = False) -> DataFrame:
+    """Leads that are neither deleted nor merged into another; the work queue reads merged ones too."""
+    kept = leads.filter("deleted_at is null")
+    return kept if merged_too else kept.filter("merged_into_id is null")
+
+
+def select_leads(leads: DataFrame, states: list[str], n: int) -> DataFrame:
+    """Live leads in the given states, last seen first, those never seen before all."""
+    return live(leads).filter(F.col("state").isin(*states)).orderBy(F.desc_nulls_first("last_seen_at"), "id").limit(n)
+
+
+def is_customer(values: Column, customers: str) -> Column:
+    """Whether one of an array's values, of more than three characters, stands in a customers' file."""
+    held = F.lit(customers.lower())
+    return F.exists(values, lambda v: (F.length(v) > 3) & F.contains(held, F.lower(v)))
+
+
+def append(log: DataFrame, path: str) -> None:
+    """Add rows to a log: observations, scores, attempts, outcomes, audit or merges."""
+    log.write.mode("append").parquet(path)
+
+
+def merge_log(decisions: DataFrame, now: str) -> DataFrame:
+    """``(action, kept_id, merged_id, decision, at)`` of resolution: merges keep the lesser id, reviews both as they stand."""
+    merges = F.col("decision") == "auto_merge"
+    kept, gone = F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
+    detail = F.to_json(F.struct("posterior", "matched_on", "conflicting"))
+    rows = decisions.filter(F.col("decision").isin("auto_merge", "review"))
+    return rows.select(F.when(merges, "merge").otherwise("review_decision").alias("action"), F.when(merges, kept).otherwise(F.col("left_id")).alias("kept_id"), F.when(merges, gone).otherwise(F.col("right_id")).alias("merged_id"), detail.alias("decision"), F.lit(now).cast("timestamp_ntz").alias("at"))
+
+
+def merged_into(log: DataFrame) -> DataFrame:
+    """``(id, merged_into_id)`` after a log's merges that aren't taken back: the latest of a lead holds."""
+    held = log.filter((F.col("action") == "merge") & F.col("reverted_at").isNull())
+    return held.groupBy(F.col("merged_id").alias("id")).agg(F.max_by("kept_id", F.struct("at", "kept_id")).alias("merged_into_id"))
+
+
+def revert_merges(leads: DataFrame, log: DataFrame, merge_ids: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Leads and log after the merges ``(id)`` are taken back: their leads stand alone again."""
+    named = merge_ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    new = log.join(named, "id", "left").withColumn("reverted_at", F.when(F.col("_hit") & F.col("merged_id").isNotNull(), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("reverted_at")))
+    freed = new.filter("_hit and merged_id is not null").select(F.col("merged_id").alias("id")).distinct().withColumn("_free", F.lit(True))
+    back = leads.join(freed, "id", "left").withColumn("merged_into_id", F.when(F.col("_free").isNull(), F.col("merged_into_id"))).select(*leads.columns)
+    return back, new.select(*log.columns)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """Every row as a JSON document, for the outputs that ask for it."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
 def substring_listed(text: Column, parts: list[str]) -> Column:
     low = F.lower(text)
     return reduce(lambda a, b: a | b, (low.contains(p) for p in parts), F.lit(False))
@@ -85,12 +136,16 @@ def erase(tables: dict[str, tuple[DataFrame, str]], erased: DataFrame, key: str)
 
 
 def export_bundle(leads: DataFrame, key: str, parts: dict[str, tuple[DataFrame, str, list[str], int | None]]) -> DataFrame:
-    """``(key, bundle)``: a JSON document with the entity's rows of every part, newest first by the part's first column."""
+    """``(key, bundle)``: a JSON document with the entity's rows of every part, newest first by the part's first column.
+
+    A part's limit is met before its rows are gathered.
+    """
     out = leads.select(key)
     for name, (df, own, cols, most) in parts.items():
+        if most:
+            df = last_rows(df, [own], [F.desc(c) for c in cols], most)
         rows = F.sort_array(F.collect_list(F.struct(*cols)), asc=False)
-        held = df.groupBy(F.col(own).alias(key)).agg((F.slice(rows, 1, most) if most else rows).alias(name))
-        out = out.join(held, key, "left")
+        out = out.join(df.groupBy(F.col(own).alias(key)).agg(rows.alias(name)), key, "left")
     kept = {n: F.coalesce(n, F.array()) for n in parts}
     return out.withColumns(kept).select(key, F.to_json(F.struct(*parts)).alias("bundle"))
 
@@ -105,6 +160,10 @@ def last_rows(df: DataFrame, group: list[str], order: list[Column], n: int = 90)
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
 
-def single_active(versions: DataFrame, kind: str, order: list[Column]) -> DataFrame:
-    """Only the newest version of a kind is active."""
-    return versions.withColumn("active", F.row_number().over(Window.partitionBy(kind).orderBy(*order)) == 1)
+def single_active(versions: DataFrame, kind: str, newest: list[str]) -> DataFrame:
+    """Only the newest version of a kind, by the columns ``newest`` without ties, is active.
+
+    The newest come from a partial aggregate; kinds of models are a handful, a row each.
+    """
+    best = versions.groupBy(kind).agg(F.max(F.struct(*newest)).alias("_best"))
+    return versions.join(F.broadcast(best), kind).withColumn("active", F.struct(*newest) == F.col("_best")).drop("_best").select(*versions.columns, "active")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarind.functions import numeric as N
-from tamarind.functions.text import jaro_winkler_udf, match_key_udf, token_list, token_set_similarity
+from tamarind.functions.text import jaro_winkler_udf, match_key_of, token_list, token_set_similarity
 from tamarind.operators.graph import connected_components
 
 #: Chance that a field agrees for the same and for different entities.
@@ -28,7 +28,7 @@ def weights(field: str) -> tuple[float, float]:
 def prepared(records: DataFrame) -> DataFrame:
     """Records ``(id, name, domain, phones, emails, handles, wilaya, category)`` with lower-cased identities and name keys."""
     low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
-    key = match_key_udf("name")
+    key = match_key_of("name")
     return records.select(
         "id", F.when(F.col("domain") != "", F.lower("domain")).alias("domain"), F.coalesce("phones", F.array().cast("array<string>")).alias("phones"),
         low(F.col("emails")).alias("emails"), low(F.col("handles")).alias("handles"), F.when(F.col("name") != "", key).alias("name_key"), F.lower("name").alias("name"),

@@ -95,11 +95,24 @@ def gaps(df: DataFrame, group: list[str], ts: str, tie: str) -> DataFrame:
     return df.withColumn("_last", last).withColumn("gap_minutes", micros / 60e6).drop("_last")
 
 
-def other_channel_recently(df: DataFrame, lead: str, channel: str, ts: str, days: int = COOLDOWN_DAYS) -> DataFrame:
-    """Whether the lead was contacted on another channel within the days before."""
+def recent_channels(df: DataFrame, lead: str, channel: str, ts: str, days: int = COOLDOWN_DAYS) -> DataFrame:
+    """Adds ``recent_channels``: on which the lead was contacted in earlier seconds of the last ``days`` days."""
     seconds = F.col(ts).cast("timestamp_ntz").cast("timestamp").cast("long")
-    w = Window.partitionBy(lead).orderBy("_s").rangeBetween(-days * 86400 + 1, 0)
-    return df.withColumn("_s", seconds).withColumn("blocked", F.size(F.array_remove(F.collect_set(channel).over(w), F.col(channel))) > 0).drop("_s")
+    w = Window.partitionBy(lead).orderBy("_s").rangeBetween(-days * 86400 + 1, -1)
+    return df.withColumn("_s", seconds).withColumn("recent_channels", F.collect_set(channel).over(w)).drop("_s")
+
+
+def channel_cooldown(recent: Column, channel: Column) -> Column:
+    """Whether a lead was contacted of late, and on other channels only."""
+    return (F.size(recent) > 0) & ~F.array_contains(recent, channel)
+
+
+#: What a policy decision can be, and those that end contact for good.
+POLICY_CODES = [
+    "ok", "suppressed", "terminal_state", "customer", "first_contact_limit", "followup_cooldown", "channel_cooldown",
+    "daily_cap", "hourly_cap", "spacing", "quiet_hours", "friday_blackout", "warmup",
+]
+HARD_STOPS = ["suppressed", "terminal_state", "customer", "first_contact_limit"]
 
 
 def policy_code(checks: list[tuple[Column, str]]) -> Column:
@@ -111,32 +124,135 @@ def policy_code(checks: list[tuple[Column, str]]) -> Column:
 
 
 def contact_policy(c: dict[str, Column], max_follow_ups: int = 1) -> Column:
-    """Columns by name: suppressed, state, customer, hostile, other_channel, first_contacts, follow_ups,
-    days_since_first, now, sent_today, cap, sent_hour, hour_cap, minutes_since_send."""
+    """The code of a contact decision.
+
+    Columns by name: suppressed, state, customer, hostile, recent_channels (array), channel, first_contacts, follow_ups,
+    days_since_first (since the last first contact), now, sent_today, cap, sent_hour, hour_cap, minutes_since_send, sender_days.
+    """
     again = c["first_contacts"] > 0
+    full = c["sent_today"] >= c["cap"]
     return policy_code(
         [
             (c["suppressed"], "suppressed"),
             (c["state"] == "do_not_contact", "terminal_state"),
             (c["customer"], "customer"),
             (c["hostile"], "suppressed"),
-            (c["other_channel"], "channel_cooldown"),
+            (channel_cooldown(c["recent_channels"], c["channel"]), "channel_cooldown"),
             (again & (c["follow_ups"] >= max_follow_ups), "first_contact_limit"),
             (again & (c["days_since_first"] < FOLLOW_UP_DAYS), "followup_cooldown"),
-            (quiet_hours(c["now"]) | friday_blackout(c["now"]), "quiet_hours"),
-            (c["sent_today"] >= c["cap"], "daily_cap"),
+            (quiet_hours(c["now"]), "quiet_hours"),
+            (friday_blackout(c["now"]), "friday_blackout"),
+            (full, "daily_cap"),
             (c["sent_hour"] >= c["hour_cap"], "hourly_cap"),
             (c["minutes_since_send"] < SPACING_MINUTES, "spacing"),
+            ((c["sender_days"] < WARMUP_DAYS) & full, "warmup"),
         ]
     )
 
 
+def policy_retry(code: Column, now: Column, last_first: Column, last_sent: Column) -> tuple[Column, Column]:
+    """Whether a refused contact may be tried again, and from when (null: not known)."""
+    later = lambda ts, n, unit: ts + F.expr(f"INTERVAL '{n}' {unit}")
+    at = (
+        F.when(code == "followup_cooldown", later(last_first, FOLLOW_UP_DAYS, "DAY"))
+        .when(code.isin("quiet_hours", "friday_blackout"), next_allowed(now))
+        .when(code == "daily_cap", next_allowed(later(now, 6, "HOUR")))
+        .when(code == "hourly_cap", later(now, 45, "MINUTE"))
+        .when(code == "spacing", later(last_sent, SPACING_MINUTES, "MINUTE"))
+    )
+    return ~code.isin("ok", *HARD_STOPS), at
+
+
+def warmup_progress(days: Column) -> Column:
+    """How far the ramp of a sender's cap is, as the logistic that the ramp follows."""
+    return 1 / (1 + F.exp((days.cast("double") / WARMUP_DAYS - 0.5) * -10))
+
+
+def warmup_curve(spark, cap: int) -> DataFrame:
+    """``(day, cap)`` of a sender's first days."""
+    return spark.range(WARMUP_DAYS + 1).select(F.col("id").cast("int").alias("day"), daily_cap(F.col("id"), cap).alias("cap"))
+
+
+def utilisation(sent: Column, cap: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), sent / cap))
+
+
+def throttled_until(stage: Column, at: Column) -> Column:
+    """As an aggregate: until when blocked or reported messages halve a sender's cap."""
+    return F.max(F.when(stage.isin("blocked", "reported"), at + F.make_dt_interval(F.lit(THROTTLE_DAYS))))
+
+
+def sender_snapshot(sends: DataFrame, outcomes: DataFrame, now: str, started: str, cap: int, hour_cap: int, by: list[str]) -> DataFrame:
+    """Each sender's state at ``now``: sent today and this hour, last send, cap, utilisation, throttling and warm-up.
+
+    ``sends (*by, occurred_at)``, ``outcomes (*by, stage, occurred_at)``; both are only aggregated.
+    """
+    at, sent = F.lit(now).cast("timestamp_ntz"), F.col("occurred_at")
+    past = sends.filter(sent <= at)
+    counts = past.groupBy(*by).agg(
+        F.count_if(day_key(sent) == day_key(at)).alias("sent_today"),
+        F.count_if(hour_key(sent) == hour_key(at)).alias("sent_hour"),
+        F.max("occurred_at").alias("last_sent_at"),
+    )
+    held = outcomes.filter(sent <= at).groupBy(*by).agg(throttled_until(F.col("stage"), sent).alias("throttle_until"))
+    days = F.greatest(F.lit(0.0), F.expr(f"timestampdiff(SECOND, timestamp_ntz'{started}', timestamp_ntz'{now}')") / 86400.0)
+    rows = counts.join(held, by, "left").withColumn("throttled", F.coalesce(F.col("throttle_until") > at, F.lit(False)))
+    rows = rows.withColumns({"cap": daily_cap(days, cap, F.col("throttled")), "hour_cap": F.lit(hour_cap), "warmup": utilisation(days, F.lit(float(WARMUP_DAYS)))})
+    return rows.withColumn("utilisation", utilisation(F.col("sent_today"), F.col("cap")))
+
+
 def next_allowed(now: Column) -> Column:
     """The first half-hour step within four days that is neither quiet nor blacked out."""
     steps = F.sequence(now, now + F.expr("INTERVAL '4' DAY"), F.expr("INTERVAL '30' MINUTE"))
     return F.array_min(F.filter(steps, lambda t: ~(quiet_hours(t) | friday_blackout(t))))
 
 
+#: How far each state is.
+STAGE_RANK = {
+    "new": 0, "enriched": 1, "qualified": 2, "disqualified": 2, "queued": 3, "drafted": 4, "sent": 5, "replied": 6,
+    "interested": 7, "signed_up": 8, "activated": 9, "paid": 10, "lost": 3, "do_not_contact": 99,
+}
+
+
+def transition_reasons(state: Column, to: Column, c: dict[str, Column]) -> Column:
+    """Why a lead may not pass from ``state`` to ``to``; an empty array where it may. A state may always stay.
+
+    Columns by name: observed, contactable, qualified, suppressed, drafted, policy_ok. Guards are
+    only asked about steps that the table allows.
+    """
+    allowed = F.create_map(*(F.lit(x) for a, bs in TRANSITIONS.items() for b in bs for x in (f"{a}>{b}", True)))
+    known = F.coalesce(allowed[F.concat_ws(">", state, to)], F.lit(False))
+    joins, no = to.isin("qualified", "queued"), lambda x: ~F.coalesce(x, F.lit(False))
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    guards = [
+        ((to == "enriched") & no(c["observed"]), "nothing observed"),
+        (joins & no(c["qualified"]), "gates not passed"),
+        (joins & yes(c["qualified"]) & yes(c["suppressed"]), "suppressed"),
+        (joins & yes(c["qualified"]) & no(c["suppressed"]) & no(c["contactable"]), "no contactable channel"),
+        ((to == "drafted") & no(c["drafted"]), "no draft"),
+        ((to == "sent") & no(c["policy_ok"]), "contact policy"),
+        ((to == "sent") & yes(c["policy_ok"]) & yes(c["suppressed"]), "suppressed"),
+        (state == "do_not_contact", "terminal state"),
+    ]
+    found = F.filter(F.array(*(F.when(holds, F.lit(why)) for holds, why in guards)), lambda r: r.isNotNull())
+    none = F.array().cast("array<string>")
+    return F.when(state == to, none).when(~known, F.array(F.lit("not in the table"))).otherwise(found)
+
+
+def with_state(leads: DataFrame, changes: DataFrame, key: str, now: str) -> DataFrame:
+    """Leads with new states from ``(key, state, reason)``: a reason is kept for ``disqualified`` only, and
+    ``qualified_at`` is set on ``qualified`` only. Leads without a change stay."""
+    e, n = leads.alias("e"), changes.withColumn("_hit", F.lit(True)).alias("n")
+    hit, to = F.col("n._hit"), F.col("n.state")
+    new = {
+        "state": F.coalesce(to, F.col("e.state")),
+        "state_reason": F.when(hit.isNull(), F.col("e.state_reason")).when(to == "disqualified", F.col("n.reason")),
+        "qualified_at": F.when(to == "qualified", F.lit(now).cast("timestamp_ntz")).otherwise(F.col("e.qualified_at")),
+    }
+    cols = [new[c].alias(c) if c in new else F.col(f"e.{c}") for c in leads.columns]
+    return e.join(n, F.col(f"e.{key}") == F.col(f"n.{key}"), "left").select(*cols)
+
+
 def fold_states(outcomes: DataFrame, lead: str, stage: str, order: list[str], start: str = "sent") -> DataFrame:
     """Each lead's state after its outcomes in order; steps that the table doesn't allow change nothing."""
     wanted = F.create_map(*(F.lit(x) for kv in OUTCOME_STATE.items() for x in kv))
@@ -161,16 +277,102 @@ def after_failure(attempt: Column, most: Column) -> Column:
     return F.when(attempt + 1 >= most, "dead").otherwise("pending")
 
 
+#: What becomes of a job, and the schedules that a worker keeps.
+JOB_STATES = ["pending", "running", "done", "failed", "dead"]
+SCHEDULES = ["15m", "1h", "1h", "1d@03:30", "1d@04:30"]
+
+
+def claim(jobs: DataFrame, now: str, k: int, worker: str, lease_seconds: int = 300) -> DataFrame:
+    """All jobs, the next ``k`` of them running for ``worker`` with a fresh lease and one attempt more."""
+    at = F.lit(now).cast("timestamp_ntz")
+    mine = claimable(jobs, at, k).select("id", F.lit(True).alias("_mine"))  # k rows
+    rows, got = jobs.join(F.broadcast(mine), "id", "left"), F.col("_mine")
+    lease = at + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_seconds))
+    new = {
+        "status": F.when(got, "running").otherwise(F.col("status")), "lease_expires_at": F.when(got, lease).otherwise(F.col("lease_expires_at")),
+        "worker": F.when(got, worker).otherwise(F.col("worker")), "attempts": F.col("attempts") + F.when(got, 1).otherwise(0),
+    }
+    return rows.withColumns(new).select(*jobs.columns)
+
+
+def after_events(jobs: DataFrame, events: DataFrame, most: int = 8, lease_seconds: int = 300) -> DataFrame:
+    """Jobs after ``events (id, kind, worker, at, jitter, error)`` of their workers, the latest of a job alone.
+
+    A heartbeat of the lease's holder renews it, ``complete`` ends a job, and ``fail`` puts it
+    off with full jitter, by a quarter second at least, or ends it once ``most`` attempts are made.
+    """
+    last = events.groupBy("id").agg(F.max_by(F.struct("kind", F.col("worker").alias("by"), "at", "jitter", "error"), "at").alias("_e"))
+    rows = jobs.join(last, "id", "left")
+    e, kind = F.col("_e"), F.coalesce(F.col("_e.kind"), F.lit(""))
+    seconds = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n)
+    wait = F.greatest(F.lit(0.25), backoff_seconds(F.col("attempts"), e["jitter"])).cast("decimal(18,6)")
+    spent = F.col("attempts") >= most
+    new = {
+        "status": F.when(kind == "complete", "done").when(kind == "fail", F.when(spent, "dead").otherwise("pending")).otherwise(F.col("status")),
+        "run_at": F.when((kind == "fail") & ~spent, e["at"] + seconds(wait)).otherwise(F.col("run_at")),
+        "worker": F.when(~kind.isin("complete", "fail"), F.col("worker")),
+        "lease_expires_at": F.when((kind == "heartbeat") & (F.col("worker") == e["by"]), e["at"] + seconds(F.lit(lease_seconds))).when(~kind.isin("complete", "fail"), F.col("lease_expires_at")),
+        "last_error": F.when(kind == "fail", F.substring(e["error"], 1, 2000)).otherwise(F.col("last_error")),
+    }
+    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns))
+
+
+def reap(jobs: DataFrame, now: str) -> DataFrame:
+    """Running jobs without a lease, or whose lease ran out, wait again."""
+    at = F.lit(now).cast("timestamp_ntz")
+    lost = (F.col("status") == "running") & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") <= at))
+    return jobs.withColumns({"status": F.when(lost, "pending").otherwise(F.col("status")), "worker": F.when(~lost, F.col("worker")), "lease_expires_at": F.when(~lost, F.col("lease_expires_at"))})
+
+
+def job_stats(jobs: DataFrame, now: str) -> DataFrame:
+    """One row: jobs by state, those due, and the age of the oldest that waits, in seconds."""
+    at, waits = F.lit(now).cast("timestamp_ntz"), F.col("status") == "pending"
+    age = F.expr(f"max(CASE WHEN status = 'pending' AND run_at <= timestamp_ntz'{now}' THEN timestampdiff(SECOND, run_at, timestamp_ntz'{now}') END)")
+    return jobs.agg(*(F.count_if(F.col("status") == s).alias(s) for s in JOB_STATES), F.count_if(waits & (F.col("run_at") <= at)).alias("due"), F.coalesce(age, F.lit(0)).alias("oldest_seconds"))
+
+
+def due_runs(schedules: DataFrame, jobs: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """New jobs ``(key, kind, run_at)`` of the schedules ``(id, kind, schedule, next_run_at, enabled)`` that are due, known by
+    their key, without those that ``jobs`` has already; and the schedules, moved on."""
+    at = F.lit(now).cast("timestamp_ntz")
+    due = F.coalesce(F.col("enabled") & (F.col("next_run_at") <= at), F.lit(False))
+    key = F.concat_ws(":", F.lit("recurring"), "id", F.date_format("next_run_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    made = schedules.filter(due).select(key.alias("key"), "kind", at.alias("run_at")).dropDuplicates(["key"])
+    moved = schedules.withColumn("next_run_at", F.when(due, next_run_at(F.col("schedule"), at)).otherwise(F.col("next_run_at")))
+    return made.join(jobs.select("key"), "key", "left_anti"), moved
+
+
 def next_run_at(schedule: Column, start: Column) -> Column:
     """``N[mhd]`` or ``N[mhd]@HH:MM`` (wall time at UTC+1); null for anything else."""
-    n = F.regexp_extract(schedule, r"^(\d+)[mhd](?:@\d{2}:\d{2})?$", 1)
+    n = F.regexp_extract(schedule, r"^(\d+)[mhd](?:@\d{1,2}:\d{2})?$", 1)
     unit = F.regexp_extract(schedule, r"^\d+([mhd])", 1)
     minutes = n.cast("int") * F.when(unit == "m", 1).when(unit == "h", 60).otherwise(1440)
     plain = start + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
-    at_h, at_m = (F.regexp_extract(schedule, r"@(\d{2}):(\d{2})$", k).cast("int") for k in (1, 2))
+    at_h, at_m = (F.regexp_extract(schedule, r"@(\d{1,2}):(\d{2})$", k).cast("int") for k in (1, 2))
     day = F.date_trunc("day", local(plain)).cast("timestamp_ntz")
     fixed = day + F.make_dt_interval(F.lit(0), at_h - 1, at_m)
-    return F.when(n == "", None).when(schedule.contains("@"), fixed).otherwise(plain)
+    later = F.when(fixed <= start, fixed + F.expr("INTERVAL '1' DAY")).otherwise(fixed)
+    return F.when(n == "", None).when(schedule.contains("@"), later).otherwise(plain)
+
+
+def unexpired(df: DataFrame, now: str, at: str = "expires_at") -> DataFrame:
+    """Rows that have no end or one that hasn't come."""
+    return df.filter(F.col(at).isNull() | (F.col(at) > F.lit(now).cast("timestamp_ntz")))
+
+
+def breaker(results: list[tuple[float, bool]], failures: int = 5, cooldown: float = 600.0) -> list[bool]:
+    """For one domain's requests ``(time, succeeds)`` in order: whether each is let through.
+
+    That many failures in a row open the breaker for the cool-down; counting then begins anew.
+    """
+    row, until, out = 0, -math.inf, []
+    for at, good in results:
+        out.append(until <= at)
+        if out[-1]:
+            row = 0 if good else row + 1
+            if row >= failures:
+                row, until = 0, at + cooldown
+    return out
 
 
 def token_bucket(requests: list[float], rate: float = 0.5, burst: float = 2.0) -> list[float]:

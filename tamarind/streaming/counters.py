@@ -39,18 +39,17 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.date_format(F.col("start") + F.expr("INTERVAL '1' HOUR"), "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-def lifecycle_stream(outcomes: DataFrame, lead: str, stage: str) -> DataFrame:
-    """``(lead, state)`` updates: each lead's state, folded over its outcomes as they arrive."""
+def lifecycle_stream(outcomes: DataFrame, lead: str, stage: str, order: list[str]) -> DataFrame:
+    """``(lead, state)`` updates: each lead's state, folded over its outcomes as they arrive, in ``order`` within a batch."""
     import pandas as pd
 
     from tamarind.operators.temporal import OUTCOME_STATE, TRANSITIONS
 
     def fold(key, batches, state):
         now = state.get[0] if state.exists else "sent"
-        for rows in batches:
-            for want in rows[stage]:
-                target = OUTCOME_STATE.get(want)
-                now = target if target in TRANSITIONS[now] else now
+        for want in pd.concat(list(batches)).sort_values(order)[stage]:
+            target = OUTCOME_STATE.get(want)
+            now = target if target in TRANSITIONS[now] else now
         state.update((now,))
         yield pd.DataFrame({lead: [key[0]], "state": [now]})
 
