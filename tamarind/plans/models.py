@@ -6,10 +6,13 @@ import math
 
 from pyspark.sql import functions as F
 
+from tamarind.functions import fingerprints as P
 from tamarind.functions import numeric as N
 from tamarind.functions import text as X
+from tamarind.functions.lexicons import category_phrases, wilaya_names
 from tamarind.operators import bandit, calibration, evidence, logistic, ranking
 from tamarind.plans import tables as T
+from tamarind.plans.tables import KEY_SQL
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,9 +69,12 @@ CHANNEL = "CASE id % 3 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'instagram' ELSE 'emai
 
 
 def _profile(spark, d):
+    """Leads with their number of attempts, made-up facts, and the feature array ``x`` of these: one pass over the orders."""
     n = T.attempts(spark, d).groupBy(F.col("lead_id").alias("id")).agg(F.count("*").alias("products"))
-    base = T.leads(spark, d).join(n, "id", "left")
-    return base.select("id", F.expr(PLATFORM).alias("platform"), F.expr(CATEGORY).alias("category"), F.expr(CHANNEL).alias("channel"), "products", F.col("priority").alias("balance"))
+    base = T.leads(spark, d).join(n, "id", "left").withColumnsRenamed({"platform": "lead_platform", "category": "lead_category"})
+    as_was = lambda sql: F.expr(sql.replace("CASE platform", "CASE lead_platform").replace("CASE category", "CASE lead_category"))
+    rows = base.withColumns({"platform": as_was(PLATFORM), "category": as_was(CATEGORY), "channel": F.expr(CHANNEL), "balance": F.col("priority")})
+    return rows.withColumn("m", _maturity()).withColumn("x", _feature_array())
 
 
 PROFILE = f"SELECT id, {PLATFORM} AS platform, {CATEGORY} AS category, {CHANNEL} AS channel, products, priority AS balance FROM ({T.LEADS_SQL}) LEFT JOIN (SELECT o_custkey AS k, count(*) AS products FROM orders GROUP BY 1) ON k = id"
@@ -84,7 +90,7 @@ def _maturity():
 
 @query(f"SELECT id, round({MATURITY}, 1) AS maturity FROM ({PROFILE})")
 def maturity_index(spark, d):
-    return _profile(spark, d).select("id", F.round(_maturity(), 1).alias("maturity"))
+    return _profile(spark, d).select("id", F.round("m", 1).alias("maturity"))
 
 
 FEATURES_SQL = f"""SELECT id, unnest([1.0, CASE WHEN id % 4 = 0 THEN coalesce(pow(2, -(CASE WHEN id % 8 = 0 THEN id % 90 END) / 21.0), 0.7) ELSE 0 END, ln(1 + id % 9), (id % 2)::DOUBLE, (channel = 'whatsapp')::INT, (channel = 'instagram')::INT,
@@ -96,14 +102,19 @@ _NAMES = "[" + ", ".join(f"'{n}'" for n, _, _ in evidence.FEATURES) + "]"
 _MEANS = "[" + ", ".join(repr(m) for _, m, _ in evidence.FEATURES) + "]"
 
 
-def _features(spark, d):
+def _feature_array():
     i = F.col("id")
-    c = {
-        "advertiser": i % 4 == 0, "days_since_seen": F.when(i % 8 == 0, i % 90), "ad_count": i % 9, "sells_cod": i % 2 == 1, "whatsapp": F.col("channel") == "whatsapp",
-        "channel": F.col("channel"), "platform": F.col("platform"), "category": F.col("category"), "maturity": F.col("m"), "products": F.col("products"), "pixel_meta": i % 3 == 0,
-        "pixel_tiktok": i % 5 == 0, "language": F.lit("fr"), "hour": i % 24, "warmup": (i % 10) / 10.0,
-    }
-    return _profile(spark, d).withColumn("m", _maturity()).select("id", evidence.feature_array(c).alias("x"))
+    return evidence.feature_array(
+        {
+            "advertiser": i % 4 == 0, "days_since_seen": F.when(i % 8 == 0, i % 90), "ad_count": i % 9, "sells_cod": i % 2 == 1, "whatsapp": F.col("channel") == "whatsapp",
+            "channel": F.col("channel"), "platform": F.col("platform"), "category": F.col("category"), "maturity": F.col("m"), "products": F.col("products"), "pixel_meta": i % 3 == 0,
+            "pixel_tiktok": i % 5 == 0, "language": F.lit("fr"), "hour": i % 24, "warmup": (i % 10) / 10.0,
+        }
+    )
+
+
+def _features(spark, d):
+    return _profile(spark, d).select("id", "x")
 
 
 @query(f"SELECT id, {_NAMES}[i + 1] AS feature, round(value, 6) AS value FROM ({FEATURES_SQL})")
@@ -170,25 +181,82 @@ def evidence_fusion(spark, d):
     return found.withColumn("probability", F.round("probability", 6))
 
 
-PHRASES = {"fashion": ["the", "and", "with"], "beauty": ["les", "des", "dans"], "kids": ["und", "der", "mit"], "auto": ["que", "por", "con"]}
-_CAT = ", ".join(
-    f"({i}, '{c}', {math.log(p)!r}::DOUBLE, [{', '.join(f"'{w}'" for w in PHRASES.get(c, [])) or 'NULL'}]::VARCHAR[])" for i, (c, p) in enumerate(evidence.CATEGORY_PRIORS.items())
-)
+_LEXICON = category_phrases()
+_CAT = ", ".join(f"({i}, '{c}', {math.log(p)!r}::DOUBLE, [{', '.join(f"'{w}'" for w in _LEXICON[c])}]::VARCHAR[])" for i, (c, p) in enumerate(evidence.CATEGORY_PRIORS.items()))
 
 
-@query(f"""WITH k AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) || ' ' AS t FROM documents), c(i, cat, l, ph) AS (VALUES {_CAT}),
-h AS (SELECT doc_id, i, cat, l, coalesce(list_sum([CASE WHEN contains(t, ' ' || w) OR contains(t, w || ' ') THEN 1 ELSE 0 END FOR w IN ph IF w IS NOT NULL]), 0) AS n FROM k CROSS JOIN c),
+@query(f"""WITH k AS (SELECT doc_id, ' ' || {KEY_SQL.format('text')} || ' ' AS t FROM documents), c(i, cat, l, ph) AS (VALUES {_CAT}),
+h AS (SELECT doc_id, i, cat, l, len(list_filter(ph, lambda w: contains(t, ' ' || w) OR contains(t, w || ' '))) AS n FROM k CROSS JOIN c),
 p AS (SELECT *, exp(l + least(n, 3) * 4.763681) / sum(exp(l + least(n, 3) * 4.763681)) OVER (PARTITION BY doc_id) AS q, sum(n) OVER (PARTITION BY doc_id) AS every FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY q DESC, i) AS k, lead(q) OVER (PARTITION BY doc_id ORDER BY q DESC, i) AS second FROM p)
 SELECT doc_id, cat AS category, round(q, 6) AS probability, (every = 0 OR q < 0.35 OR q - second < 0.06) AS abstained FROM r WHERE k = 1""")
 def category_nb(spark, d):
-    key = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z]+", " "))
-    rows = T.read(spark, d, "documents").select("doc_id", key.alias("key"))
-    found = evidence.categories(rows, {c: evidence.phrase_hits(F.col("key"), PHRASES.get(c, [])) for c in evidence.CATEGORY_PRIORS})
+    rows = T.read(spark, d, "documents").select("doc_id", X.match_key_of("text").alias("key"))
+    found = evidence.categories(rows, evidence.lexicon_hits(F.col("key")))
     return found.select("doc_id", "category", F.round("probability", 6).alias("probability"), "abstained")
 
 
-ORACLES["category_nb"] = ORACLES["category_nb"].replace("lower(text)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+_MARK = {k: "[" + ", ".join(f"'{w}'" for w in words) + "]" for k, words in X.MARKERS.items()}
+
+
+def language_sql(table: str, key: str, text: str) -> str:
+    """The language of every row of a table, by SQL: ``(key, arabic, latin, dz, msa, fr, en, language)``."""
+    own = KEY_SQL.format(text)
+    return f"""(WITH t AS (SELECT {key}, greatest(1, length(regexp_replace({text}, '[ \\t\\n\\x0B\\f\\r]', '', 'g'))) AS n, len(regexp_extract_all({text}, '[A-Za-zÀ-ɏ]')) AS l, len(regexp_extract_all({text}, '[؀-ۿ]')) AS a,
+list_distinct(list_filter(string_split({own}, ' '), lambda t: length(t) > 1 OR regexp_matches(t, '[0-9]'))) AS w FROM {table}),
+m AS (SELECT *, a / n AS arabic, l / n AS latin, len(list_intersect(w, {_MARK['ar_dz']})) AS dz, len(list_intersect(w, {_MARK['ar_msa']})) AS msa, len(list_intersect(w, {_MARK['fr']})) AS fr, len(list_intersect(w, {_MARK['en']})) AS en FROM t),
+s AS (SELECT *, [ln(0.05 + arabic) + 0.9 * msa + CASE WHEN dz = 0 THEN 0.4 ELSE 0 END, ln(0.05 + arabic) + 1.25 * dz, ln(0.05 + latin) + 0.55 * fr + CASE WHEN fr > 0 THEN 0.3 ELSE 0 END, ln(0.05 + latin) + 0.5 * en,
+0.25 + CASE WHEN arabic > 0.15 AND latin > 0.15 THEN 2.4 ELSE 0 END + CASE WHEN dz > 1 AND fr > 1 THEN 1.2 ELSE 0 END]::DOUBLE[] AS z FROM m),
+b AS (SELECT *, ['ar_msa', 'ar_dz', 'fr', 'en', 'mixed'][list_position(z, list_max(z))] AS best, exp(list_max(z)) / list_sum(list_transform(z, lambda x: exp(x))) AS p FROM s)
+SELECT *, CASE WHEN best = 'mixed' AND arabic > 0.35 AND dz > msa THEN 'ar_dz' ELSE best END AS language FROM b)"""
+
+
+@query(f"SELECT doc_id, language, round(p, 6) AS probability FROM {language_sql('documents', 'doc_id', 'text')}")
+def language_of_documents(spark, d):
+    """The dominant language of every document, and its share."""
+    rows = T.read(spark, d, "documents").select("doc_id", "text", X.match_key_of("text").alias("key"))
+    return X.with_language(rows, "text", "key").select("doc_id", "language", F.round(F.array_max("language_shares"), 6).alias("probability"))
+
+
+_CODS = " + ".join(f"CASE WHEN contains(k, '{p}') THEN {w} ELSE 0 END" for _, p, w in P.COD_PHRASES)
+_NAMES_SQL = "[" + ", ".join(f"{{'n': '{n}', 'c': {c}}}" for n, c in wilaya_names().items()) + "]"
+
+
+@query(f"SELECT doc_id, ({_CODS})::DOUBLE AS cod_weight FROM (SELECT doc_id, {KEY_SQL.format('text')} || CASE doc_id % 5 WHEN 0 THEN ' cash on delivery' WHEN 1 THEN ' paiement a la livraison retour gratuit' WHEN 2 THEN ' الدفع عند الاستلام' ELSE '' END AS k FROM documents)")
+def cod_weight(spark, d):
+    """Weight of cash-on-delivery phrases in documents that end with some."""
+    i = F.col("doc_id") % 5
+    said = F.when(i == 0, " Cash on delivery!").when(i == 1, " Paiement à la livraison, retour gratuit").when(i == 2, " الدَفع عند الإستلام").otherwise("")
+    rows = T.read(spark, d, "documents").select("doc_id", X.match_key_of(F.concat("text", said)).alias("key"))
+    return rows.select("doc_id", P.cod_weight(F.col("key")).alias("cod_weight"))
+
+
+_PLACE = "CASE doc_id % 4 WHEN 0 THEN 'Oran, Alger et Sétif' WHEN 1 THEN 'Béjaïa Batna M''Sila Blida Médéa Wahran' WHEN 2 THEN 'وهران قسنطينة' ELSE '' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, n_chars, text || ' ' || {_PLACE} || CASE WHEN doc_id % 3 = 0 THEN ' 2500 DA' ELSE '' END AS text FROM documents),
+l AS (SELECT * FROM {language_sql('t', 'doc_id, n_chars, text', 'text')}),
+m AS (SELECT *, replace({KEY_SQL.format('text')}, 'قسنطينة', 'قسنطينه') AS k, len(list_distinct(list_transform(list_filter({_NAMES_SQL}, lambda x: contains(' ' || replace({KEY_SQL.format('text')}, 'قسنطينة', 'قسنطينه') || ' ', ' ' || x.n || ' ')), lambda x: x.c))) AS places,
+regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(dzd|da)([^A-Za-z0-9_]|$)|dinars?|دج|دينار') AS dzd FROM l),
+c AS (SELECT *, ({_CODS}) AS cod FROM m),
+z AS (SELECT *, ln(0.12 / 0.88) + CASE WHEN doc_id % 2 = 0 THEN 1.7 ELSE 0 END + least(cod, 4) + CASE WHEN dzd THEN 2.1 ELSE 0 END + CASE WHEN places >= 5 THEN least(2.6, 1.1 + 0.09 * places) WHEN places >= 2 THEN 0.9 ELSE 0 END
++ CASE language WHEN 'ar_dz' THEN 1.2 WHEN 'fr' THEN 0.4 WHEN 'ar_msa' THEN 0.6 ELSE 0 END AS here,
+ln(0.25) + CASE WHEN n_chars % 300 > 0 THEN least(3.4, 0.9 + ln(1 + n_chars % 300) / 2.2) ELSE 0 END + CASE WHEN cod > 0 THEN 1.2 ELSE 0 END + CASE WHEN dzd THEN 0.8 ELSE 0 END AS sells FROM c)
+SELECT doc_id, places AS wilayas, dzd, round(1 / (1 + exp(-greatest(-8, least(8, here)))), 6) AS p_market, round(1 / (1 + exp(-greatest(-8, least(8, sells)))), 6) AS p_sells FROM z""")
+def market_of_texts(spark, d):
+    """The market model on whole texts: provinces, currency and language come from the text."""
+    i = F.col("doc_id")
+    place = F.when(i % 4 == 0, "Oran, Alger et Sétif").when(i % 4 == 1, "Béjaïa Batna M'Sila Blida Médéa Wahran").when(i % 4 == 2, "وهران قسنطينة").otherwise("")
+    text = F.concat("text", F.lit(" "), place, F.when(i % 3 == 0, " 2500 DA").otherwise(""))
+    rows = T.read(spark, d, "documents").select("doc_id", "n_chars", text.alias("text"), X.match_key_of(text).alias("key"))
+    rows = X.with_language(rows, "text", "key").withColumns({"wilayas": F.size(evidence.wilayas_in(F.col("key"))), "dzd": F.coalesce(P.currency_of(F.col("text")) == "DZD", F.lit(False)), "cod": P.cod_weight(F.col("key"))})
+    no = F.lit(False)
+    here, sells = evidence.market(
+        {"dz_host": i % 2 == 0, "cod_weight": F.col("cod"), "dzd": F.col("dzd"), "wilayas": F.col("wilayas"), "phones": F.lit(0), "language": F.col("language"), "products": F.col("n_chars") % 300, "cart": no, "checkout": no, "prices": no}
+    )
+    return rows.select("doc_id", "wilayas", "dzd", F.round(here, 6).alias("p_market"), F.round(sells, 6).alias("p_sells"))
+
+
 _REASONS = [
     ("channel IN ('whatsapp', 'instagram', 'email') AND id % 11 > 0", "no contactable channel"), ("(id % 100) / 100.0 >= 0.7", "outside the market"),
     ("(id % 10) / 10.0 >= 0.6", "does not sell goods"), ("id % 13 > 0", "suppressed"), ("id % 17 > 0", "already a customer"), ("id % 5 > 0", "contact policy"), ("m >= 40", "below the maturity floor"),
@@ -233,7 +301,7 @@ def _candidates(spark, d):
 
 @query()
 def mmr_batch(spark, d):
-    return ranking.mmr(_candidates(spark, d), 20, 0.7)
+    return ranking.mmr(_candidates(spark, d), 20)
 
 
 @query()
@@ -272,10 +340,3 @@ def query_budget(spark, d):
     rows = T.read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("query")).agg(F.count("*").alias("calls"), F.count_if(F.col("o_orderstatus") == "P").alias("wins"))
     arms = rows.select("query", F.when(F.col("query") < "3", "brave").otherwise("google_cse").alias("provider"), (F.col("wins") + 1).alias("alpha"), (F.col("calls") - F.col("wins") + 1).alias("beta"), F.lit(False).alias("retired"), F.lit(False).alias("pinned_off"))
     return bandit.allocate(arms, 10, {"brave": 4, "google_cse": 3})
-
-
-@query()
-def language_of_documents(spark, d):
-    """Language shares of script, and the dominant label."""
-    rows = T.read(spark, d, "documents").select("doc_id", "text", X.match_key_udf("text").alias("key"))
-    return X.with_language(rows, "text", "key").select("doc_id", "language")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarind.functions import numeric as N
-from tamarind.operators import funnel, relational as R
+from tamarind.operators import funnel, ranks, relational as R
 from tamarind.plans import tables as T
+from tamarind.session import stage
 
 QUERIES, ORACLES = {}, {}
 
@@ -166,7 +167,7 @@ _EACH = " UNION ALL ".join(f"SELECT segment, '{n}' AS stage, reached_{a}::DOUBLE
 
 
 @query(f"""WITH seg AS ({SEGMENTS_SQL}), e AS ({_EACH}),
-r AS (SELECT stage, CASE WHEN sum(n) > 0 THEN sum(s) / sum(n) ELSE 0.1 END AS raw FROM e GROUP BY stage),
+r AS (SELECT stage, CASE WHEN sum(s) > 0 THEN sum(s) / sum(n) ELSE 0.1 END AS raw FROM e GROUP BY stage),
 q AS (SELECT e.*, least(0.9999, greatest(0.0001, raw)) AS rate, kappa FROM e JOIN r USING (stage) JOIN ({KAPPA_SQL}) USING (stage))
 SELECT segment, stage, round((kappa * rate + s + 0.5) / (kappa + n + 1), 6) AS mean FROM q""")
 def segment_posterior_mean(spark, d):
@@ -180,9 +181,19 @@ def beta_lower_bound(spark, d):
 
 @query("SELECT l_returnflag AS segment, median(l_extendedprice) AS median_price, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(coalesce(avg(l_discount), 0), 9) AS mean_discount FROM lineitem GROUP BY 1")
 def median_price(spark, d):
-    return T.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("segment")).agg(
-        F.median("l_extendedprice").alias("median_price"), F.round(F.percentile("l_extendedprice", 0.9), 6).alias("p90"), F.round(F.coalesce(F.avg("l_discount"), F.lit(0.0)), 9).alias("mean_discount")
-    )
+    """Exact quantiles from counts of values; the mean from the same counts."""
+    rows = T.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("segment"), F.col("l_extendedprice").alias("price"), "l_discount")
+    counts = stage(rows.groupBy("segment", "price").agg(F.count("*").alias("n"), F.sum("l_discount").alias("discount")), "price-counts")
+    found = ranks.quantiles(counts, ["segment"], "price", "n", {"median_price": 0.5, "p90": 0.9})
+    means = counts.groupBy("segment").agg(F.round(F.coalesce(F.sum("discount") / F.sum("n"), F.lit(0.0)), 9).alias("mean_discount"))
+    return found.join(means, "segment").withColumn("p90", F.round("p90", 6))
+
+
+@query()
+def stage_posteriors(spark, d):
+    """Every segment's pooled rates with the 5 % and 95 % points of their distributions."""
+    made = funnel.segment_posteriors(_segments(spark, d), bounds=True)
+    return made.select("segment", "stage", "n", "successes", *(F.round(c, 9).alias(c) for c in ("mean", "lower", "upper")))
 
 
 _CHAIN = "least(1, greatest(0, (priority + 1000) / 11000))"
@@ -250,7 +261,7 @@ def export_bundle(spark, d):
 @query(f"SELECT id, kind, created, active FROM (SELECT id, template_id AS kind, strftime(created_at, '%Y-%m-%d') AS created, row_number() OVER (PARTITION BY template_id ORDER BY created_at DESC, id DESC) = 1 AS active FROM ({T.ATTEMPTS_SQL}))")
 def active_model_version(spark, d):
     rows = T.attempts(spark, d).select("id", F.col("template_id").alias("kind"), "created_at")
-    return R.single_active(rows, "kind", [F.desc("created_at"), F.desc("id")]).select("id", "kind", F.date_format("created_at", "yyyy-MM-dd").alias("created"), "active")
+    return R.single_active(rows, "kind", ["created_at", "id"]).select("id", "kind", F.date_format("created_at", "yyyy-MM-dd").alias("created"), "active")
 
 
 @query(f"""SELECT id, coalesce(np, platform) AS platform, CASE WHEN hit THEN nw ELSE wilaya END AS wilaya FROM ({T.LEADS_SQL}) LEFT JOIN

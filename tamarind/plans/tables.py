@@ -49,3 +49,6 @@ def attempts(spark, sf_dir) -> DataFrame:
 
 
 ATTEMPTS_SQL = f"SELECT o_orderkey AS id, o_custkey AS lead_id, {STATUS_SQL} AS status, o_orderpriority AS template_id, o_orderdate AS created_at, o_totalprice AS cost FROM orders"
+
+#: A text's match key, for Latin texts.
+KEY_SQL = r"""trim(regexp_replace(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '[!"#$%&''()*+,./:;<=>?@\[\\\]^_`{{|}}~]', ' ', 'g'), '\s+', ' ', 'g'))"""

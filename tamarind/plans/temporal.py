@@ -63,11 +63,15 @@ def min_spacing_violations(spark, d):
 ROTATED = f"SELECT id, lead_id, occurred_at, CASE id % 4 WHEN 0 THEN 'email' ELSE channel END AS channel FROM ({SENT})"
 
 
-@query(f"""SELECT a.id, a.lead_id, a.channel, EXISTS (SELECT 1 FROM ({ROTATED}) b WHERE b.lead_id = a.lead_id AND b.channel <> a.channel
-AND epoch(b.occurred_at)::BIGINT <= epoch(a.occurred_at)::BIGINT AND epoch(b.occurred_at)::BIGINT > epoch(a.occurred_at)::BIGINT - 7 * 86400) AS blocked FROM ({ROTATED}) a""")
+_EARLIER = f"SELECT 1 FROM ({ROTATED}) b WHERE b.lead_id = a.lead_id AND epoch(b.occurred_at)::BIGINT < epoch(a.occurred_at)::BIGINT AND epoch(b.occurred_at)::BIGINT > epoch(a.occurred_at)::BIGINT - 7 * 86400"
+
+
+@query(f"SELECT a.id, a.lead_id, a.channel, EXISTS ({_EARLIER}) AND NOT EXISTS ({_EARLIER} AND b.channel = a.channel) AS blocked FROM ({ROTATED}) a")
 def channel_cooldown(spark, d):
+    """Sends to leads that of late were contacted on other channels only."""
     rows = _sent(spark, d).select("id", "lead_id", F.date_trunc("second", "occurred_at").cast("timestamp_ntz").alias("at"), F.when(F.col("id") % 4 == 0, "email").otherwise(F.col("channel")).alias("channel"))
-    return O.other_channel_recently(rows, "lead_id", "channel", "at").select("id", "lead_id", "channel", "blocked")
+    found = O.recent_channels(rows, "lead_id", "channel", "at")
+    return found.select("id", "lead_id", "channel", O.channel_cooldown(F.col("recent_channels"), F.col("channel")).alias("blocked"))
 
 
 QUIET = f"(hour({LOCAL}) >= 22 OR hour({LOCAL}) < 8)"
@@ -96,41 +100,79 @@ def daily_cap_ramp(spark, d):
     return spark.range(20).select(F.col("id").alias("days"), O.daily_cap(F.col("id"), 40).alias("cap"), O.daily_cap(F.col("id"), 40, F.lit(True)).alias("throttled"))
 
 
-@query(f"""WITH e AS ({T.OUTCOMES_SQL}), h AS (SELECT *,
-count(*) FILTER (WHERE stage = 'lost') OVER (PARTITION BY lead_id ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lost,
-count(*) FILTER (WHERE stage = 'sent') OVER (PARTITION BY lead_id ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS firsts,
-lag(epoch_us(occurred_at)) OVER (PARTITION BY lead_id ORDER BY occurred_at, id) AS before,
-row_number() OVER (PARTITION BY strftime({LOCAL}, '%Y-%m-%d') ORDER BY occurred_at, id) - 1 AS today,
-row_number() OVER (PARTITION BY strftime({LOCAL}, '%Y-%m-%dT%H') ORDER BY occurred_at, id) - 1 AS this_hour FROM e)
-SELECT id, CASE WHEN lead_id % 50 = 0 THEN 'suppressed' WHEN lead_id % 7 = 0 THEN 'customer' WHEN lost >= 25 THEN 'suppressed'
-WHEN firsts > 0 AND firsts >= 15 THEN 'first_contact_limit' WHEN firsts > 0 AND (epoch_us(occurred_at) - before) / 864e8 < 0.1 THEN 'followup_cooldown'
-WHEN {QUIET} OR {FRIDAY} THEN 'quiet_hours' WHEN today >= 300 THEN 'daily_cap' WHEN this_hour >= 12 THEN 'hourly_cap' ELSE 'ok' END AS code FROM h""")
+_LEAD = "PARTITION BY lead_id ORDER BY occurred_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_RECENT = "FROM e b WHERE b.lead_id = e.lead_id AND epoch(b.occurred_at)::BIGINT < epoch(e.occurred_at)::BIGINT AND epoch(b.occurred_at)::BIGINT > epoch(e.occurred_at)::BIGINT - 7 * 86400 AND b.stage = 'replied'"
+
+
+@query(f"""WITH e AS (SELECT id, lead_id, stage, occurred_at, CASE id % 4 WHEN 0 THEN 'email' ELSE channel END AS channel, lead_id // 25 AS sender FROM ({T.OUTCOMES_SQL})), h AS (SELECT *,
+count(*) FILTER (WHERE stage = 'lost') OVER ({_LEAD}) AS lost, count(*) FILTER (WHERE stage = 'sent') OVER ({_LEAD}) AS firsts,
+max(CASE WHEN stage = 'sent' THEN epoch_us(occurred_at) END) OVER ({_LEAD}) AS first_at,
+epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY sender ORDER BY occurred_at, id) AS gap,
+row_number() OVER (PARTITION BY sender, strftime({LOCAL}, '%Y-%m-%d') ORDER BY occurred_at, id) - 1 AS today,
+row_number() OVER (PARTITION BY sender, strftime({LOCAL}, '%Y-%m-%dT%H') ORDER BY occurred_at, id) - 1 AS this_hour,
+EXISTS (SELECT 1 {_RECENT}) AND NOT EXISTS (SELECT 1 {_RECENT} AND b.channel = e.channel) AS elsewhere FROM e)
+SELECT id, CASE WHEN lead_id % 50 = 3 THEN 'suppressed' WHEN lead_id % 41 = 4 THEN 'terminal_state' WHEN lead_id % 7 = 5 THEN 'customer' WHEN lost >= 25 THEN 'suppressed' WHEN elsewhere THEN 'channel_cooldown'
+WHEN firsts > 0 AND firsts >= 12 THEN 'first_contact_limit' WHEN firsts > 0 AND (epoch_us(occurred_at) - first_at) / 864e8 < 0.5 THEN 'followup_cooldown'
+WHEN {QUIET} THEN 'quiet_hours' WHEN {FRIDAY} THEN 'friday_blackout' WHEN today >= 40 THEN 'daily_cap' WHEN this_hour >= 3 THEN 'hourly_cap' WHEN gap / 6e7 < 4 THEN 'spacing' ELSE 'ok' END AS code FROM h""")
 def contact_policy_decision(spark, d):
-    e = T.outcomes(spark, d)
+    """A decision for every event, as if it asked to contact its lead: each 25 leads have a sender."""
+    e = T.outcomes(spark, d).select("id", "lead_id", "stage", "occurred_at", F.when(F.col("id") % 4 == 0, "email").otherwise(F.col("channel")).alias("channel"), F.floor(F.col("lead_id") / 25).alias("sender"))
     past = Window.partitionBy("lead_id").orderBy("occurred_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("occurred_at")
-    nth = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("occurred_at", "id")) - 1
-    rows = O.gaps(e, ["lead_id"], "occurred_at", "id").withColumns(
+    at, stage = F.col("occurred_at"), F.col("stage")
+    nth = lambda key: F.row_number().over(Window.partitionBy("sender", key).orderBy("occurred_at", "id")) - 1
+    second = F.date_trunc("second", at).cast("timestamp_ntz")
+    rows = O.recent_channels(e.withColumns({"_at": second, "_on": F.when(stage == "replied", F.col("channel"))}), "lead_id", "_on", "_at")
+    rows = O.gaps(rows, ["sender"], "occurred_at", "id").withColumns(
         {
-            "lost": F.coalesce(F.sum((F.col("stage") == "lost").cast("int")).over(past), F.lit(0)),
-            "firsts": F.coalesce(F.sum((F.col("stage") == "sent").cast("int")).over(past), F.lit(0)),
-            "today": nth(O.day_key(at)),
-            "this_hour": nth(O.hour_key(at)),
+            "lost": F.count_if(stage == "lost").over(past), "firsts": F.count_if(stage == "sent").over(past), "first_at": F.max(F.when(stage == "sent", at)).over(past),
+            "today": nth(O.day_key(at)), "this_hour": nth(O.hour_key(at)),
         }
     )
-    days = F.col("gap_minutes") / 1440
+    since = F.expr("timestampdiff(MICROSECOND, first_at, occurred_at)") / 864e8
     code = O.contact_policy(
         {
-            "suppressed": F.col("lead_id") % 50 == 0, "state": F.lit("sent"), "customer": F.col("lead_id") % 7 == 0, "hostile": F.col("lost") >= 25,
-            "other_channel": F.lit(False), "first_contacts": F.col("firsts"), "follow_ups": F.col("firsts"),
-            "days_since_first": F.when(days < 0.1, 0.0).otherwise(99.0), "now": at, "sent_today": F.col("today"), "cap": F.lit(300),
-            "sent_hour": F.col("this_hour"), "hour_cap": F.lit(12), "minutes_since_send": F.lit(99.0),
+            "suppressed": F.col("lead_id") % 50 == 3, "state": F.when(F.col("lead_id") % 41 == 4, "do_not_contact").otherwise("sent"), "customer": F.col("lead_id") % 7 == 5, "hostile": F.col("lost") >= 25,
+            "recent_channels": F.col("recent_channels"), "channel": F.col("channel"), "first_contacts": F.col("firsts"), "follow_ups": F.col("firsts"),
+            "days_since_first": F.when(since < 0.5, 0.0).otherwise(99.0), "now": at, "sent_today": F.col("today"), "cap": F.lit(40),
+            "sent_hour": F.col("this_hour"), "hour_cap": F.lit(3), "minutes_since_send": F.col("gap_minutes"), "sender_days": F.lit(99.0),
         },
-        max_follow_ups=15,
+        max_follow_ups=12,
     )
     return rows.select("id", code.alias("code"))
 
 
+_CASES = "CASE id % 14 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(O.TRANSITIONS)) + " END"
+_TO = "CASE id // 14 % 14 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(O.TRANSITIONS)) + " END"
+_ALLOWED = " OR ".join(f"s = '{a}' AND t IN ({', '.join(repr(b) for b in bs)})" for a, bs in O.TRANSITIONS.items() if bs)
+
+
+@query(f"""WITH x AS (SELECT id, {_CASES} AS s, {_TO} AS t, id % 2 = 0 AS observed, id % 3 > 0 AS contactable, id % 5 > 0 AS qualified, id % 11 = 0 AS suppressed, id % 4 > 0 AS drafted, id % 6 > 0 AS policy FROM ({T.OUTCOMES_SQL}))
+SELECT id, s AS state, t AS target, CASE WHEN s = t THEN '' WHEN NOT ({_ALLOWED}) THEN 'not in the table'
+WHEN t = 'enriched' AND NOT observed THEN 'nothing observed' WHEN t IN ('qualified', 'queued') AND NOT qualified THEN 'gates not passed'
+WHEN t IN ('qualified', 'queued') AND suppressed THEN 'suppressed' WHEN t IN ('qualified', 'queued') AND NOT contactable THEN 'no contactable channel'
+WHEN t = 'drafted' AND NOT drafted THEN 'no draft' WHEN t = 'sent' AND NOT policy THEN 'contact policy' WHEN t = 'sent' AND suppressed THEN 'suppressed' ELSE '' END AS reasons FROM x""")
+def lifecycle_guards(spark, d):
+    """Whether made-up leads may pass from state to state, with the reasons against it."""
+    i = F.col("id")
+    states = F.array(*map(F.lit, O.TRANSITIONS))
+    rows = T.outcomes(spark, d).select("id", F.element_at(states, (i % 14 + 1).cast("int")).alias("state"), F.element_at(states, (F.floor(i / 14) % 14 + 1).cast("int")).alias("target"))
+    c = {"observed": i % 2 == 0, "contactable": i % 3 > 0, "qualified": i % 5 > 0, "suppressed": i % 11 == 0, "drafted": i % 4 > 0, "policy_ok": i % 6 > 0}
+    return rows.withColumn("reasons", F.array_join(O.transition_reasons(F.col("state"), F.col("target"), c), "; "))
+
+
+@query(f"""WITH s AS (SELECT lead_id // 25 AS sender, occurred_at, stage FROM ({T.OUTCOMES_SQL})), n AS (SELECT TIMESTAMP '2024-01-20 15:00:00' AS t),
+c AS (SELECT sender, count(*) FILTER (WHERE stage = 'sent' AND strftime({LOCAL}, '%Y-%m-%d') = '2024-01-20') AS sent_today, count(*) FILTER (WHERE stage = 'sent' AND strftime({LOCAL}, '%Y-%m-%dT%H') = '2024-01-20T16') AS sent_hour,
+max(CASE WHEN stage = 'lost' THEN occurred_at END) + INTERVAL 7 DAY AS throttle_until FROM s, n WHERE occurred_at <= t GROUP BY sender HAVING count(*) FILTER (WHERE stage = 'sent') > 0),
+k AS (SELECT *, greatest(1, floor(40 * CASE WHEN throttle_until > t THEN 0.5 ELSE 1 END))::INT AS cap FROM c, n)
+SELECT sender, sent_today, sent_hour, coalesce(throttle_until > t, false) AS throttled, cap, round(least(1, sent_today / cap), 6) AS utilisation FROM k""")
+def sender_snapshot(spark, d):
+    """Every sender's counters, cap and utilisation at one moment; lost leads count as blocks."""
+    rows = T.outcomes(spark, d).withColumn("sender", F.floor(F.col("lead_id") / 25))
+    ends = rows.withColumn("stage", F.when(F.col("stage") == "lost", "blocked").otherwise(F.col("stage")))
+    found = O.sender_snapshot(rows.filter("stage = 'sent'"), ends, "2024-01-20 15:00:00", "2023-12-01 00:00:00", 40, 5, ["sender"])
+    return found.select("sender", "sent_today", "sent_hour", "throttled", "cap", F.round("utilisation", 6).alias("utilisation"))
+
+
 _NEXT = " ".join(f"WHEN s.state || '>' || w.want = '{a}>{b}' THEN '{b}'" for a, bs in O.TRANSITIONS.items() for b in bs)
 
 
@@ -160,6 +202,33 @@ def job_claim(spark, d):
     return O.claimable(_jobs(spark, d), F.lit("1996-01-01").cast("timestamp_ntz"), 25).select("id", "status", "priority")
 
 
+@query(f"""SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'done') AS done, 0 AS failed, 0 AS dead,
+count(*) FILTER (WHERE status = 'pending' AND run_at <= TIMESTAMP '1996-01-01') AS due, coalesce(max(CASE WHEN status = 'pending' AND run_at <= TIMESTAMP '1996-01-01' THEN date_diff('second', run_at, TIMESTAMP '1996-01-01') END), 0) AS oldest_seconds
+FROM (SELECT id, run_at, CASE WHEN status = 'running' AND lease_expires_at <= TIMESTAMP '1996-01-01' THEN 'pending' ELSE status END AS status FROM ({JOBS}))""")
+def job_stats(spark, d):
+    """The queue once jobs with a lease that ran out wait again."""
+    jobs = _jobs(spark, d).withColumn("worker", F.lit("w"))
+    return O.job_stats(O.reap(jobs, "1996-01-01 00:00:00"), "1996-01-01 00:00:00")
+
+
+@query(f"""WITH e AS (SELECT id, CASE id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'fail' ELSE 'heartbeat' END AS kind FROM ({JOBS}) WHERE status = 'running' AND id % 4 > 0)
+SELECT id, CASE kind WHEN 'complete' THEN 'done' WHEN 'fail' THEN CASE WHEN attempts >= 8 THEN 'dead' ELSE 'pending' END ELSE status END AS status,
+strftime(CASE WHEN kind = 'fail' AND attempts < 8 THEN TIMESTAMP '1996-01-01' + to_microseconds((greatest(0.25, 0.5 * least(1800, 2 * 2 ** attempts)) * 1000000)::BIGINT) ELSE run_at END, '%Y-%m-%d %H:%M:%S') AS run_at,
+strftime(CASE WHEN kind = 'heartbeat' THEN TIMESTAMP '1996-01-01' + INTERVAL 300 SECOND WHEN kind IS NULL THEN lease_expires_at END, '%Y-%m-%d %H:%M:%S') AS lease
+FROM ({JOBS}) LEFT JOIN e USING (id)""")
+def job_events(spark, d):
+    """Jobs after their workers' last heartbeats, completions and failures."""
+    jobs = _jobs(spark, d).withColumns({"worker": F.lit("w"), "last_error": F.lit(None).cast("string")})
+    kind = F.when(F.col("id") % 3 == 0, "complete").when(F.col("id") % 3 == 1, "fail").otherwise("heartbeat")
+    now = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
+    ran = jobs.filter("status = 'running' and id % 4 > 0")
+    old = ran.select("id", F.lit("fail").alias("kind"), F.lit("w").alias("worker"), F.lit("1995-12-31").cast("timestamp_ntz").alias("at"), F.lit(1.0).alias("jitter"), F.lit("x").alias("error"))
+    new = ran.select("id", kind.alias("kind"), F.lit("w").alias("worker"), now.alias("at"), F.lit(0.5).alias("jitter"), F.lit("x").alias("error"))
+    made = O.after_events(jobs, old.union(new))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias
+    return made.select("id", "status", text("run_at")("run_at"), text("lease_expires_at")("lease"))
+
+
 @query(f"SELECT id, 0.5 * least(1800, 2 * 2 ** attempts) AS delay, CASE WHEN attempts + 1 >= 8 THEN 'dead' ELSE 'pending' END AS status FROM ({JOBS})")
 def job_backoff(spark, d):
     a = F.col("attempts")

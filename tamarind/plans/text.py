@@ -9,6 +9,7 @@ from tamarind.functions import text as X
 from tamarind.functions import web as U
 from tamarind.operators import calibration, resolve
 from tamarind.plans import tables as T
+from tamarind.plans.tables import KEY_SQL
 from tamarind.sources import readers
 
 QUERIES, ORACLES = {}, {}
@@ -24,17 +25,14 @@ def query(sql: str | None = None):
     return add
 
 
-KEY_SQL = r"""trim(regexp_replace(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '[!"#$%&''()*+,./:;<=>?@\[\\\]^_`{{|}}~]', ' ', 'g'), '\s+', ' ', 'g'))"""
-
-
 @query(f"SELECT doc_id, md5({KEY_SQL.format('text')}) AS key_md5 FROM documents")
 def match_key(spark, d):
-    return T.read(spark, d, "documents").select("doc_id", F.md5(X.match_key_udf("text").cast("binary")).alias("key_md5"))
+    return T.read(spark, d, "documents").select("doc_id", F.md5(X.match_key_of("text").cast("binary")).alias("key_md5"))
 
 
 @query(f"SELECT doc_id, len(list_filter(string_split({KEY_SQL.format('text')}, ' '), lambda t: length(t) > 1 OR regexp_matches(t, '[0-9]'))) AS tokens FROM documents")
 def tokens(spark, d):
-    rows = T.read(spark, d, "documents").select("doc_id", X.match_key_udf("text").alias("key"))
+    rows = T.read(spark, d, "documents").select("doc_id", X.match_key_of("text").alias("key"))
     return rows.select("doc_id", F.size(X.token_list(F.col("key"))).cast("long").alias("tokens"))
 
 
@@ -44,7 +42,7 @@ def language_shares(spark, d):
     return T.read(spark, d, "documents").select("doc_id", F.round(latin, 6).alias("latin"))
 
 
-_TRACK = " OR ".join(["starts_with(lower(p), 'utm_')", *(f"starts_with(lower(p), '{k}=')" for k in ("ref", "fbclid", "gclid", "source"))])
+_TRACK = " OR ".join(["starts_with(lower(p), 'utm_')", *(f"starts_with(lower(p), '{k}=')" for k in U.TRACKING)])
 
 
 @query(rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1)) AS s, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS h,
@@ -186,7 +184,7 @@ def er_precision_recall(spark, d):
 @query(r"""SELECT conv_id, turn, text, len(regexp_extract_all(text, '[?？؟]')) AS questions, length(text) > 450 AS too_long,
 turn = 0 AND regexp_matches(text, '(?i)https?://|www\.|wa\.me|bit\.ly|\.dz\b') AS has_url, len(regexp_extract_all(text, '\{[A-Za-z_]+\}')) > 0 AS unresolved FROM conversations""")
 def message_lint(spark, d):
-    c = T.read(spark, d, "conversations").select("conv_id", "turn", "text", X.match_key_udf("text").alias("key"))
+    c = T.read(spark, d, "conversations").select("conv_id", "turn", "text", X.match_key_of("text").alias("key"))
     errors, _ = M.lint(F.col("text"), F.col("key"), F.col("turn") == 0)
     has = lambda e: F.coalesce(F.array_contains("errors", e), F.lit(False))
     rows = c.withColumn("errors", errors)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tamarind.functions import fingerprints as P
 from tamarind.operators import outreach
 from tamarind.plans.register import register
@@ -32,10 +34,10 @@ def test_streams_equal_folds(spark, tmp_path):
     from tamarind.streaming.counters import bucket_stream, lifecycle_stream
 
     rows = [(i % 7, i, ["replied", "lost", "interested", "paid", "stop"][(i * 3) % 5]) for i in range(60)]
-    df = spark.createDataFrame(rows, "lead int, k int, stage string").coalesce(1).sortWithinPartitions("k")
-    df.write.parquet(f"{tmp_path}/o")
+    df = spark.createDataFrame(rows, "lead int, k int, stage string")
+    df.orderBy(F.desc("k")).write.parquet(f"{tmp_path}/o")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/o")
-    run = lifecycle_stream(stream, "lead", "stage").writeStream.outputMode("update").format("memory").queryName("life").trigger(availableNow=True).start()
+    run = lifecycle_stream(stream, "lead", "stage", ["k"]).writeStream.outputMode("update").format("memory").queryName("life").trigger(availableNow=True).start()
     run.awaitTermination()
     want = {r["lead"]: r["state"] for r in fold_states(df, "lead", "stage", ["k"]).collect()}
     assert {r["lead"]: r["state"] for r in spark.table("life").collect()} == want
