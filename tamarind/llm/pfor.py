@@ -234,35 +234,30 @@ def read_tokens(spark, path: str) -> DataFrame:
 def _read(spark, path: str, with_ids: bool) -> DataFrame:
     small_batches(spark)
     files = spark.read.schema("part int, file_no int, n_ids long, name string").parquet(f"{path}/manifest")
-    names = ["part", "file_no", "doc_id", "local", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each task that wrote
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier.orderBy("part")), F.lit(0)).alias("part_base"))
+    within = F.coalesce(F.sum("n_ids").over(earlier.partitionBy("part").orderBy("file_no")), F.lit(0))
+    placed = files.withColumn("within", within).join(parts, "part").select("name", (F.col("within") + F.col("part_base")).alias("base"))
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, name in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 image = Image(get_file(path, name))
                 every = image.ids(0, image.n_ids).astype("<u4")
                 ends = image.ends.astype(np.int64)
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 raw = memoryview(every.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                cols = [[part] * len(ends), [number] * len(ends), image.doc_ids, starts, ends - starts, crc]
-                arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                arrays = [pa.array(c, pa.int64()) for c in (image.doc_ids, starts + base, ends - starts, crc)]
                 if with_ids:
                     offsets = pa.array(np.concatenate((starts, ends[-1:])), pa.int32())
                     arrays.append(pa.ListArray.from_arrays(offsets, pa.array(every.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "part int, file_no int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    found = files.select("part", "file_no", "name").repartition("name").mapInArrow(run, schema)
-    sizes = files.select("part", "file_no", "n_ids")
-    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each task that wrote
-    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier.orderBy("part")), F.lit(0)).alias("part_base"))
-    within = F.coalesce(F.sum("n_ids").over(earlier.partitionBy("part").orderBy("file_no")), F.lit(0))
-    base = sizes.withColumn("within", within).join(parts, "part").select("part", "file_no", (F.col("within") + F.col("part_base")).alias("base"))
-    kept = ["doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    return found.join(base, ["part", "file_no"]).select(*kept)
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    return placed.repartition("name").mapInArrow(run, schema)
 
 
 def op8_token_blocks(spark, sf_dir: str) -> DataFrame:
