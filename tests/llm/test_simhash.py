@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tamarind.llm import simhash as S
@@ -143,8 +144,10 @@ def test_confirmed_links_are_those_of_all_pairs():
         assert dict(zip(a.tolist(), b.tolist())) == {i: v for i, v in enumerate(label) if i != v}
 
 
-def test_pairs_about_the_similarity(spark):
-    """Pairs at 0.80 to 0.85 are all found, pairs at 0.70 to 0.79 are none."""
+@pytest.mark.parametrize("size", [4096, 3])
+def test_pairs_about_the_similarity(spark, monkeypatch, size):
+    """Pairs at 0.80 to 0.85 are all found, pairs at 0.70 to 0.79 are none; alike where every shard is hot."""
+    monkeypatch.setattr(S, "SHARD_ROWS", size)
     rows, want = [], {}
     shapes = [(80, 10), (82, 9), (34, 3), (160, 20), (8, 1), (78, 11), (70, 15), (79, 11), (37, 5), (150, 20)]
     for g in range(300):
