@@ -14,7 +14,6 @@ import os
 import re
 import string
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 
@@ -107,18 +106,24 @@ class WordEncoder:
             made[w] = made[stem] + self.marks[marks]
         return made
 
-    def _known(self, words: list[list[str]], cache: dict[str, bytes], prefix: str) -> dict[str, bytes]:
-        """Learn the words that ``cache`` lacks; those that are too long to keep are returned."""
-        new: set[str] = set()
-        for w in words:
-            new.update(filterfalse(cache.__contains__, w))
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set().union(*words)
+    def _found(self, split: list[list[str]], cache: dict[str, bytes], prefix: str) -> list[list[bytes]]:
+        """ids of every word; those that ``cache`` lacks are learned, and kept if they are short."""
+        find = cache.get
+        found = [list(map(find, w)) for w in split]
+        lacking = [k for k, f in enumerate(found) if not all(f)]  # or a word without ids
+        new = {x for k in lacking for x, f in zip(split[k], found[k], strict=True) if f is None}
+        if not new:
+            return found
         short = [w for w in new if len(w) <= CACHE_CHARS]
-        cache.update(self._encoded(short, prefix))
+        made = self._encoded(short, prefix)
+        if len(cache) + len(made) > CACHE_WORDS:
+            cache.clear()
+        cache.update(made)
         long = [w for w in new if len(w) > CACHE_CHARS]
-        return dict(zip(long, self._ids([prefix + w for w in long]), strict=True))
+        made.update(zip(long, self._ids([prefix + w for w in long]), strict=True))
+        for k in lacking:
+            found[k] = [made[x] if f is None else f for x, f in zip(split[k], found[k], strict=True)]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -133,16 +138,11 @@ class WordEncoder:
         return self.at_added.split(text) if any(a in text for a in self.added) else [text]
 
     def _encode(self, split: list[list[str]]) -> list[bytes]:
-        heads = [b""] * len(split)
-        if self.leading:  # a text's first word has no space before it
-            first = [w.pop(0) for w in split]
-            long = self._known([first], self.first, "")
-            heads = [long[w] if w in long else self.first[w] for w in first]
-        long = self._known(split, self.rest, " " if self.leading else "")
-        find = self.rest.__getitem__
-        if not long:
-            return [h + b"".join(map(find, w)) for h, w in zip(heads, split, strict=True)]
-        return [h + b"".join([long[x] if x in long else find(x) for x in w]) for h, w in zip(heads, split, strict=True)]
+        if not self.leading:
+            return [b"".join(f) for f in self._found(split, self.rest, "")]
+        first = [w.pop(0) for w in split]  # a text's first word has no space before it
+        heads = self._found([first], self.first, "")[0]
+        return [h + b"".join(f) for h, f in zip(heads, self._found(split, self.rest, " "), strict=True)]
 
 
 @lru_cache(maxsize=4)
