@@ -9,7 +9,8 @@ members are its queries.
 Shards lose no link. For a fingerprint of 64 bits at radius 3 the bits form four blocks,
 and two fingerprints within the radius agree in a whole block: (block, value) is a shard.
 A shard with more than ``SHARD_ROWS`` members is cut again by the bits left, in four
-blocks, and so on, which ends by itself as members differ.
+blocks, and so on, which ends by itself as members differ. Where there are so many
+fingerprints that all shards of a level would be hot, that level is left out.
 
 For similarity of shingle sets (``near_duplicates``) shards are the least shingle hashes
 under eight permutations: sets of similarity 0.8 share one with a chance above
@@ -235,7 +236,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def levels_for(fingerprints: int, radius: int) -> int:
+    """How often bits are cut before members are counted: until evenly filled shards hold a quarter of ``SHARD_ROWS``."""
+    levels, bits = 1, 64 // (radius + 1)
+    while fingerprints >> bits > SHARD_ROWS // 4 and bits < 64:
+        levels, bits = levels + 1, bits + max(1, (64 - bits) // (radius + 1))
+    return levels
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = 3, levels: int | None = None) -> DataFrame:
     """``(a, b)``: links that join distinct fingerprints ``fp`` at ``radius`` bits or fewer.
 
     Transitively they join just what all pairs within the radius would.
@@ -256,7 +265,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             out = x if out is None else out.union(x)
         return out
 
-    links, now = None, together(dealt(distinct.select("fp"), 0))
+    parts = dealt(distinct.select("fp"), 0)
+    for _ in range((levels or levels_for(distinct.count(), radius)) - 1):
+        parts = [p for m, rows in parts for p in dealt(rows, m)]
+    links, now = None, together(parts)
     while True:
         hot = hot_shards(now)
         none = hot.isEmpty()
@@ -266,7 +278,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         if none:
             return links
         still = stage(now.join(hot.select("shard"), "shard").select("fp", "mask"), "hot-rows")
-        masks = [r["mask"] & full for r in still.select("mask").distinct().collect()]  # at most 4 a level
+        masks = [r["mask"] & full for r in still.select("mask").distinct().collect()]  # at most four to the level's power
         now = together([p for m in masks for p in dealt(still.filter(F.col("mask") == signed(m)), m)])
 
 
@@ -390,15 +402,18 @@ def shard_clusters(rows: DataFrame, radius: int, bits: list[str], similarity: fl
     )
 
 
-def cluster_links(rows: DataFrame, radius: int, bits: list[str], similarity: float) -> DataFrame:
-    """``(a, b)`` links of ``id`` among the rows ``(cluster, id, grams, *bits)`` of each cluster, by whole sets."""
+def cluster_links(rows: DataFrame, radius: int, bits: list[str], words: int, similarity: float) -> DataFrame:
+    """``(a, b)`` links of ``id`` among the rows ``(cluster, id, text, *bits)`` of each cluster, by whole sets.
+
+    Texts are sent, which pack better than their shingles' hashes, and hashed where their cluster is.
+    """
 
     def of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         group = pa.Table.from_batches(batches)
         ids = group.column("id").to_numpy()
-        words = np.stack([group.column(c).to_numpy() for c in bits], axis=1).view(np.uint64)
-        sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in group.column("grams")]
-        a, b = confirmed_links(words, sets, radius, similarity)
+        prints = np.stack([group.column(c).to_numpy() for c in bits], axis=1).view(np.uint64)
+        sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in group.column("text").cast(pa.binary())]
+        a, b = confirmed_links(prints, sets, radius, similarity)
         return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,25 +433,18 @@ def cluster_links(rows: DataFrame, radius: int, bits: list[str], similarity: flo
             yield of(held)
 
     return (
-        rows.select("cluster", "id", "grams", *bits)
+        rows.select("cluster", "id", "text", *bits)
         .repartition("cluster")
         .sortWithinPartitions("cluster", "id")
         .mapInArrow(run, "a long, b long")
     )
 
 
-def _numbered(rows: DataFrame) -> tuple[DataFrame, str]:
-    """The rows, staged with a number of their own each, and that column's name."""
-    name = free_name(rows, "_row_number")
-    return stage(rows.withColumn(name, F.monotonically_increasing_id()), "set-rows"), name
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``(id, component_id)``: documents whose sets of word shingles are alike, joined transitively."""
-    rows, number = _numbered(docs.select(id_col, text_col))
-    sketch, classes, links = _near_classes(rows, number, id_col, text_col, words, similarity)
+    sketch, classes, links = _near_classes(docs, id_col, text_col, words, similarity)
     return sketch.select("doc", "fp").join(_least_of(classes.select("fp", F.col("first.doc").alias("least")), links), "fp").select(
         F.col("doc").alias("id"), "component_id"
     )
@@ -445,21 +453,40 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``docs`` with one row of each component of ``near_duplicates``: of the least id, null last."""
-    rows, number = _numbered(docs)
-    sketch, classes, links = _near_classes(rows, number, id_col, text_col, words, similarity)
+    """``docs`` with one row of each component of ``near_duplicates``: of the least id, null last.
+
+    A row is known by its id and a hash of its text. Of rows that are equal in both, one stays;
+    they come from a partial aggregate, so that no group of them is gathered.
+    """
+    sketch, classes, links = _near_classes(docs, id_col, text_col, words, similarity)
     roots = connected_components(links, "a", "b").select(F.col("node").alias("fp"), "root")
     rooted = classes.select("fp", "first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = stage(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "set-chosen")
-    copies = stage(sketch.select("row").join(chosen, "row", "left_anti"), "set-copies")
-    return rows.join(copies.select(F.col("row").alias(number)), number, "left_anti").drop(number)
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc").alias("c_doc"), F.col("first.key").alias("c_key"))
+    rows = sketch.groupBy("doc", "key").agg(F.count("*").alias("n"))
+    held = rows.join(chosen, rows["doc"].eqNullSafe(F.col("c_doc")) & (rows["key"] == F.col("c_key")), "left")
+    marks = stage(held.select("doc", "key", F.col("c_key").isNotNull().alias("kept"), "n").filter("not kept or n > 1"), "set-marks")
+    doc, key = free_name(docs, "_doc"), free_name(docs, "_key")
+    keyed = docs.withColumns({doc: F.col(id_col).cast("long"), key: _text_key(text_col)})
+
+    def named(some: DataFrame, how: str) -> DataFrame:
+        return keyed.join(some, keyed[key].eqNullSafe(some["key"]) & keyed[doc].eqNullSafe(some["doc"]), how)
+
+    once = named(marks.select("doc", "key"), "left_anti").drop(doc, key)
+    again = marks.filter("kept").select("doc", "key")
+    if again.isEmpty():
+        return once
+    first = named(again, "left_semi").groupBy(doc, key).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(first.select("row.*"))
 
 
-def _near_classes(docs: DataFrame, number: str, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows ``(row, doc, fp, ..)``, classes of equal sets ``(fp, first, ..)`` and links ``(a, b)`` of classes.
+def _text_key(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
-    ``docs`` are numbered rows; only rows that stand for a class of a candidate cluster are
-    read a second time, for their sets.
+
+def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``(doc, key, fp, ..)``, classes of equal sets ``(fp, first, ..)`` and links ``(a, b)`` of classes.
+
+    Only texts that stand for a class of a candidate cluster are read a second time, for their sets.
 
     Sets are alike at a Jaccard similarity of ``similarity`` or more, counted on the whole
     sets. 256-bit SimHash fingerprints name the candidates. At 0.8 a distance of 39 bits is
@@ -474,7 +501,7 @@ def _near_classes(docs: DataFrame, number: str, id_col: str, text_col: str, word
     names = ["b0", "b1", "b2", "b3"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, words)) for t in utf8(batch.column(3))]
+        sets = [np.unique(shingle_hashes(t, words)) for t in utf8(batch.column(2))]
         made = [set_sketch(s, salts) for s in sets]
         bits = np.stack([m[0] for m in made]).view(np.int64)
         least = np.stack([m[1] for m in made]).view(np.int64)
@@ -482,22 +509,16 @@ def _near_classes(docs: DataFrame, number: str, id_col: str, text_col: str, word
             pa.array(np.arange(0, least.size + 1, least.shape[1], dtype=np.int32)), pa.array(least.ravel())
         )
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        cols = [*batch.columns[:3], pa.array(fp), pa.array([len(s) for s in sets], pa.int64())]
+        cols = [*batch.columns[:2], pa.array(fp), pa.array([len(s) for s in sets], pa.int64())]
         cols += [*(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), anchors]
-        return pa.RecordBatch.from_arrays(cols, ["row", "doc", "key", "fp", "size", *names, "anchors"])
-
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grams = [np.unique(shingle_hashes(t, words)).tobytes() for t in utf8(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["fp", "grams"])
+        return pa.RecordBatch.from_arrays(cols, ["doc", "key", "fp", "size", *names, "anchors"])
 
-    text = F.col(text_col).cast("string")
-    key = F.xxhash64(F.coalesce(text, F.lit("")))
-    rows = docs.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("doc"), key.alias("key"), text.alias("text"))
-    schema = "row long, doc long, key long, fp long, size long, b0 long, b1 long, b2 long, b3 long, anchors array<long>"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), _text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    schema = "doc long, key long, fp long, size long, b0 long, b1 long, b2 long, b3 long, anchors array<long>"
     sketch = stage(map_batches(rows, one, schema), "set-sketches")
     classes = stage(
         sketch.groupBy("fp").agg(
-            F.min(F.struct(F.isnull("doc").alias("none"), "doc", "key", "row")).alias("first"),
+            F.min(F.struct(F.isnull("doc").alias("none"), "doc", "key")).alias("first"),
             F.first("anchors").alias("anchors"),
             *(F.min(c).alias(c) for c in ["size", *names]),
         ),
@@ -527,12 +548,13 @@ def _near_classes(docs: DataFrame, number: str, id_col: str, text_col: str, word
             blocks = blocks.withColumn("shard", F.xxhash64("within", F.least("i", "j"), F.greatest("i", "j")))
             found = found.union(candidates(blocks))
     clusters = stage(found.distinct().withColumnRenamed("id", "fp"), "set-clusters")
-    of = classes.select("fp", F.col("first.row").alias("row"), *names)
+    of = classes.select("fp", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), *names)
     needed = stage(of.join(clusters.select("fp").distinct(), "fp"), "set-needed")
-    read = docs.select(F.col(number).alias("row"), text.alias("text")).join(needed.select("fp", "row"), "row")
-    sets = stage(map_batches(read.select("fp", "text"), whole, "fp long, grams binary"), "set-grams")
-    members = clusters.join(needed.select("fp", *names), "fp").join(sets, "fp").withColumn("id", F.col("fp"))
-    links = stage(cluster_links(members, radius, names, similarity), "set-links")
+    who = needed.select("fp", F.col("doc").alias("n_doc"), F.col("key").alias("n_key"))
+    read = rows.join(who, rows["key"].eqNullSafe(who["n_key"]) & rows["doc"].eqNullSafe(who["n_doc"]))
+    texts = read.groupBy("fp").agg(F.first("text").alias("text"))  # rows may repeat
+    members = clusters.join(needed.select("fp", *names), "fp").join(texts, "fp").withColumn("id", F.col("fp"))
+    links = stage(cluster_links(members, radius, names, words, similarity), "set-links")
     return sketch, classes, links
 
 

@@ -63,6 +63,20 @@ def test_hot_shards_are_cut_without_losing_links(spark, monkeypatch):
     check(spark, sample())
 
 
+def test_levels_that_are_left_out_lose_no_link(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = {x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for x in base for _ in range(6)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    both = []
+    for levels in (1, 2):
+        found = S.connected_components(S.fingerprint_links(df, levels=levels), "a", "b")
+        both.append({r["node"]: r["root"] for r in found.collect()})
+    assert both[0] == both[1] and len(both[0]) > 40
+    assert [S.levels_for(n, 3) for n in (0, 10**7, 10**9, 10**12)] == [1, 1, 2, 3]
+
+
 def test_empty_table(spark):
     assert S.near_duplicate_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
