@@ -170,6 +170,15 @@ def gates(c: dict[str, Column], floor: float = 0.0) -> tuple[Column, Column]:
     return F.size(against) == 0, F.when(F.size(against) == 0, F.array(F.lit("all hard gates passed"))).otherwise(against)
 
 
+GATES = ["contactable_channel", "p_market", "p_sells_goods", "not_suppressed", "not_customer", "contact_policy", "maturity_floor"]
+
+
+def gate_summary(reasons: Column) -> Column:
+    """A line for each gate, in order, with whether it was passed, from the reasons of ``gates``."""
+    against = ["no contactable channel", "outside the market", "does not sell goods", "suppressed", "already a customer", "contact policy", "below the maturity floor"]
+    return F.concat_ws("\n", *(F.concat(F.when(F.array_contains(reasons, why), "✗ ").otherwise("✓ "), F.lit(g)) for g, why in zip(GATES, against, strict=True)))
+
+
 #: Features in their order with prior mean and standard deviation.
 FEATURES = [
     ("bias", math.log(0.12 / 0.88), 1.0), ("is_advertiser_fresh", 0.55, 0.5), ("log_ad_count", 0.1, 0.35), ("sells_cod", 0.85, 0.5),

@@ -83,3 +83,9 @@ def preferred_channel(channels: Column) -> Column:
     place = F.create_map(*(F.lit(x) for i, k in enumerate(order) for x in (k, i)))
     ranked = F.transform(channels, lambda c: F.struct(F.coalesce(place[c["kind"]], F.lit(99)).alias("p"), (-c["confidence"]).alias("c"), c["kind"].alias("kind")))
     return F.array_min(ranked)["kind"]
+
+
+def best_of_kind(channels: Column, kind: str) -> Column:
+    """The most confident value of one kind among an array of (kind, value, confidence); null without any."""
+    own = F.transform(F.filter(channels, lambda c: c["kind"] == kind), lambda c: F.struct(c["confidence"].alias("c"), c["value"].alias("v")))
+    return F.array_max(own)["v"]

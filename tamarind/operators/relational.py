@@ -50,6 +50,12 @@ def is_customer(values: Column, customers: str) -> Column:
     return F.exists(values, lambda v: (F.length(v) > 3) & F.contains(held, F.lower(v)))
 
 
+def observations_of(facts: DataFrame, leads: DataFrame, key: str = "lead_id") -> DataFrame:
+    """``(lead_id, observations)``: all facts of the given leads, newest first. A lead's facts are few by their keys."""
+    rows = F.sort_array(F.collect_list(F.struct("observed_at", "key", "value", "confidence")), asc=False)
+    return facts.join(leads.select(key).distinct(), key, "left_semi").groupBy(key).agg(rows.alias("observations"))
+
+
 def append(log: DataFrame, path: str) -> None:
     """Add rows to a log: observations, scores, attempts, outcomes, audit or merges."""
     log.write.mode("append").parquet(path)

@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tamarind.__main__ import main as command_line
 from tamarind.config import load_config
 from tamarind.functions import hashing as H
 from tamarind.functions import lexicons
@@ -262,6 +263,16 @@ def U_catalog(count, prices):
     return F.struct(count.alias("product_count"), F.lit(None).cast("double").alias("median_price"), F.lit(None).cast("string").alias("currency"), F.lit("2026-01-01").cast("timestamp").alias("latest"), F.lit("products_json").alias("source"))
 
 
+def test_summaries(spark, capsys, sf_dir):
+    got = one(spark, evidence.gate_summary(F.array(F.lit("suppressed"), F.lit("contact policy"))))[0].split("\n")
+    assert [x[0] for x in got] == list("✓✓✓✗✓✗✓") and got[0] == "✓ contactable_channel"
+    ways = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value"), F.lit(c).alias("confidence")) for k, v, c in [("email", "a", 0.5), ("email", "b", 0.6), ("phone", "c", 0.9)]))
+    assert one(spark, ranking.best_of_kind(ways, "email"), ranking.best_of_kind(ways, "tiktok")) == ("b", None)
+    facts = spark.createDataFrame([(1, 1, "k", "old", 0.5), (1, 2, "k", "new", 0.4), (2, 1, "k", "x", 0.4)], "lead_id int, observed_at int, key string, value string, confidence double")
+    assert [[o["value"] for o in r["observations"]] for r in R.observations_of(facts, spark.createDataFrame([(1,), (1,), (3,)], "lead_id int")).collect()] == [["new", "old"]]
+    assert command_line(["list"]) == 0 and "funnel_counts" in capsys.readouterr().out and command_line(["sources"]) == 0 and "manual_add" in capsys.readouterr().out
+
+
 def test_demo_end_to_end(spark):
     """A synthetic population is ingested, and again: the second time makes no lead."""
     people = readers.demo_population(spark, 30)
