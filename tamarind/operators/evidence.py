@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,25 +76,41 @@ def rule_hits(pages: DataFrame, key: str, rules: list[dict], columns: dict[str,
     return pages.select(key, F.explode(F.filter(F.array(*tests), lambda h: h.isNotNull())).alias("h")).select(key, "h.*")
 
 
-def _listed(phrases: list[str]) -> Column:
-    """The phrases as one constant array: a long list of literals takes long to plan."""
-    return F.split(F.lit("\n".join(phrases)), "\n") if phrases else F.array().cast("array<string>")
-
-
-def phrase_hits(key: Column, phrases: list[str]) -> Column:
-    """How many different phrases (of three characters or more) begin or end at a space in a match key."""
-    beside = lambda t, p: F.contains(t, F.concat(F.lit(" "), p)) | F.contains(t, F.concat(p, F.lit(" ")))
-    listed = _listed([p for p in dict.fromkeys(phrases) if len(p) >= 3])
-    return N.let(F.concat(F.lit(" "), key, F.lit(" ")), lambda t: F.size(F.filter(listed, lambda p: beside(t, p))))
-
-
 def lexicon_hits(key: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """Hits of every category's phrases, as an array. Single words are looked for among a text's different words."""
-    phrases = (lexicon or category_phrases()).values()
-    words = F.array_join(F.array_distinct(F.split(key, " ")), " ")
-    one = N.let(words, lambda w: F.array(*(phrase_hits(w, [p for p in x if " " not in p]) for x in phrases)))
-    more = F.array(*(phrase_hits(key, [p for p in x if " " in p]) for x in phrases))
-    return F.zip_with(one, more, lambda a, b: a + b)
+    """How many different phrases of each list begin or end at a space in a match key, as an array; 0 for null.
+
+    Spark has no search for many patterns at once, and hundreds of passes over a text cost more
+    than sending it to Python: an Aho-Corasick automaton finds all phrases in one pass.
+    """
+    lists = [[p for p in dict.fromkeys(phrases) if len(p) >= 3] for phrases in (lexicon or category_phrases()).values()]
+
+    @F.pandas_udf("array<int>")
+    def hits(keys: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        owners: dict[str, list[tuple[int, int]]] = {}
+        for c, phrases in enumerate(lists):
+            for k, p in enumerate(phrases):
+                for form in (f" {p}", f"{p} "):
+                    owners.setdefault(form, []).append((c, k))
+        found = ahocorasick.Automaton()
+        for form, own in owners.items():
+            found.add_word(form, own)
+        if owners:
+            found.make_automaton()
+
+        def count(key: str | None) -> list[int]:
+            seen: set[tuple[int, int]] = set()
+            for _, own in found.iter(f" {key} ") if owners and key is not None else ():
+                seen.update(own)
+            out = [0] * len(lists)
+            for c, _ in seen:
+                out[c] += 1
+            return out
+
+        return keys.map(count)
+
+    return hits(key)
 
 
 def wilayas_in(key: Column) -> Column:
