@@ -25,6 +25,7 @@ whatever their names, are neither read nor returned.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -403,16 +404,16 @@ def shard_clusters(rows: DataFrame, radius: int, bits: list[str], similarity: fl
 
 
 def cluster_links(rows: DataFrame, radius: int, bits: list[str], words: int, similarity: float) -> DataFrame:
-    """``(a, b)`` links of ``id`` among the rows ``(cluster, id, text, *bits)`` of each cluster, by whole sets.
+    """``(a, b)`` links of ``id`` among the rows ``(cluster, id, packed, *bits)`` of each cluster, by whole sets.
 
-    Texts are sent, which pack better than their shingles' hashes, and hashed where their cluster is.
+    Compressed texts are sent, a fraction of their shingles' hashes, and hashed where their cluster is.
     """
 
     def of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         group = pa.Table.from_batches(batches)
         ids = group.column("id").to_numpy()
         prints = np.stack([group.column(c).to_numpy() for c in bits], axis=1).view(np.uint64)
-        sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in group.column("text").cast(pa.binary())]
+        sets = [np.unique(shingle_hashes(zlib.decompress(t.as_py()), words)) for t in group.column("packed")]
         a, b = confirmed_links(prints, sets, radius, similarity)
         return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
@@ -433,7 +434,7 @@ def cluster_links(rows: DataFrame, radius: int, bits: list[str], words: int, sim
             yield of(held)
 
     return (
-        rows.select("cluster", "id", "text", *bits)
+        rows.select("cluster", "id", "packed", *bits)
         .repartition("cluster")
         .sortWithinPartitions("cluster", "id")
         .mapInArrow(run, "a long, b long")
@@ -513,6 +514,10 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, simil
         cols += [*(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), anchors]
         return pa.RecordBatch.from_arrays(cols, ["doc", "key", "fp", "size", *names, "anchors"])
 
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [zlib.compress(t or b"", 1) for t in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["fp", "packed"])
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), _text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     schema = "doc long, key long, fp long, size long, b0 long, b1 long, b2 long, b3 long, anchors array<long>"
     sketch = stage(map_batches(rows, one, schema), "set-sketches")
@@ -552,7 +557,7 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, simil
     needed = stage(of.join(clusters.select("fp").distinct(), "fp"), "set-needed")
     who = needed.select("fp", F.col("doc").alias("n_doc"), F.col("key").alias("n_key"))
     read = rows.join(who, rows["key"].eqNullSafe(who["n_key"]) & rows["doc"].eqNullSafe(who["n_doc"]))
-    texts = read.groupBy("fp").agg(F.first("text").alias("text"))  # rows may repeat
+    texts = map_batches(read.select("fp", "text"), pack, "fp long, packed binary").groupBy("fp").agg(F.first("packed").alias("packed"))  # rows may repeat
     members = clusters.join(needed.select("fp", *names), "fp").join(texts, "fp").withColumn("id", F.col("fp"))
     links = stage(cluster_links(members, radius, names, words, similarity), "set-links")
     return sketch, classes, links
