@@ -69,7 +69,7 @@ _EARLIER = f"SELECT 1 FROM ({ROTATED}) b WHERE b.lead_id = a.lead_id AND epoch(b
 @query(f"SELECT a.id, a.lead_id, a.channel, EXISTS ({_EARLIER}) AND NOT EXISTS ({_EARLIER} AND b.channel = a.channel) AS blocked FROM ({ROTATED}) a")
 def channel_cooldown(spark, d):
     """Sends to leads that of late were contacted on other channels only."""
-    rows = _sent(spark, d).select("id", "lead_id", F.date_trunc("second", "occurred_at").cast("timestamp_ntz").alias("at"), F.when(F.col("id") % 4 == 0, "email").otherwise(F.col("channel")).alias("channel"))
+    rows = _sent(spark, d).select("id", "lead_id", F.col("occurred_at").alias("at"), F.when(F.col("id") % 4 == 0, "email").otherwise(F.col("channel")).alias("channel"))
     found = O.recent_channels(rows, "lead_id", "channel", "at")
     return found.select("id", "lead_id", "channel", O.channel_cooldown(F.col("recent_channels"), F.col("channel")).alias("blocked"))
 
@@ -120,8 +120,7 @@ def contact_policy_decision(spark, d):
     past = Window.partitionBy("lead_id").orderBy("occurred_at", "id").rowsBetween(Window.unboundedPreceding, -1)
     at, stage = F.col("occurred_at"), F.col("stage")
     nth = lambda key: F.row_number().over(Window.partitionBy("sender", key).orderBy("occurred_at", "id")) - 1
-    second = F.date_trunc("second", at).cast("timestamp_ntz")
-    rows = O.recent_channels(e.withColumns({"_at": second, "_on": F.when(stage == "replied", F.col("channel"))}), "lead_id", "_on", "_at")
+    rows = O.recent_channels(e.withColumn("_on", F.when(stage == "replied", F.col("channel"))), "lead_id", "_on", "occurred_at")
     rows = O.gaps(rows, ["sender"], "occurred_at", "id").withColumns(
         {
             "lost": F.count_if(stage == "lost").over(past), "firsts": F.count_if(stage == "sent").over(past), "first_at": F.max(F.when(stage == "sent", at)).over(past),

@@ -75,3 +75,15 @@ def changed_tables(sf_dir, tmp_path):
 def test_leads_without_orders(spark, changed_tables, name):
     d = changed_tables("orders", "SELECT * FROM orders WHERE o_custkey % 3 > 0")
     oracle.same(spark, d, catalogue.QUERIES[name], catalogue.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["contact_policy_decision", "channel_cooldown"])
+def test_moments_count_by_nearest_second(spark, changed_tables, name):
+    times = [
+        (8, "02 10:00:00.3", 6, "click"), (9, "02 10:00:00.7", 6, "view"), (12, "02 10:00:00.3", 9, "view"), (13, "02 10:00:00.7", 9, "view"),
+        (16, "02 10:00:00.5", 15, "view"), (17, "02 10:00:01.5", 15, "view"), (20, "02 10:00:01.5", 18, "click"), (21, "02 10:00:02.4", 18, "view"),
+        (24, "02 10:00:00.6", 27, "click"), (25, "09 10:00:00.4", 27, "view"), (28, "02 10:00:00.6", 30, "view"), (29, "09 10:00:00.4", 30, "view"),
+    ]
+    rows = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-01-{t}', {u}::BIGINT, '{kind}', 1.0::DOUBLE, '{{}}')" for i, t, u, kind in times)
+    d = changed_tables("events", f"SELECT * FROM (VALUES {rows}) e(event_id, ts, user_id, event_type, value, props)")
+    oracle.same(spark, d, catalogue.QUERIES[name], catalogue.ORACLES[name])
