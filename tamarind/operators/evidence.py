@@ -159,11 +159,12 @@ def market(c: dict[str, Column]) -> tuple[Column, Column]:
 
 
 def maturity(products: Column, fresh_days: Column, pixels: Column, server_side: Column, channels: Column, platform: Column) -> Column:
-    stack = F.coalesce(F.create_map(*(F.lit(x) for kv in SOPHISTICATION.items() for x in kv))[platform], F.lit(0.2))
+    share = {k: round(0.15 * v, 6) for k, v in SOPHISTICATION.items()}  # the decimal products, as half a tenth decides how the index is rounded
+    stack = F.coalesce(F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[platform], F.lit(0.03))
     catalog = N.clamp(F.log1p(F.coalesce(products, F.lit(0)).cast("double")) / math.log1p(300), 0.0, 1.0)
     fresh = F.coalesce(N.clamp(N.decay(fresh_days, 30.0), 0.0, 1.0), F.lit(0.35))
     track = N.clamp(pixels / 4.0, 0.0, 1.0) * F.when(server_side, 1.0).otherwise(0.85)
-    raw = 0.3 * catalog + 0.2 * fresh + 0.2 * track + 0.15 * N.clamp(channels / 4.0, 0.0, 1.0) + 0.15 * stack
+    raw = 0.3 * catalog + 0.2 * fresh + 0.2 * track + 0.15 * N.clamp(channels / 4.0, 0.0, 1.0) + stack
     return F.floor(N.clamp(raw, 0.0, 1.0) * 1000 + 0.5) / 10
 
 

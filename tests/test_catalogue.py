@@ -87,3 +87,9 @@ def test_moments_count_by_nearest_second(spark, changed_tables, name):
     rows = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-01-{t}', {u}::BIGINT, '{kind}', 1.0::DOUBLE, '{{}}')" for i, t, u, kind in times)
     d = changed_tables("events", f"SELECT * FROM (VALUES {rows}) e(event_id, ts, user_id, event_type, value, props)")
     oracle.same(spark, d, catalogue.QUERIES[name], catalogue.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["feature_contributions", "feature_vector", "maturity_index"])
+def test_no_lead_has_orders(spark, changed_tables, name):
+    d = changed_tables("orders", "SELECT * FROM orders LIMIT 0")
+    oracle.same(spark, d, catalogue.QUERIES[name], catalogue.ORACLES[name])
