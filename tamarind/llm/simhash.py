@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarind.llm.common import free_name, map_batches, small_batches, utf8, whole_groups
+from tamarind.llm.common import free_name, map_batches, small_batches, utf8, whole_groups, with_maybe
 from tamarind.operators.graph import connected_components
 from tamarind.session import stage
 
@@ -466,13 +466,15 @@ def drop_near_duplicates(
     rows = sketch.groupBy("doc", "key").agg(F.count("*").alias("n"))
     held = rows.join(chosen, rows["doc"].eqNullSafe(F.col("c_doc")) & (rows["key"] == F.col("c_key")), "left")
     marks = stage(held.select("doc", "key", F.col("c_key").isNotNull().alias("kept"), "n").filter("not kept or n > 1"), "set-marks")
-    doc, key = free_name(docs, "_doc"), free_name(docs, "_key")
+    doc, key, maybe = free_name(docs, "_doc"), free_name(docs, "_key"), free_name(docs, "_maybe")
     keyed = docs.withColumns({doc: F.col(id_col).cast("long"), key: _text_key(text_col)})
+    keyed = with_maybe(keyed, [doc, key], marks, ["doc", "key"], maybe)
+    marked = keyed.filter(maybe)  # only these are shuffled with their texts
 
     def named(some: DataFrame, how: str) -> DataFrame:
-        return keyed.join(some, keyed[key].eqNullSafe(some["key"]) & keyed[doc].eqNullSafe(some["doc"]), how)
+        return marked.join(some, marked[key].eqNullSafe(some["key"]) & marked[doc].eqNullSafe(some["doc"]), how)
 
-    once = named(marks.select("doc", "key"), "left_anti").drop(doc, key)
+    once = keyed.filter(~F.col(maybe)).unionByName(named(marks.select("doc", "key"), "left_anti")).select(*docs.columns)
     again = marks.filter("kept").select("doc", "key")
     if again.isEmpty():
         return once
@@ -515,8 +517,8 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, simil
         return pa.RecordBatch.from_arrays(cols, ["doc", "key", "fp", "size", *names, "anchors"])
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [zlib.compress(t or b"", 1) for t in utf8(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["fp", "packed"])
+        made = [zlib.compress(t or b"", 1) for t in utf8(batch.column(2))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], ["doc", "key", "packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), _text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     schema = "doc long, key long, fp long, size long, b0 long, b1 long, b2 long, b3 long, anchors array<long>"
@@ -556,8 +558,10 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, words: int, simil
     of = classes.select("fp", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), *names)
     needed = stage(of.join(clusters.select("fp").distinct(), "fp"), "set-needed")
     who = needed.select("fp", F.col("doc").alias("n_doc"), F.col("key").alias("n_key"))
-    read = rows.join(who, rows["key"].eqNullSafe(who["n_key"]) & rows["doc"].eqNullSafe(who["n_doc"]))
-    texts = map_batches(read.select("fp", "text"), pack, "fp long, packed binary").groupBy("fp").agg(F.first("packed").alias("packed"))  # rows may repeat
+    read = with_maybe(rows, ["doc", "key"], needed, ["doc", "key"], "maybe").filter("maybe").drop("maybe")
+    packed = map_batches(read, pack, "doc long, key long, packed binary")
+    found_in = packed.join(who, packed["key"].eqNullSafe(who["n_key"]) & packed["doc"].eqNullSafe(who["n_doc"]))
+    texts = found_in.groupBy("fp").agg(F.first("packed").alias("packed"))  # rows may repeat
     members = clusters.join(needed.select("fp", *names), "fp").join(texts, "fp").withColumn("id", F.col("fp"))
     links = stage(cluster_links(members, radius, names, words, similarity), "set-links")
     return sketch, classes, links

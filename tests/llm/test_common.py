@@ -42,3 +42,15 @@ def test_whole_groups_never_split_a_run():
         owners = Counter(k for p in parts for k in set(p))
         assert set(owners.values()) == {1}
     assert list(common.whole_groups([], "k")) == []
+
+
+def test_maybe_is_true_of_every_listed_key(spark):
+    from tamarind.llm.common import with_maybe
+
+    rows = spark.range(4000).selectExpr("if(id % 50 = 0, null, id) AS a", "id % 7 AS b", "id AS _block")
+    listed = spark.range(0, 4000, 10).selectExpr("if(id % 50 = 0, null, id) AS x", "id % 7 AS y")
+    found = with_maybe(rows, ["a", "b"], listed, ["x", "y"], "maybe")
+    assert found.columns == ["a", "b", "_block", "maybe"] and found.count() == 4000
+    got = {r["_block"]: r["maybe"] for r in found.collect()}
+    assert all(got[i] for i in range(0, 4000, 10)) and sum(got.values()) < 440
+    assert not with_maybe(rows, ["a", "b"], listed.limit(0), ["x", "y"], "maybe").filter("maybe").count()
