@@ -1,11 +1,13 @@
 """Token ids of whole texts by the ``tokenizers`` library, with each distinct word encoded once a worker.
 
 Both public BPE vocabularies split a text so that a single space between two other
-characters always starts a new unit; a text's ids are then those of its space-separated
-words, one after another. A worker keeps the ids of the words that it has met. Words are
-encoded by the library itself, in batches. Where a text holds an added token's string, the
-library takes that token's id and encodes what is before and behind it as texts of their
-own; so does this module.
+characters always starts a new unit, and a single line feed there is white space of its
+own; a text's ids are then those of its space-separated words, one after another. A worker
+keeps the ids of the words that it has met. Words of letters go straight to the library's
+BPE model, in the signs that its pre-tokenizer has for their bytes, as the library's way
+there costs more than the merges; all other words are encoded by the library itself. Where
+a text holds an added token's string, the library takes that token's id and encodes what is
+before and behind it as texts of their own; so does this module.
 """
 
 from __future__ import annotations
@@ -13,23 +15,48 @@ from __future__ import annotations
 import os
 import re
 import string
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
-
 #: Words whose ids a worker keeps; beyond it starts afresh. About 200 MB.
 CACHE_WORDS = 1_000_000
 #: Longer words are encoded, not kept.
 CACHE_CHARS = 64
 #: White space apart from space and line feed, by Python's and the library's notion of it.
-RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+SINGLE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 #: Words of Latin letters that stay letters, one for one, under NFC and lower case: one unit each.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch
 #: What may follow such a word as a unit of its own. An apostrophe may join letters to it.
 MARKS = string.punctuation.replace("'", "")
-#: Plain words that are encoded as one text.
-TOGETHER = 200
+#: Words at a text's or line's start whose ids a worker keeps, as a part of ``CACHE_WORDS`` besides.
+FIRST_PART = 5
+
+
+@lru_cache(maxsize=256)
+def _packer(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
+
+
+def _le(ids: list[int]) -> bytes:
+    return _packer(len(ids))(*ids)
+
+
+class Learned(dict):
+    """ids of words; what it lacks is learned where it is asked for, and kept if it is short."""
+
+    def __init__(self, learn: Callable[[str], tuple[bytes, bool]], part: int = 1):
+        self.learn, self.part = learn, part
+
+    def __missing__(self, word: str) -> bytes:
+        ids, keep = self.learn(word)
+        if keep and len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS // self.part:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -48,101 +75,62 @@ class WordEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
             raise ValueError(f"{path} has added tokens that match more than their own string")
-        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.added = {t.content: _le([i]) for i, t in added.items()}
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.signs = {k: self._signs(chr(k)) for k in range(0x250) if PLAIN(chr(k))}
+        self.space = self._signs(" a").removesuffix(self._signs("a")) if leading else ""
+        self.feed = self._ids("\n")
+        self.same = all(chr(k) == sign for k, sign in self.signs.items() if k < 128)
+        self.first = Learned(self._first, FIRST_PART)
+        self.rest = Learned(self._rest)
+        self.marks = Learned(lambda marks: (self._ids(marks), True), 100)
+
+    def _signs(self, text: str) -> str:
+        """What the model gets to see of a unit."""
+        normalizer = self.tokenizer.normalizer
+        return self.tokenizer.pre_tokenizer.pre_tokenize_str(normalizer.normalize_str(text) if normalizer else text)[0][0]
 
     def words(self, text: str) -> list[str]:
         if not self.leading:
             return text.replace("\n", " ").split(" ")
         odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
-        return SINGLE_SPACE.split(text) if odd or RARE_SPACE.search(text) else text.split(" ")
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _plain_ids(self, words: list[str], prefix: str) -> list[bytes]:
-        """ids of plain words, many in one call: the library says which unit an id belongs to."""
-        if self.leading and not prefix:  # joined, all but one would get a space
-            return self._ids(words)
-        out: list[bytes] = []
-        for i in range(0, len(words), TOGETHER):
-            part = words[i : i + TOGETHER]
-            found = self.tokenizer.encode(prefix + " ".join(part), add_special_tokens=False)
-            unit = np.array(found.word_ids, np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
-            if len(cuts) != len(part) + 1:
-                out += self._ids([prefix + w for w in part])
-                continue
-            raw = np.array(found.ids, "<u4").tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
-
-    def _encoded(self, words: list[str], prefix: str) -> dict[str, bytes]:
-        """ids of different words; a plain word and the marks behind it are encoded apart."""
-        whole, split, plain = [], [], set()
-        for w in words:
-            stem = w.rstrip(MARKS)
-            if not PLAIN(stem):
-                whole.append(w)
-                continue
-            plain.add(stem)
-            if len(stem) != len(w):
-                split.append((w, stem, w[len(stem) :]))
-        made = dict(zip(whole, self._ids([prefix + w for w in whole]), strict=True))
-        for w in plain:
-            if (ids := self.rest.get(w) if prefix or not self.leading else None) is not None:
-                made[w] = ids
-        new = [w for w in plain if w not in made]
-        made.update(zip(new, self._plain_ids(new, prefix), strict=True))
-        for w, stem, marks in split:
-            if marks not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks.clear()
-                self.marks[marks] = self._ids([marks])[0]
-            made[w] = made[stem] + self.marks[marks]
-        return made
-
-    def _found(self, split: list[list[str]], cache: dict[str, bytes], prefix: str) -> list[list[bytes]]:
-        """ids of every word; those that ``cache`` lacks are learned, and kept if they are short."""
-        find = cache.get
-        found = [list(map(find, w)) for w in split]
-        lacking = [k for k, f in enumerate(found) if not all(f)]  # or a word without ids
-        new = {x for k in lacking for x, f in zip(split[k], found[k], strict=True) if f is None}
-        if not new:
-            return found
-        short = [w for w in new if len(w) <= CACHE_CHARS]
-        made = self._encoded(short, prefix)
-        if len(cache) + len(made) > CACHE_WORDS:
-            cache.clear()
-        cache.update(made)
-        long = [w for w in new if len(w) > CACHE_CHARS]
-        made.update(zip(long, self._ids([prefix + w for w in long]), strict=True))
-        for k in lacking:
-            found[k] = [made[x] if f is None else f for x, f in zip(split[k], found[k], strict=True)]
-        return found
+        return SINGLE_SPACE.split(text) if odd or any(c in text for c in RARE_SPACE) else text.split(" ")
+
+    def _ids(self, text: str) -> bytes:
+        return _le(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _first(self, word: str) -> tuple[bytes, bool]:
+        return self._learned(word, self.first, "", "")
+
+    def _rest(self, word: str) -> tuple[bytes, bool]:
+        return self._learned(word, self.rest, " " if self.leading else "", self.space)
+
+    def _learned(self, word: str, own: Learned, prefix: str, sign: str) -> tuple[bytes, bool]:
+        """ids of a word, and whether to keep them: its lines, or its letters and the marks behind them, are kept apart."""
+        stem = word.rstrip(MARKS)
+        ascii_only = stem.isascii()
+        if (ascii_only and stem.isalpha()) or PLAIN(stem):
+            if len(stem) != len(word):
+                return own[stem] + self.marks[word[len(stem) :]], True
+            return _le([t.id for t in self.merge(sign + (word if ascii_only and self.same else word.translate(self.signs)))]), True
+        if self.leading and len(lines := SINGLE_FEED.split(word)) > 1:
+            return self.feed.join([own[lines[0]], *map(self.first.__getitem__, lines[1:])]), False
+        return self._ids(prefix + word), True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            parts = [self._parts(t) for t in texts[i : i + 64]]
-            found = iter(self._encode([self.words(x) for p in parts for x in p[::2]]))
-            out += [b"".join([self.added[x] if k % 2 else next(found) for k, x in enumerate(p)]) for p in parts]
-        return out
+        return [b"".join([self.added[x] if k % 2 else self._encode(x) for k, x in enumerate(self._parts(t))]) for t in texts]
 
     def _parts(self, text: str) -> list[str]:
         """A text cut at added tokens, which take the odd places."""
         return self.at_added.split(text) if any(a in text for a in self.added) else [text]
 
-    def _encode(self, split: list[list[str]]) -> list[bytes]:
+    def _encode(self, text: str) -> bytes:
+        words = self.words(text)
         if not self.leading:
-            return [b"".join(f) for f in self._found(split, self.rest, "")]
-        first = [w.pop(0) for w in split]  # a text's first word has no space before it
-        heads = self._found([first], self.first, "")[0]
-        return [h + b"".join(f) for h, f in zip(heads, self._found(split, self.rest, " "), strict=True)]
+            return b"".join(map(self.rest.__getitem__, words))
+        first = self.first[words[0]]  # a text's first word has no space before it
+        return first + b"".join(map(self.rest.__getitem__, words[1:]))
 
 
 @lru_cache(maxsize=4)

@@ -24,6 +24,16 @@ def test_ids_equal_the_librarys(name, leading, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+@pytest.mark.parametrize(("name", "leading"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_of_letters_go_straight_to_the_model(name, leading):
+    text = "Unseen wörds, of letters.\nOnly Ŀines.\n\u0130f Größe zzyzx"
+    path = public_tokenizers.path(name)
+    own = tokens.WordEncoder(path, leading)
+    own.encode(["a. a,", "a.\n\u0130f"] if leading else ["a. a, \u0130f"])  # all that is not letters
+    want, own.tokenizer = own.tokenizer.encode(text, add_special_tokens=False).ids, None
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == want
+
+
 def fewest(sizes, capacity):
     """The least number of bins, by trying (small cases)."""
     best = len(sizes)
