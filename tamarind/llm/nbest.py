@@ -7,7 +7,9 @@ its UTF-8 bytes' pieces, at ``BYTE_SCORE`` each.
 
 Best-first. A forward Viterbi pass over the lattice gives each position's best score from
 the start; a backward A-star search from the end uses it as its heuristic. As it is exact,
-complete segmentations leave the queue in order of their scores, best first.
+complete segmentations leave the queue in order of their scores, best first. For the best
+one alone the forward pass suffices: it follows its own way back, and the second best one
+leaves that way at the position where the next best edge costs least.
 
 A text is cut where no piece of the vocabulary can cross (read off the pieces: pairs of
 character classes that no piece holds side by side). The units between cuts are segmented
@@ -50,6 +52,10 @@ BYTE_SCORE = -12.0
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Words whose best segmentation a worker keeps: about 450 MB.
 KEPT_UNITS = 1_400_000
+#: Chunks whose n best segmentations a worker keeps: about 15 MB.
+KEPT_CHOICES = 20_000
+#: Score of what can't be reached.
+NEVER = -1e300
 NBEST = 4
 LOSS = itemgetter(0)
 #: Classes of characters, as regular expression sets; what is in none is a class of its own.
@@ -73,9 +79,10 @@ class Pieces:
                 node = node[2].setdefault(c, [0.0, 0, {}])
             node[:2] = score, 1 << len(piece)
         self.longest = max(map(len, pieces), default=1)
-        self.cut, self.plain = self._cut_rule(pieces)
+        self.units, self.plain = self._cut_rule(pieces)
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.kept: dict[str, tuple[bytes, float, float]] = {}
+        self.choices: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -96,8 +103,8 @@ class Pieces:
         return cls(pieces, bytes_at, surfaces)
 
     @staticmethod
-    def _cut_rule(pieces) -> tuple[re.Pattern, Callable]:
-        """Matches where units end, between classes that no piece holds side by side; and parts of one unit for sure."""
+    def _cut_rule(pieces) -> tuple[Callable, Callable]:
+        """Finds a text's units, in order, cut between classes that no piece holds side by side; and parts of one unit for sure."""
         sets = {k: re.compile(f"[{v}]") for k, v in KINDS.items()}
 
         def kind(c: str) -> str:
@@ -105,30 +112,29 @@ class Pieces:
 
         beside = {(kind(a), kind(b)) for p in pieces for a, b in zip(p, p[1:], strict=False)}
         of = {k: f"[{v}]" for k, v in KINDS.items()} | {"other": f"[^{''.join(KINDS.values())}]"}
-        uncut = [f"(?<={of[a]})(?={of[b]})" for a in of for b in of if (a, b) in beside]
+        uncut = [f"(?<={of[a]}){of[b]}{'++' if a == b else ''}" for a in of for b in of if (a, b) in beside]
         sure = {("space", "letter"), ("letter", "letter")} <= beside
-        cut = re.compile(f"(?!^|\\Z)(?!{'|'.join(uncut)})" if uncut else r"(?!^|\Z)")
-        return cut, re.compile(f"{SPACE}?[{KINDS['letter']}]*" if sure else "").fullmatch
+        units = re.compile(f"(?s:.)(?:{'|'.join(uncut)})*+" if uncut else "(?s:.)")
+        return units.findall, re.compile(f"{SPACE}?[{KINDS['letter']}]*" if sure else "").fullmatch
 
-    def units(self, text: str) -> list[str]:
-        """Parts of a text that no piece joins, in order."""
-        return self.cut.split(text)
-
-    def forward(self, unit: str) -> tuple[list[float], list[int]]:
-        """Viterbi: each position's best score from the start, and a bit for the length of each edge that ends there."""
+    def forward(self, unit: str) -> tuple[list[float], list[int], list[float], list[int]]:
+        """Viterbi: each position's best score from the start, a bit for the length of each edge that ends there,
+        the score by the next best edge, and where the best edge starts, the longest one where they are equal."""
         n, top, longest = len(unit), self.trie[2], self.longest
-        best, ends = [0.0] + [-1e300] * n, [0] * (n + 1)
-        j = 0
+        best, ends, second, back = [0.0] + [NEVER] * n, [0] * (n + 1), [NEVER] * (n + 1), [0] * (n + 1)
+        start = 0
         for i, c in enumerate(unit, 1):
-            here, node = best[j], top.get(c)
-            j = i
+            here, node = best[start], top.get(c)
             if node is None or not node[1]:  # no piece for this character alone
                 score, bit, children = self.spelt(c)[0], 2, node[2] if node else {}
             else:
                 score, bit, children = node
-            ends[j] |= bit
-            if (score := here + score) > best[j]:
-                best[j] = score
+            ends[i] |= bit
+            if (score := here + score) > best[i]:
+                second[i], best[i], back[i] = best[i], score, start
+            elif score > second[i]:
+                second[i] = score
+            j = i
             for c in unit[i : i + longest]:
                 node = children.get(c)
                 if node is None:
@@ -138,9 +144,23 @@ class Pieces:
                 if bit:
                     ends[j] |= bit
                     if (score := here + score) > best[j]:
-                        best[j] = score
-            j = i
-        return best, ends
+                        second[j], best[j], back[j] = best[j], score, start
+                    elif score > second[j]:
+                        second[j] = score
+            start = i
+        return best, ends, second, back
+
+    def best(self, unit: str) -> tuple[bytes, float, float]:
+        """ids and score of the best segmentation, and what the second one costs (infinite if there is none)."""
+        best, _, second, back = self.forward(unit)
+        at, ids, cost = len(unit), [], np.inf
+        while at:
+            start = back[at]
+            if second[at] != NEVER and (loss := best[at] - second[at]) < cost:
+                cost = loss
+            ids.append((self.entry.get(unit[start:at]) or self.spelt(unit[start]))[1])
+            at = start
+        return b"".join(reversed(ids)), best[-1], cost
 
     def spelt(self, c: str) -> tuple[float, bytes]:
         """Score and ids of a character by its UTF-8 bytes."""
@@ -171,7 +191,7 @@ class Pieces:
         it is followed at once. The k-th path to arrive at a position is the k-th best one to
         it, so no position is left more than n times, however many segmentations tie.
         """
-        (best, ends), at, path, loss = self.forward(unit), len(unit), None, 0.0
+        (best, ends, *_), at, path, loss = self.forward(unit), len(unit), None, 0.0
         known: dict[int, list] = {}  # a position's edges, after the number of paths that have arrived there
         out: list[tuple[float, bytes]] = []
         queue: list = []
@@ -213,8 +233,7 @@ class Pieces:
             found = [self.kept.get(u) or self._first(u, True) for u in units]
             made = (b"".join([f[0] for f in found]), sum(f[1] for f in found), min(f[2] for f in found))
         else:
-            best, cost = self.search(part, 1)
-            made = (best[0][1], best[0][0], cost)
+            made = self.best(part)
         if len(part) <= 64:
             if len(self.kept) >= KEPT_UNITS:
                 self.kept.clear()
@@ -223,8 +242,14 @@ class Pieces:
 
     def _choices(self, part: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a chunk."""
-        units = self.units(part)
-        return self.search(part, n)[0] if len(units) == 1 else self._merged(units, n, lambda u, m: self.search(u, m)[0])
+        if (made := self.choices.get((part, n))) is None:
+            units = self.units(part)
+            made = self.search(part, n)[0] if len(units) == 1 else self._merged(units, n, lambda u, m: self.search(u, m)[0])
+            if len(part) <= 64:
+                if len(self.choices) >= KEPT_CHOICES:
+                    self.choices.clear()
+                self.choices[part, n] = made
+        return made
 
     def _merged(self, parts: list[str], n: int, choices_of) -> list[tuple[float, bytes]]:
         """The n best ways to choose a segmentation for every part."""
@@ -245,8 +270,10 @@ class Pieces:
             both = [(loss + choices[0][0] - s, changes + ((k, x),) * (c > 0)) for loss, changes in merged for c, (s, x) in enumerate(choices)]
             merged = heapq.nsmallest(n, both, key=lambda m: m[0])
         for loss, changes in merged[1:]:
-            other = dict(changes)
-            out.append((total - loss, b"".join([other.get(k, x) for k, x in enumerate(ids)])))
+            changed = list(ids)
+            for k, x in changes:
+                changed[k] = x
+            out.append((total - loss, b"".join(changed)))
         return out
 
     def encode(self, text: str, n: int = NBEST) -> list[tuple[float, bytes]]:

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import numpy as np
@@ -77,6 +78,35 @@ def test_cuts_change_nothing(model):
         assert all(model.decode(x) == text for _, x in got)
 
 
+def test_only_chunks_that_differ_are_searched(model, monkeypatch):
+    """The best segmentation and the second one's cost come from the forward pass; so before the search met every word."""
+    words = ["hello", "▁aaaa", "x", "1", "))))", "Ａ", "the", "it's", "né\n2a"]
+    for w in words:
+        for unit in model.units(nbest.SPACE + w.replace(nbest.SPACE, nbest.MARK)):
+            (((score, ids),), loss) = model.search(unit, 1)
+            assert model._first(unit, True) == (ids, score, loss)
+    asked = []
+    search = model.search
+    monkeypatch.setattr(model, "search", lambda unit, n: asked.append(n) or search(unit, n))
+    text = " ".join(a + b for a in ["qua", "vel", "Tor"] for b in ["mish", "zorp", "lund", "ekk,", "\nOb"])
+    assert model.decode(model.encode(text, 4)[0][1]) == text
+    assert 1 not in asked and len(asked) <= 6
+
+
+def test_units_are_cut_where_no_piece_joins(model):
+    def kind(c):
+        return next((k for k, v in nbest.KINDS.items() if re.match(f"[{v}]", c)), "other")
+
+    beside = {(kind(a), kind(b)) for p in model.entry for a, b in zip(p, p[1:], strict=False)}
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choices(["the", nbest.SPACE, nbest.MARK, "\n", ",", "A", "é", "9", "中", "'s", "\r\n"], k=rng.randrange(1, 30)))
+        units = model.units(text)
+        cuts = set(np.cumsum([len(u) for u in units]).tolist())
+        assert "".join(units) == text
+        assert cuts == {k for k in range(1, len(text)) if (kind(text[k - 1]), kind(text[k])) not in beside} | {len(text)}
+
+
 def test_documents(spark):
     texts = ["Plain words here.", None, "", " ", "▁x ▁", "a\x00b\r\n", "w" * 3000, "the cat " * 3000, "same", "same", "😀é"]
     rows = [(i if i else None, t, 1.5) for i, t in enumerate(texts)]
